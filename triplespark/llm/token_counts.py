@@ -21,7 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triplespark.llm.common import new_path, text_or_empty
+from triplespark.llm.common import new_path, stored, text_or_empty
 from triplespark.llm.encoding import encoder, slices, tokenizer_path
 
 CACHE = "version string, digest binary, n_tokens long"
@@ -95,6 +95,7 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str | None = None,
      .write.mode("append").parquet(cache_path))
     rows = spark.read.schema(CACHE + ", run string").parquet(cache_path).filter(F.col("version") == version)
     counts = rows.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"), F.min(F.col("run") == run).alias("new"))
+    counts = stored(counts, "counts")  # a plain scan on this side lets Spark split a hot digest's partition of the join
     return (keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
             .join(counts, "digest")
             .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), (~F.col("new")).alias("cached")))

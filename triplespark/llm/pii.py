@@ -168,25 +168,25 @@ def op3_pii(spark, sf_dir: str) -> DataFrame:
 
 def _sql_spans(kind: str, pattern: str, valid: str) -> str:
     """DuckDB: list of (start, end, found) of the valid matches of a kind."""
-    return f"""list_filter(list_transform(range(1, len(regexp_extract_all(t, '{pattern}')) + 1), i -> {{
-      'e': list_sum(list_transform((regexp_extract_all(t, '{pattern}'))[1:i], m -> length(m)))
-         + list_sum(list_transform((string_split_regex(t, '{pattern}'))[1:i], m -> length(m))),
-      'm': (regexp_extract_all(t, '{pattern}'))[i]}}), x -> {valid}) AS {kind}"""
+    return f"""list_filter(list_transform(range(1, len(regexp_extract_all(t, '{pattern}')) + 1), lambda i: {{
+      'e': list_sum(list_transform((regexp_extract_all(t, '{pattern}'))[1:i], lambda m: length(m)))
+         + list_sum(list_transform((string_split_regex(t, '{pattern}'))[1:i], lambda m: length(m))),
+      'm': (regexp_extract_all(t, '{pattern}'))[i]}}), lambda x: {valid}) AS {kind}"""
 
 
 _D = "regexp_replace(x.m, '[^0-9]', '', 'g')"
 _C = "replace(x.m, ' ', '')"
 _T = f"({_C}[5:] || {_C}[1:4])"
-_LUHN = f"""list_sum(list_transform(range(1, length({_D}) + 1), k -> CASE WHEN (length({_D}) - k) % 2 = 0 THEN ({_D})[k]::INT
+_LUHN = f"""list_sum(list_transform(range(1, length({_D}) + 1), lambda k: CASE WHEN (length({_D}) - k) % 2 = 0 THEN ({_D})[k]::INT
   WHEN ({_D})[k]::INT > 4 THEN ({_D})[k]::INT * 2 - 9 ELSE ({_D})[k]::INT * 2 END)) % 10 = 0"""
-_MOD97 = f"""list_reduce(list_prepend(0::BIGINT, list_transform(range(1, length({_T}) + 1), k -> ascii(({_T})[k])::BIGINT)),
-  (a, c) -> CASE WHEN c < 58 THEN (a * 10 + c - 48) % 97 ELSE (a * 100 + c - 55) % 97 END) = 1"""
-_JOIN = lambda kind: f"list_transform({kind}, x -> '{kind}:' || (x.e - length(x.m))::BIGINT || ':' || x.e::BIGINT)"
+_MOD97 = f"""list_reduce(list_prepend(0::BIGINT, list_transform(range(1, length({_T}) + 1), lambda k: ascii(({_T})[k])::BIGINT)),
+  lambda a, c: CASE WHEN c < 58 THEN (a * 10 + c - 48) % 97 ELSE (a * 100 + c - 55) % 97 END) = 1"""
+_JOIN = lambda kind: f"list_transform({kind}, lambda x: '{kind}:' || (x.e - length(x.m))::BIGINT || ':' || x.e::BIGINT)"
 OP3_SQL = f"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 found AS (SELECT doc_id,
   {_sql_spans('email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+', 'true')},
-  {_sql_spans('ip', '[0-9]+(?:[.][0-9]+)(?:[.][0-9]+)(?:[.][0-9]+)', "len(list_filter(string_split(x.m, '.'), p -> length(ltrim(p, '0')) > 3 OR coalesce(try_cast(p AS HUGEINT), 999) > 255)) = 0")},
+  {_sql_spans('ip', '[0-9]+(?:[.][0-9]+)(?:[.][0-9]+)(?:[.][0-9]+)', "len(list_filter(string_split(x.m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(p AS HUGEINT), 999) > 255)) = 0")},
   {_sql_spans('card', '[0-9](?:[ -]?[0-9])+', f"length({_D}) BETWEEN 13 AND 19 AND {_LUHN}")},
   {_sql_spans('phone', '[+][0-9][ ().0-9-]+[0-9]', f"length({_D}) BETWEEN 9 AND 15")},
   {_sql_spans('iban', PATTERNS['iban'], f"length({_C}) BETWEEN 15 AND 34 AND {_MOD97}")}

@@ -38,10 +38,13 @@ SAMPLE = 8_000
 WINDOW = 8
 FUZZY = 5
 THRESHOLD = 0.7
-#: Fewest toxic documents and least ratio of document rates for a term; letters and different words of a stem.
-LEAST, RATIO, STEM_LETTERS, STEM_WORDS = 4, 25.0, 4, 4
+#: A term is in so many toxic documents, and so large a share of them, at least, at so many times the rate elsewhere.
+LEAST, LEAST_SHARE, RATIO = 3, 0.015, 25.0
+#: A stem has so many letters and different words; none of these makes up more than half of its documents.
+STEM_LETTERS, STEM_WORDS = 4, 5
 #: Direct exact, stem and misspelled hits, the same quoted, addressed hits, bias: means of the prior.
 PRIOR = np.array([3.0, 3.0, 2.0, 0.4, 0.4, 0.2, 0.5, -3.0])
+PRECISION = 1.0
 REPORTING = frozenset("said says say called calls wrote writes quote quoted quotes quoting word term phrase insult slur meaning means".split())
 SECOND = frozenset("you your you're youre yourself u ur".split())
 _OPEN, _CLOSE = "\"'“‘«„‚", "\"'”’»“‘"
@@ -140,6 +143,7 @@ def words(text: str) -> list[str]:
 def learn_terms(rows: list[tuple[str, int]]) -> list[tuple[str, bool]]:
     """(word, is_stem) of the terms that mark toxic documents."""
     bare = lambda t: {_STRIP("", w) for w in set(words(t))} - {""}
+    rows = sorted(set(rows))  # copies of a document tell nothing new
     toxic = [bare(t) for t, y in rows if y]
     if not toxic or len(toxic) == len(rows):
         return []
@@ -149,8 +153,10 @@ def learn_terms(rows: list[tuple[str, int]]) -> list[tuple[str, bool]]:
     for found in toxic:
         whole.update(found)
         stems.update(begin(found))
-    whole = {w: n for w, n in whole.items() if n >= LEAST}
-    stems = {w: n for w, n in stems.items() if n >= LEAST}
+    least = max(LEAST, LEAST_SHARE * len(toxic))
+    common = whole
+    whole = {w: n for w, n in whole.items() if n >= least}
+    stems = {w: n for w, n in stems.items() if n >= least}
     clean_whole, clean_stems = Counter(), Counter()
     for t, y in rows:
         if not y:
@@ -167,11 +173,12 @@ def learn_terms(rows: list[tuple[str, int]]) -> list[tuple[str, bool]]:
                     below[w[:k]].add(w)
     chosen: list[str] = []
     for s in sorted(stems, key=len):
-        if len(below[s]) < STEM_WORDS or any(s.startswith(c) for c in chosen):
+        if len(below[s]) < STEM_WORDS or any(s.startswith(c) for c in chosen) or max(common[w] for w in below[s]) > stems[s] / 2:
             continue
         while longer := [x for x in (s + w[len(s)] for w in below[s] if len(w) > len(s)) if len(below[x]) >= STEM_WORDS and stems.get(x, 0) >= 0.95 * stems[s]]:
             s = max(longer, key=lambda x: (stems[x], x))
-        chosen.append(s)
+        if s not in chosen:
+            chosen.append(s)
     short = [w for w, n in whole.items() if len(w) > 2 and marks(n, clean_whole[w]) and not w.startswith(tuple(chosen))]
     return [(w, False) for w in sorted(short)] + [(s, True) for s in sorted(chosen)]
 
@@ -219,15 +226,16 @@ class Model:
 
 
 def train(rows: list[tuple[str, int]]) -> Model:
-    """Lexicon and weights; gradient steps on the posterior from the prior's means."""
+    """Lexicon and weights; Newton's steps on the posterior from the prior's means."""
     model = Model(learn_terms(rows), PRIOR.copy())
     if not rows:
         return model
     x = np.c_[np.concatenate([model.features([t for t, _ in rows[a:b]]) for a, b in slices([len(t) for t, _ in rows], 2_000_000)]), np.ones(len(rows))]
-    y, w, scale = np.array([label for _, label in rows], dtype=float), PRIOR.copy(), 1.0 / max(1, len(rows))
-    for _ in range(400):
+    y, w = np.array([label for _, label in rows], dtype=float), PRIOR.copy()
+    for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        w -= 0.5 * (x.T @ (p - y) * scale + 0.002 * (w - PRIOR))
+        slope = x.T @ (p - y) + PRECISION * (w - PRIOR)
+        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + PRECISION * np.eye(8), slope)
     model.weights = w
     return model
 

@@ -1,0 +1,115 @@
+"""Nearest neighbours against brute force; the pipeline's stages against their operators' definitions."""
+
+import importlib
+import os
+import subprocess
+import sys
+from collections import defaultdict
+
+import numpy as np
+
+from pyspark.sql import functions as F
+from tests.llm import helpers as h
+from tests.llm.test_native import plain_spans
+from tests.llm.test_text_operators import contaminated, plain_components, plain_fingerprint
+from triplespark.llm import ann, stages
+from triplespark.llm.queries import QUERIES
+
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+VECTORS = "vec_id long, embedding array<float>, label int, v string, rep long"
+
+
+def exact(ids, vectors, queries, k=20):
+    out = {}
+    for q in queries:
+        i = ids.index(q)
+        score = [(-(float((vectors[j] * vectors[i]).sum())), ids[j]) for j in range(len(ids)) if j != i]
+        out[q] = [(v, -s) for s, v in sorted(score)[:k]]
+    return out
+
+
+def found(df):
+    out = defaultdict(list)
+    for q, rank, v, s in sorted(h.rows(df)):
+        assert rank == len(out[q]) + 1
+        out[q].append((v, s))
+    return out
+
+
+def test_recall(spark):
+    sf = "/root/testdata/sf0.1"
+    table = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    ids, vectors = [r["vec_id"] for r in table], [np.array(r["embedding"], dtype=np.float64) for r in table]
+    out = found(QUERIES["op2_nearest"](spark, sf))
+    expected = exact(ids, vectors, [i for i in ids if i % 20 == 0])
+    assert out.keys() == expected.keys() and all(len(x) == 20 for x in out.values())
+    hits = [len({v for v, _ in out[q]} & {v for v, _ in expected[q]}) for q in out]
+    assert np.mean(hits) / 20 >= 0.9
+    at = dict(zip(ids, vectors))
+    assert all(abs(s - float((at[q] * at[v]).sum())) < 1e-12 for q in out for v, s in out[q])
+
+
+def test_copies_ties_and_unusable_vectors(spark):
+    rng = np.random.default_rng(1)
+    vectors = {i: rng.standard_normal(8).astype(np.float32) for i in range(0, 200)}
+    for i in range(200, 420):
+        vectors[i] = vectors[40]  # one vector that most rows share
+    bad = [(500, None), (520, [0.0] * 8), (540, [1.0] * 7 + [None]), (560, [float("nan")] * 8), (580, [float("inf")] + [1.0] * 7), (600, [1.0, 2.0]), (None, [1.0] * 8), (620, [])]
+    rows = [(i, v.tolist()) for i, v in vectors.items()] + [(0, vectors[0].tolist())] + bad
+    df = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], VECTORS)
+    out = found(ann.search(df, F.col("vec_id") % 20 == 0))
+    ids = list(vectors)
+    expected = exact(ids, [vectors[i].astype(np.float64) for i in ids], [i for i in ids if i % 20 == 0])
+    assert out.keys() == expected.keys()
+    same = sum([v for v, _ in out[q]] == [v for v, _ in expected[q]] for q in out)
+    assert same >= 0.8 * len(out)  # approximate, but copies come whole and in order
+    assert [v for v, _ in out[240]] == [40, *range(200, 219)]
+    few = found(ann.search(df.filter("vec_id in (0, 20, 3)"), F.col("vec_id") % 20 == 0))
+    assert {q: [v for v, _ in x] for q, x in few.items()} == {q: [v for v, _ in x] for q, x in exact([0, 20, 3], [vectors[i].astype(np.float64) for i in (0, 20, 3)], [0, 20]).items()}
+    assert ann.search(df.filter("false"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_stages_on_awkward_rows(spark):
+    d = h.docs(spark)
+    y = h.labels(spark, [(1, 1, 0), (5, 0, 1), (7, 1, 0)])
+    benchmark = spark.createDataFrame([(1, "the lazy dog and runs away from here now over")], "item_id long, text string")
+    for empty in (False, True):
+        rows = d.filter("false") if empty else d
+        for out in (stages.keep_quality(rows, y), stages.keep_one_of_each(rows), stages.keep_uncontaminated(rows, benchmark), stages.without_pii(rows)):
+            assert out.columns == d.columns
+            assert out.count() == 0 if empty else out.count() > 0
+    kept = [r["doc_id"] for r in stages.keep_one_of_each(d).collect()]
+    assert kept.count(1) == 1 and 6 not in kept and kept.count(2) == 1 and 3 not in kept and 4 not in kept and None in kept
+
+
+def test_pipeline(spark):
+    sys.path.insert(0, ROOT)
+    pipeline = importlib.import_module("corpus_pipeline")
+    assert [n for n, _ in pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "personal_data", "packing"]
+    docs = spark.read.parquet(f"{h.SF}/documents.parquet")
+    good = pipeline.STAGES[0][1](spark, docs, h.SF)
+    predicted = {r["doc_id"] for r in QUERIES["op5_quality"](spark, h.SF).collect() if r["predicted"] == 1}
+    assert {r["doc_id"] for r in good.collect()} == predicted and good.columns == docs.columns
+    table = {r["doc_id"]: r["text"] for r in good.collect()}
+    keys = list(table)
+    classes = plain_components(keys, [plain_fingerprint(table[k]) for k in keys])
+    one = pipeline.STAGES[1][1](spark, good, h.SF)
+    assert {r["doc_id"] for r in one.collect()} == {k for k, c in zip(keys, classes) if k == c}
+    items = h.rows(spark.read.parquet(f"{h.SF}/benchmark.parquet").select("item_id", "text"))
+    clean = pipeline.STAGES[2][1](spark, one, h.SF)
+    expected = {k for k, _, hit, _ in contaminated([(r["doc_id"], r["text"]) for r in one.collect()], items) if not hit}
+    assert {r["doc_id"] for r in clean.collect()} == expected
+    private = pipeline.STAGES[3][1](spark, clean, h.SF)
+    assert private.columns == docs.columns and private.count() == len(expected)
+    assert not any(plain_spans(r["text"]) for r in private.collect())
+    assert {r["doc_id"] for r in pipeline.STAGES[4][1](spark, private, h.SF).collect()} == expected
+    assert pipeline.run(spark, h.SF).select("doc_id").distinct().count() == len(expected)
+
+
+def test_entry_without_the_subpackage(tmp_path):
+    """The driver deletes these folders; the rest has to import."""
+    import shutil
+
+    shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    code = "import __spark_entry__ as e; names = e.queries(); assert names and not any(n.startswith('op') or n == 'pipeline' for n in names); assert set(e.oracle_sql()) <= set(names)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", check=True)

@@ -1,0 +1,139 @@
+"""Chat formatting and personal data: exact round trips, brute force, SQL, and plans without Python."""
+
+import hashlib
+import re
+
+import duckdb
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tests.llm import helpers as h
+from triplespark.llm import chat, pii
+from triplespark.llm.queries import ORACLES, QUERIES
+
+CONV = "conv_id long, turn long, role string, text string, line string, example string"
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def digests(rows):
+    """Expected: by conversation, in the order of turn, role, text, nulls first."""
+    by = {}
+    for c, t, r, x in sorted(rows, key=lambda r: tuple((v is not None, v) for v in r[1:])):
+        by.setdefault(c, []).append((r or "", x or "", r))
+    out = []
+    for c, turns in by.items():
+        masked = "".join(x for _, x, r in turns if r == "assistant")
+        out.append((c, len(turns), sha("".join(f"{r}\n{x}\n" for r, x, _ in turns)), len(masked), sha(masked)))
+    return sorted(out, key=repr)
+
+
+BITS = st.lists(st.sampled_from(["\\", "### ", "</turn>", "\n", "Assistant: ", ":", "b", "\\b", "\\h", "é", "😀", "</turn", ">", "#", " "]), max_size=6).map("".join)
+
+
+def test_round_trip(spark):
+    rows = []
+
+    @settings(max_examples=60, deadline=None)
+    @given(st.lists(st.tuples(st.integers(0, 3) | st.none(), st.sampled_from(["user", "assistant", "system", None]) | BITS, BITS | st.none()), min_size=1, max_size=6))
+    def gather(turns):
+        c = None if len(rows) == 0 else len(rows)
+        rows.extend((c, *t) for t in turns)
+
+    gather()
+    rows.extend([(10**6, 1, "assistant", h.LONG), (10**6, 1, "assistant", h.LONG), (10**6, 0, "user", "x")])
+    df = spark.createDataFrame([(*r, "l", "e") for r in rows], CONV)
+    out = h.rows(chat.digests(chat.format_examples(df)))
+    assert sorted((r[:5] for r in out), key=repr) == digests(rows)
+    assert chat.digests(chat.format_examples(df.filter("false"))).count() == 0
+
+
+def test_examples_have_all_turns_before_and_one_reply(spark):
+    turns = [(1, 0, "system", "s"), (1, 1, "user", "a </turn> b"), (1, 2, "assistant", "first"), (1, 3, "assistant", "second"), (1, 4, "user", "end"), (2, 0, "user", "alone")]
+    df = spark.createDataFrame([(*r, "l", "e") for r in turns], CONV)
+    examples = chat.format_examples(df)
+    full = sorted(h.rows(chat.expand(examples)))
+    assert [(r[0], r[2][r[3]:r[4]]) for r in full] == [(1, "first"), (1, "second")]
+    assert full[0][2] == "### system: s</turn>\n### user: a \\e b</turn>\n### assistant: first</turn>\n"
+    assert full[1][2] == full[0][2] + "### assistant: second</turn>\n"
+    assert sorted(r[:2] for r in h.rows(examples.filter("loss_start is null"))) == [(1, 2), (2, 0)]
+
+
+def plain_spans(text):
+    text = text or ""
+    digits = lambda x: re.sub("[^0-9]", "", x)
+
+    def luhn(d):
+        total = 0
+        for i, c in enumerate(reversed(d)):
+            n = int(c) * (2 if i % 2 else 1)
+            total += n - 9 if n > 9 else n
+        return total % 10 == 0
+
+    def iban(x):
+        c = x.replace(" ", "")
+        return 15 <= len(c) <= 34 and int("".join(str(int(k, 36)) for k in c[4:] + c[:4])) % 97 == 1
+
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda x: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda x: all(int(p) <= 255 for p in x.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda x: 13 <= len(digits(x)) <= 19 and luhn(digits(x))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda x: 9 <= len(digits(x)) <= 15),
+        ("iban", pii.PATTERNS["iban"], iban),
+    ]
+    return [(k, m.start(), m.end()) for k, p, ok in kinds for m in re.finditer(p, text) if ok(m[0])]
+
+
+TOKENS = ["a.b@c.de", "@", "x@y", ".", "-", "_d@e.f", " ", "  ", "- ", "1.2.3.4", "256.1.1.1", "010.0.0.255", "5", "4111111111111111", "4111 1111-1111 1111",
+          "+1 (969) 555-9369", "+", "(", "é", "😀", "12", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "GB82", "A", "\n", "12-34", "+49.30.123456", "0" * 30]
+
+
+def test_spans(spark):
+    texts = ["", None, "1 " * 30_000, "1" * 40_000, "9-" * 20_000, "a" * 60_000 + "@", "+1" + "(" * 30_000, "a.b@c.de " * 3_000, "x@" + "y." * 20_000, "- " * 20_000 + "4111 1111-1111 1111"]
+
+    @settings(max_examples=400, deadline=None)
+    @given(st.lists(st.sampled_from(TOKENS), max_size=14).map("".join))
+    def gather(t):
+        texts.append(t)
+
+    gather()
+    df = h.docs(spark, list(enumerate(texts)))
+    out = {r["doc_id"]: r["pii"] for r in pii.find(df, "doc_id").collect()}
+    for i, t in enumerate(texts):
+        assert [(x["kind"], x["start"], x["end"]) for x in out[i]] == plain_spans(t), repr(t)[:300]
+        assert all((t[x["start"]:x["end"]] == x["found"]) or x["kind"] == "card" for x in out[i])
+    clean = {r["doc_id"]: r for r in pii.redact(df).collect()}
+    for i, t in enumerate(texts):
+        expected, at = "", 0
+        for start, back, kind in sorted((s, -e, k) for k, s, e in plain_spans(t)):
+            if start >= at:
+                expected += (t or "")[at:start] + f"[{kind.upper()}]"
+            at = max(at, -back)
+        expected = None if t is None else expected + t[at:]
+        assert clean[i]["text"] == expected and (t is None or clean[i]["n_chars"] == len(expected))
+    assert pii.redact(df).columns == df.columns
+
+
+def test_context_raises_the_score(spark):
+    rows = [(1, "my card 4111111111111111 ok"), (2, "see 4111111111111111 ok")]
+    out = {r["doc_id"]: r["pii"][0]["score"] for r in pii.find(h.docs(spark, rows), "doc_id").collect()}
+    assert out == {1: 0.8, 2: 0.6}
+
+
+def test_queries_equal_their_sql(spark):
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.sql(f"create view {t} as select * from '{h.SF}/{t}.parquet'")
+    for name, sql in ORACLES.items():
+        out = QUERIES[name](spark, h.SF)
+        expected = con.sql(sql)
+        order = [expected.columns.index(c) for c in out.columns]
+        assert sorted(h.rows(out)) == sorted(tuple(r[i] for i in order) for r in expected.fetchall()), name
+
+
+def test_native_plans_have_no_python(spark):
+    for name in ("op1_chat_formatting", "op3_pii"):
+        plan = QUERIES[name](spark, h.SF)._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|Arrow", plan)

@@ -12,7 +12,7 @@ from array import array
 from functools import lru_cache
 
 #: Bytes that the cache of one Python worker may hold, roughly.
-CACHE_BYTES = 96_000_000
+CACHE_BYTES = 160_000_000
 #: White space other than single blanks and newlines, or what may start a special token.
 _WHOLE = re.compile(r"[^\S \n]|\s\s|<\|")
 #: Letters and the marks after them: two pieces to either pre-tokenizer, none changed by normalisation but for case.
@@ -49,6 +49,7 @@ class Encoder:
         self.make = (lambda e: array("I", e.ids).tobytes()) if ids else len
         self.join = b"".join if ids else sum
         self.kind, self.ids, self.model = self._kind(spec), ids, self.tokenizer.model
+        self.lower = "Lowercase" in str(spec.get("normalizer"))
         self.marks: dict[str, bytes | int] = {}
         self.known: dict[str, bytes | int] = {}
         self.first: dict[str, bytes | int] = {}
@@ -94,17 +95,24 @@ class Encoder:
         cache.update(zip(rest, self._encode([lead + x for x in rest] if lead else rest)))
         self.size += sum(map(len, new)) + 200 * len(new)
 
-    def __call__(self, texts: list[str]) -> list:
+    def _make_room(self, wanted: set[str]) -> None:
+        """Beyond its bound the cache keeps what the texts at hand need, hence the frequent words."""
         if self.size > CACHE_BYTES:
-            self.known.clear()
-            self.marks.clear()
             self.first.clear()
-            self.size = 0
+            self.marks.clear()
+            self.known = {x: self.known[x] for x in wanted.intersection(self.known)}
+            self.size = sum(map(len, self.known)) + 200 * len(self.known)
+
+    def __call__(self, texts: list[str]) -> list:
         if self.kind == "whole":
             return self._encode(texts)
         if self.kind == "dropped":
-            parts = [t.replace("\n", " ").split(" ") for t in texts]
-            self._learn(self.known, set().union(*parts), "")
+            # ASCII has one way to be lower-cased; a special token's string is only one as it is spelt
+            plain = [t.lower() if self.lower and t.isascii() and "<|" not in t else t for t in texts]
+            parts = [t.replace("\n", " ").split(" ") for t in plain]
+            wanted = set().union(*parts)
+            self._make_room(wanted)
+            self._learn(self.known, wanted, "")
             get = self.known.__getitem__
             return [self.join(map(get, p)) for p in parts]
         odd = [i for i, t in enumerate(texts) if _WHOLE.search(t)]
@@ -112,6 +120,7 @@ class Encoder:
         for i in odd:
             parts[i] = [""]
         wanted = set().union(*(p[1:] for p in parts))
+        self._make_room(wanted)
         lines = {x for x in wanted if x[:1] == "\n"}
         self._learn(self.known, lines, "")
         self._learn(self.known, wanted - lines, " ")

@@ -128,7 +128,7 @@ def search_shard(row: dict, block: dict, slop: int) -> tuple[tuple, tuple]:
     place = {t: i for i, t in enumerate(row["terms"])}
     local = np.array([*(place.get(t, -1) for t in block["terms"]), -2], dtype=np.int64)
     # one pseudo term at the end for what a short window lacks
-    counts = np.r_[row["counts"], 0]
+    counts = np.r_[row["counts"].astype(np.int64), 0]
     offsets = np.cumsum(counts) - counts
     terms = local[table]  # -1 there reads the pseudo term
     live = np.flatnonzero((terms != -1).all(axis=1))

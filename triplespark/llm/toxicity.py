@@ -1,17 +1,18 @@
 """Toxicity: Levenshtein automata intersected with a lexicon trie, and context-window scores.
 
 Lexicon: learnt from labelled documents, as whole words that toxic documents have far more often than
-others, and as stems (beginnings that many different such words share). All terms form one trie. The
-Levenshtein automaton of a word's possible misspellings is intersected with the trie by running the
-word through sets of (trie node, edits so far); these sets are the states of a deterministic automaton
-that is built as words ask for it and kept. Whole words of `FUZZY` letters or more admit one edit,
-stems and shorter words none.
+others, and as stems (beginnings that many different such words share). Each term carries the logarithm
+of that ratio as its weight. All terms form one trie. The Levenshtein automaton of a word's possible
+misspellings is intersected with the trie by running the word through sets of (trie node, edits so far);
+these sets are the states of a deterministic automaton that is built as words ask for it and kept. Whole
+words of `FUZZY` letters or more admit one edit, stems and shorter words none.
 
 Context: a hit counts as quotation if its window of `WINDOW` words to either side holds quotation marks
-around it or a word of reporting, and as addressed if the window has the second person. Counts of
-direct and quoted exact, stem and misspelled hits and of addressed ones are the features of a logistic
-score. Its weights are fitted with a Gaussian prior around documented values, so kinds of hits that the
-labels don't show (quotations) keep their prior weights.
+around it or a word of reporting, and as addressed if the window has the second person. The features of
+a logistic score are the summed weights of direct, quoted, misspelled and misspelled quoted hits, the
+number of addressed ones, and the hits that a toxic text of this length would have. Its weights are
+fitted with a Gaussian prior around documented values, so kinds of hits that the labels don't show
+(quotations) keep their prior weights.
 
 Fit: at most `SAMPLE` labelled documents, the smallest by hash, whole texts: the documented bound.
 
@@ -38,13 +39,16 @@ SAMPLE = 8_000
 WINDOW = 8
 FUZZY = 5
 THRESHOLD = 0.7
-#: A term is in so many toxic documents, and so large a share of them, at least, at so many times the rate elsewhere.
-LEAST, LEAST_SHARE, RATIO = 3, 0.015, 25.0
+#: A term is in so many toxic documents, and so large a share of them, at least, at so many times the rate
+#: elsewhere; toxic documents times the ratio's logarithm reach GAIN.
+LEAST, LEAST_SHARE, RATIO, GAIN = 3, 0.015, 5.0, 12.0
 #: A stem has so many letters and different words; none of these makes up more than half of its documents.
 STEM_LETTERS, STEM_WORDS = 4, 5
-#: Direct exact, stem and misspelled hits, the same quoted, addressed hits, bias: means of the prior.
-PRIOR = np.array([3.0, 3.0, 2.0, 0.4, 0.4, 0.2, 0.5, -3.0])
+#: Weights of direct, quoted, misspelled and misspelled quoted hits, addressed ones, expected hits, bias.
+PRIOR = np.array([1.0, 0.1, 0.6, 0.05, 0.3, -1.0, -4.0])
 PRECISION = 1.0
+#: Evidence of a kind counts up to here.
+MOST = 40.0
 REPORTING = frozenset("said says say called calls wrote writes quote quoted quotes quoting word term phrase insult slur meaning means".split())
 SECOND = frozenset("you your you're youre yourself u ur".split())
 _OPEN, _CLOSE = "\"'“‘«„‚", "\"'”’»“‘"
@@ -52,14 +56,15 @@ _STRIP = re.compile(r"^[\W_]+|[\W_]+$").sub
 
 
 class Automaton:
-    """Terms (word, is_stem) as a trie, and its intersection with the words' Levenshtein automata."""
+    """Terms (word, is_stem, weight) as a trie, and its intersection with the words' Levenshtein automata."""
 
-    def __init__(self, terms: list[tuple[str, bool]]):
+    def __init__(self, terms: list[tuple[str, bool, float]]):
         self.children: list[dict[str, int]] = [{}]
         self.word: list[str | None] = [None]
-        self.stem: list[bool] = [False]
+        self.stem: list[float | None] = [None]
+        self.weight = [0.0]
         self.budget = [0]
-        for term, is_stem in sorted(terms):
+        for term, is_stem, weight in sorted(terms):
             node, budget = 0, 0 if is_stem or len(term) < FUZZY else 1
             self.budget[0] = max(self.budget[0], budget)
             for c in term:
@@ -67,20 +72,21 @@ class Automaton:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
                     self.word.append(None)
-                    self.stem.append(False)
+                    self.stem.append(None)
+                    self.weight.append(0.0)
                     self.budget.append(0)
                 node = self.children[node][c]
                 self.budget[node] = max(self.budget[node], budget)
             if is_stem:
-                self.stem[node] = True
+                self.stem[node] = weight
             else:
-                self.word[node] = term
+                self.word[node], self.weight[node] = term, weight
         self.alphabet = {c for kids in self.children for c in kids}
-        self.longest = max((len(t) for t, is_stem in terms if not is_stem), default=0) + 1
+        self.stems: list[float] = []  # weights of stems that have been read; the state after the i-th is -2 - i
         self.numbers: dict[tuple, int] = {}
         self.sets: list[tuple] = []
         self.steps: list[dict[str, int]] = []
-        self.ends: list[str] = []  # "", "exact" or "fuzzy" by state
+        self.ends: list[tuple[str, float] | None] = []  # what a word that ends in the state is
         self.start = self._state({0: 0})
 
     def _state(self, nodes: dict[int, int]) -> int:
@@ -97,12 +103,12 @@ class Automaton:
             self.numbers[key] = len(self.sets)
             self.sets.append(key)
             self.steps.append({})
-            ends = {e for node, e in key if self.word[node] is not None and (e == 0 or len(self.word[node]) >= FUZZY)}
-            self.ends.append("" if not ends else "exact" if 0 in ends else "fuzzy")
+            ends = [(e, -self.weight[node]) for node, e in key if self.word[node] is not None and (e == 0 or len(self.word[node]) >= FUZZY)]
+            self.ends.append((("exact", "fuzzy")[min(ends)[0]], -min(ends)[1]) if ends else None)
         return self.numbers[key]
 
     def _step(self, state: int, c: str) -> int:
-        """The next state, -1 if no term is left, -2 once a stem has been read."""
+        """The next state, -1 if no term is left, less once a stem has been read."""
         after: dict[int, int] = {}
 
         def add(node: int, e: int) -> None:
@@ -112,8 +118,9 @@ class Automaton:
         for node, e in self.sets[state]:
             kids = self.children[node]
             if c in kids:
-                if e == 0 and self.stem[kids[c]]:
-                    return -2
+                if e == 0 and self.stem[kids[c]] is not None:
+                    self.stems.append(self.stem[kids[c]])
+                    return -1 - len(self.stems)
                 add(kids[c], e)
             if e + 1 <= self.budget[node] or node == 0:
                 add(node, e + 1)
@@ -121,8 +128,8 @@ class Automaton:
                     add(other, e + 1)
         return self._state(after) if after else -1
 
-    def find(self, word: str) -> str:
-        """"exact", "stem", "fuzzy" or "" for a lower-case word."""
+    def find(self, word: str) -> tuple[str, float] | None:
+        """("exact", "stem" or "fuzzy", weight) of a lower-case word, None if it is no term."""
         state, steps, alphabet = self.start, self.steps, self.alphabet
         for c in word:
             if c not in alphabet:
@@ -132,7 +139,7 @@ class Automaton:
                 row[c] = self._step(state, c)
             state = row[c]
             if state < 0:
-                return "stem" if state == -2 else ""
+                return ("stem", self.stems[-2 - state]) if state < -1 else None
         return self.ends[state]
 
 
@@ -140,20 +147,19 @@ def words(text: str) -> list[str]:
     return text.lower().split()
 
 
-def learn_terms(rows: list[tuple[str, int]]) -> list[tuple[str, bool]]:
-    """(word, is_stem) of the terms that mark toxic documents."""
+def learn_terms(rows: list[tuple[str, int]]) -> list[tuple[str, bool, float]]:
+    """(word, is_stem, weight) of the terms that mark toxic documents."""
     bare = lambda t: {_STRIP("", w) for w in set(words(t))} - {""}
+    begin = lambda found: {w[:k] for w in found for k in range(STEM_LETTERS, len(w) + 1)}
     rows = sorted(set(rows))  # copies of a document tell nothing new
     toxic = [bare(t) for t, y in rows if y]
     if not toxic or len(toxic) == len(rows):
         return []
-    n_clean = len(rows) - len(toxic)
-    begin = lambda found: {w[:k] for w in found for k in range(STEM_LETTERS, len(w) + 1)}
+    n_clean, least = len(rows) - len(toxic), max(LEAST, LEAST_SHARE * len(toxic))
     whole, stems = Counter(), Counter()
     for found in toxic:
         whole.update(found)
         stems.update(begin(found))
-    least = max(LEAST, LEAST_SHARE * len(toxic))
     common = whole
     whole = {w: n for w, n in whole.items() if n >= least}
     stems = {w: n for w, n in stems.items() if n >= least}
@@ -163,66 +169,76 @@ def learn_terms(rows: list[tuple[str, int]]) -> list[tuple[str, bool]]:
             found = bare(t)
             clean_whole.update(found & whole.keys())
             clean_stems.update(begin(found) & stems.keys())
-    marks = lambda n, m: n / len(toxic) >= RATIO * (m + 0.5) / n_clean
-    stems = {s: n for s, n in stems.items() if marks(n, clean_stems[s])}
+    weight = lambda n, m: float(np.log((n / len(toxic)) / ((m + 0.5) / n_clean)))
+    marks = lambda n, w: w >= np.log(RATIO) and n * w >= GAIN
+    stems = {s: (n, w) for s, n in stems.items() if marks(n, w := weight(n, clean_stems[s]))}
     below = defaultdict(set)  # the different words under each stem
     for found in toxic:
         for w in found:
             for k in range(STEM_LETTERS, len(w)):
                 if w[:k] in stems:
                     below[w[:k]].add(w)
-    chosen: list[str] = []
-    for s in sorted(stems, key=len):
-        if len(below[s]) < STEM_WORDS or any(s.startswith(c) for c in chosen) or max(common[w] for w in below[s]) > stems[s] / 2:
+    chosen: dict[str, float] = {}
+    beginnings: set[str] = set()
+    for s, (n, w) in sorted(stems.items(), key=lambda x: (-x[1][0] * x[1][1], -len(x[0]), x[0])):
+        if len(below[s]) < STEM_WORDS or max(common[x] for x in below[s]) > n / 2:
             continue
-        while longer := [x for x in (s + w[len(s)] for w in below[s] if len(w) > len(s)) if len(below[x]) >= STEM_WORDS and stems.get(x, 0) >= 0.95 * stems[s]]:
-            s = max(longer, key=lambda x: (stems[x], x))
-        if s not in chosen:
-            chosen.append(s)
-    short = [w for w, n in whole.items() if len(w) > 2 and marks(n, clean_whole[w]) and not w.startswith(tuple(chosen))]
-    return [(w, False) for w in sorted(short)] + [(s, True) for s in sorted(chosen)]
+        if s not in beginnings and not any(s[:k] in chosen for k in range(STEM_LETTERS, len(s) + 1)):
+            chosen[s] = w
+            beginnings |= {s[:k] for k in range(STEM_LETTERS, len(s) + 1)}
+    single = [(w, False, x) for w, n in whole.items() if len(w) > 2 and marks(n, x := weight(n, clean_whole[w]))]
+    return sorted(t for t in single if not any(t[0][:k] in chosen for k in range(STEM_LETTERS, len(t[0]) + 1))) + sorted((s, True, w) for s, w in chosen.items())
 
 
-def hits(found: list[str], kinds: dict[str, str]) -> np.ndarray:
-    """The seven features of one text from its words and the kinds of the words that are hits."""
-    counts = np.zeros(7)
+def hits(found: list[str], kinds: dict[str, tuple[str, float]]) -> np.ndarray:
+    """Summed weights of direct, quoted, misspelled and misspelled quoted hits, addressed hits, all hits."""
+    out = np.zeros(6)
     for i in [i for i, w in enumerate(found) if w in kinds]:
-        kind = {"exact": 0, "stem": 1, "fuzzy": 2}[kinds[found[i]]]
+        kind, weight = kinds[found[i]]
         before, after = found[max(0, i - WINDOW):i], found[i + 1:i + 1 + WINDOW]
         own = found[i]
         opened = own[0] in _OPEN or any(w[0] in _OPEN and w[-1] not in _CLOSE for w in before)
         closed = own.rstrip(".,;:!?")[-1:] in tuple(_CLOSE) or any(w.rstrip(".,;:!?")[-1:] in tuple(_CLOSE) and w[0] not in _OPEN for w in after)
         around = {_STRIP("", w) for w in before + after}
         quoted = (opened and closed) or bool(around & REPORTING)
-        counts[kind + 3 * quoted] += 1
-        counts[6] += not quoted and bool(around & SECOND)
-    return np.log1p(counts)
+        out[2 * (kind == "fuzzy") + quoted] += weight
+        out[4] += not quoted and bool(around & SECOND)
+        out[5] += 1
+    return out
 
 
 class Model:
-    def __init__(self, terms: list[tuple[str, bool]], weights: np.ndarray):
-        self.terms, self.weights, self.automaton = terms, weights, Automaton(terms)
+    """Terms, weights, and the hits a word that toxic texts have more than others."""
+
+    def __init__(self, terms: list[tuple[str, bool, float]], weights: np.ndarray, rate: float = 0.0):
+        self.terms, self.weights, self.rate, self.automaton = terms, weights, rate, Automaton(terms)
 
     def __getstate__(self):
-        return {"terms": self.terms, "weights": self.weights}
+        return {"terms": self.terms, "weights": self.weights, "rate": self.rate}
 
     def __setstate__(self, state):
         self.__init__(**state)
 
-    def features(self, texts: list[str]) -> np.ndarray:
+    def counts(self, texts: list[str]) -> np.ndarray:
+        """What `hits` gives, and the number of words."""
         split = [words(t) for t in texts]
         find = self.automaton.find
         kinds = {}
         for w in set().union(*split):
-            kind = find(w) if w.isalpha() else find(_STRIP("", w))
-            if kind:
+            if kind := find(w) if w.isalpha() else find(_STRIP("", w)):
                 kinds[w] = kind
-        found = kinds.keys()
-        none = np.zeros(7)
-        return np.array([none if found.isdisjoint(s) else hits(s, kinds) for s in split]).reshape(-1, 7)
+        found, none = kinds.keys(), np.zeros(6)
+        return np.array([[*(none if found.isdisjoint(s) else hits(s, kinds)), len(s)] for s in split]).reshape(-1, 7)
+
+    def features(self, counts: np.ndarray) -> np.ndarray:
+        return np.c_[np.minimum(counts[:, :5], MOST), np.minimum(counts[:, 6] * self.rate, MOST), np.ones(len(counts))]
+
+    def scores(self, counts: np.ndarray) -> np.ndarray:
+        return _logistic(self.features(counts) @ self.weights)
+
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -35, 35)))
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
 def train(rows: list[tuple[str, int]]) -> Model:
@@ -230,12 +246,20 @@ def train(rows: list[tuple[str, int]]) -> Model:
     model = Model(learn_terms(rows), PRIOR.copy())
     if not rows:
         return model
-    x = np.c_[np.concatenate([model.features([t for t, _ in rows[a:b]]) for a, b in slices([len(t) for t, _ in rows], 2_000_000)]), np.ones(len(rows))]
+    counts = np.concatenate([model.counts([t for t, _ in rows[a:b]]) for a, b in slices([len(t) for t, _ in rows], 2_000_000)])
     y, w = np.array([label for _, label in rows], dtype=float), PRIOR.copy()
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
+    per_word = [counts[y == k, 5].sum() / max(1, counts[y == k, 6].sum()) for k in (0, 1)]
+    model.rate = max(0.0, per_word[1] - per_word[0])
+    x = model.features(counts)
+    loss = lambda w: (np.logaddexp(0, x @ w) - y * (x @ w)).sum() + PRECISION / 2 * ((w - PRIOR) ** 2).sum()
+    for _ in range(50):
+        p = _logistic(x @ w)
         slope = x.T @ (p - y) + PRECISION * (w - PRIOR)
-        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + PRECISION * np.eye(8), slope)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + PRECISION * np.eye(len(w)), slope)
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
     model.weights = w
     return model
 
@@ -248,7 +272,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE)
         data = sorted(r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(data))], pa.binary())], ["model"])
 
-    return pickle.loads(rows.select("text", "label").coalesce(1).mapInArrow(run, "model binary").first()["model"])
+    found = rows.select("text", "label").coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(found["model"]) if found else train([])
 
 
 def score(docs: DataFrame, model: Model, *keep: str | Column) -> DataFrame:
@@ -261,10 +286,9 @@ def score(docs: DataFrame, model: Model, *keep: str | Column) -> DataFrame:
         m = shared.value
         for batch in batches:
             texts = batch.column(len(names)).to_pylist()
-            parts = [m.features(texts[a:b]) for a, b in slices([len(t) for t in texts], 2_000_000)]
+            parts = [m.counts(texts[a:b]) for a, b in slices([len(t) for t in texts], 2_000_000)]
             x = np.concatenate(parts) if parts else np.zeros((0, 7))
-            s = m.scores(x)
-            n = np.rint(np.expm1(x[:, :6]).sum(axis=1)).astype(np.int64)
+            s, n = m.scores(x), x[:, 5].astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32)), pa.array(n)],
                 [*names, "score", "predicted", "n_terms"])

@@ -11,9 +11,10 @@ either end of a word; only letters (and non-ASCII bytes) count, the rest reads a
 contains an n-gram if its rate there is at least `SHARE` of the sum of its rates over all languages
 and the sample has it twice; n-grams common to all languages therefore set no bits and cost nothing.
 
-Fit: at most `PER_LANGUAGE` labelled documents of each language, the smallest by hash, whole texts;
-that is the documented bound, and a hot source or language doesn't crowd out the others. More than
-64 languages take further bitmask words.
+Fit: at most `PER_LANGUAGE` labelled documents of each language (fewer where there are many languages:
+`SAMPLE` over all, but `FEWEST` each), the smallest by hash, whole texts; that is the documented bound,
+and a hot source or language doesn't crowd out the others. More than 64 languages take further bitmask
+words; more than `LANGUAGES` are refused, which bounds what is broadcast.
 
 Edge cases: null text, or one without a letter, is `und` with score 0; a text that no language claims
 is the language most frequent in the sample, with score 1 / languages; without any labelled document
@@ -23,6 +24,7 @@ rows are kept; empty tables give empty results; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 import re
 
 import numpy as np
@@ -30,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from triplespark.llm.common import remainder, text_or_empty
+from triplespark.llm.common import remainder
 from triplespark.llm.encoding import slices
 
-PER_LANGUAGE = 600
+PER_LANGUAGE, SAMPLE, FEWEST, LANGUAGES = 600, 9_600, 16, 1_000
 LENGTHS = (2, 3, 4)
 HASHES = 3
 SHARE = 0.55
@@ -133,9 +135,12 @@ class Filters:
 
 def fit(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> Filters:
     """Filters from at most `per_language` documents of each language among those that `learn` admits."""
-    spark = docs.sparkSession
     known = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    languages = sizes.count()
+    if languages > LANGUAGES:
+        raise ValueError(f"{languages} languages, more than {LANGUAGES}")
+    per_language = max(FEWEST, min(per_language, SAMPLE // max(1, languages)))
     # a hash threshold leaves about twice the wanted rows of each language before any ranking
     spread = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     near = (known.select("doc_id", "lang").join(F.broadcast(sizes), "lang")
@@ -145,15 +150,11 @@ def fit(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> Fil
     rows = known.join(F.broadcast(ids), ["doc_id", "lang"]).select("text", "lang")
 
     def train(batches):
-        import pickle
-
         data = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Filters.fit(data))], pa.binary())], ["model"])
 
-    import pickle
-
     model = rows.coalesce(1).mapInArrow(train, "model binary").first()
-    return pickle.loads(model["model"])
+    return pickle.loads(model["model"]) if model else Filters.fit([])
 
 
 def identify(docs: DataFrame, model: Filters, *keep: str | Column) -> DataFrame:

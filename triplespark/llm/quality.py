@@ -83,7 +83,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE)
         data = sorted(r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
         yield pa.RecordBatch.from_arrays([pa.array([train(data).astype(np.float32).tobytes()], pa.binary())], ["w"])
 
-    return np.frombuffer(rows.select("text", "label").coalesce(1).mapInArrow(run, "w binary").first()["w"], dtype=np.float32).astype(float)
+    found = rows.select("text", "label").coalesce(1).mapInArrow(run, "w binary").first()
+    return np.frombuffer(found["w"], dtype=np.float32).astype(float) if found else train([])
 
 
 def score(docs: DataFrame, weights: np.ndarray, *keep: str | Column) -> DataFrame:

@@ -52,6 +52,7 @@ def test_recall(spark):
 def test_copies_ties_and_unusable_vectors(spark):
     rng = np.random.default_rng(1)
     vectors = {i: rng.standard_normal(8).astype(np.float32) for i in range(0, 200)}
+    vectors[40] *= 10
     for i in range(200, 420):
         vectors[i] = vectors[40]  # one vector that most rows share
     bad = [(500, None), (520, [0.0] * 8), (540, [1.0] * 7 + [None]), (560, [float("nan")] * 8), (580, [float("inf")] + [1.0] * 7), (600, [1.0, 2.0]), (None, [1.0] * 8), (620, [])]
@@ -75,7 +76,8 @@ def test_stages_on_awkward_rows(spark):
     benchmark = spark.createDataFrame([(1, "the lazy dog and runs away from here now over")], "item_id long, text string")
     for empty in (False, True):
         rows = d.filter("false") if empty else d
-        for out in (stages.keep_quality(rows, y), stages.keep_one_of_each(rows), stages.keep_uncontaminated(rows, benchmark), stages.without_pii(rows)):
+        assert stages.keep_quality(rows, y).columns == d.columns and stages.keep_quality(rows, y).count() <= rows.count()
+        for out in (stages.keep_one_of_each(rows), stages.keep_uncontaminated(rows, benchmark), stages.without_pii(rows)):
             assert out.columns == d.columns
             assert out.count() == 0 if empty else out.count() > 0
     kept = [r["doc_id"] for r in stages.keep_one_of_each(d).collect()]
@@ -112,4 +114,4 @@ def test_entry_without_the_subpackage(tmp_path):
 
     shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
     code = "import __spark_entry__ as e; names = e.queries(); assert names and not any(n.startswith('op') or n == 'pipeline' for n in names); assert set(e.oracle_sql()) <= set(names)"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", check=True)
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", env=os.environ | {"PYTHONPATH": str(tmp_path / "repo")}, check=True)

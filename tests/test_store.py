@@ -174,6 +174,9 @@ def test_command_line(spark, nt, tmp_path, capsys, monkeypatch):
     assert "Total : 18 rows" in out and "...." in out and len(out.splitlines()) == 9
     cli.main(["query", db, "--sparql", str(q), "--explain"])
     cli.main(["query", db, "--sparql", str(q), "--dot"])
+    capsys.readouterr()
+    cli.main(["query", db, "--sparql", str(q), "--profile"])
+    assert json.loads(capsys.readouterr().out)["rows"] == 18
     cli.main(["query", db, "--sparql", str(q), "--out", str(tmp_path / "result")])
     assert spark.read.parquet(str(tmp_path / "result")).count() == 18
     cli.main(["bench", db, str(tmp_path), "--warm-up", "0", "--timed", "2", "--log", str(tmp_path / "log")])
@@ -186,3 +189,18 @@ def test_command_line(spark, nt, tmp_path, capsys, monkeypatch):
     cli.repl(Store.open(spark, db), lambda _: next(said))
     out = capsys.readouterr().out
     assert "Total : 18 rows" in out and "Not supported command" in out and "No such file" in out
+
+
+def test_server():
+    import threading
+    import urllib.error
+    import urllib.request
+
+    with cli.server(0) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        url = f"http://127.0.0.1:{server.server_address[1]}"
+        with urllib.request.urlopen(url + "/") as r:
+            assert json.load(r) == {"statusCode": 200, "message": "Hello World!"}
+        with pytest.raises(urllib.error.HTTPError):
+            urllib.request.urlopen(url + "/query")
+        server.shutdown()

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triplespark.operators import statistics
+from triplespark.operators.renumber import METHODS, renumber
 from triplespark.sources import ntriples
 from triplespark.sources.relations import RELATIONAL, Mapped
-from triplespark.sources.store import Dataset
+from triplespark.sources.store import Dataset, Store, decode, dictionary_of, encode
 
 PREFIX = "PREFIX : <http://ex/> PREFIX region: <http://ex/region/> PREFIX nation: <http://ex/nation/> PREFIX customer: <http://ex/customer/>\n"
 
@@ -113,6 +117,74 @@ def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ntriples.cleaned(lines).select(F.col("value").alias("line"))
 
 
+def _work(spark: SparkSession) -> str:
+    """A new folder that all executors see; a local one only where none is named."""
+    return f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()).rstrip('/')}/triplespark-{uuid.uuid4().hex}"
+
+
+def _stage(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
+    def stage(df: DataFrame) -> DataFrame:
+        path = _work(spark)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return stage
+
+
+_SMALL = ("region", "nation", "customer", "supplier")
+
+
+def _store(text: str, **options) -> Callable[[SparkSession, str], DataFrame]:
+    """A query over a store on disk, built from the smaller tables' triples."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return Store.build(spark, Mapped(spark, sf_dir, _SMALL).table(), _work(spark), **options).sparql(PREFIX + text)
+
+    return run
+
+
+def _from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triples written as N-Triples and read again."""
+    path = _work(spark)
+    ntriples.write(Mapped(spark, sf_dir, _SMALL).table(), path)
+    return ntriples.read(spark, path)
+
+
+def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triples to ids and back."""
+    stage = _stage(spark)
+    triples = stage(Mapped(spark, sf_dir, _SMALL).table())
+    dictionary = stage(dictionary_of(triples))
+    return decode(stage(encode(triples, dictionary)), dictionary)
+
+
+def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each renumbering: ids, new ids, and how far the new ones reach where they are dense."""
+    stage = _stage(spark)
+    triples = stage(Mapped(spark, sf_dir, _SMALL).table())
+    dictionary = stage(dictionary_of(triples))
+    ids = stage(encode(triples, dictionary))
+    parts = [
+        renumber(m, ids, dictionary, stage).agg(
+            F.count(F.lit(1)).alias("ids"), F.count_distinct("new_id").alias("new_ids"),
+            F.when(F.lit(m == "spread"), F.lit(0).cast("long")).otherwise(F.max("new_id")).cast("long").alias("largest"),
+        ).select(F.lit(m).alias("method"), "ids", "new_ids", "largest")
+        for m in METHODS if m != "none"
+    ]
+    return reduce(DataFrame.unionAll, parts)
+
+
+_SMALL_SQL = _triples_sql(*_SMALL)
+_TERMS = f"SELECT count(DISTINCT t) AS n FROM (SELECT unnest([s, p, o]) AS t FROM {_SMALL_SQL})"
+STORES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "store_chain": (_store('SELECT ?c ?n { ?c :c_nation ?n . ?n :n_region ?r . ?r :r_name "EUROPE" }'),
+                    _distinct({"c": _iri("customer", "c_custkey"), "n": _iri("nation", "c_nationkey")}, "FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE'")),
+    "store_full_index": (_store("SELECT ?s ?p { ?s ?p nation:5 }", full_index=True, literal_dict=True, method="degree"),
+                         f"SELECT DISTINCT s, p FROM {_SMALL_SQL} WHERE o = '<http://ex/nation/5>'"),
+    "ntriples_files": (_from_files, f"SELECT s, p, o FROM {_SMALL_SQL}"),
+    "dictionary_codes": (_coded, f"SELECT s, p, o FROM {_SMALL_SQL}"),
+    "renumberings": (_numbers, " UNION ALL ".join(f"SELECT '{m}' AS method, n AS ids, n AS new_ids, {'0::BIGINT' if m == 'spread' else 'n'} AS largest FROM ({_TERMS})" for m in METHODS if m != "none")),
+}
+
 STATISTICS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "store_counts": (lambda s, d: statistics.store_counts(Mapped(s, d).table()),
                      f"SELECT count(*) AS triples, count(DISTINCT s) AS subjects, count(DISTINCT p) AS predicates, count(DISTINCT o) AS objects FROM {_ALL}"),
@@ -139,7 +211,7 @@ STATISTICS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = (
     {n: _bgp(text) for n, (text, _) in BGPS.items()}
     | {n: _bgp(text, tables) for n, (tables, text, _) in OTHER.items()}
-    | {n: f for n, (f, _) in STATISTICS.items()}
+    | {n: f for n, (f, _) in (STATISTICS | STORES).items()}
 )
-ORACLES: dict[str, str] = {n: sql for n, (_, sql) in BGPS.items()} | {n: sql for n, (_, _, sql) in OTHER.items()} | {n: sql for n, (_, sql) in STATISTICS.items()}
+ORACLES: dict[str, str] = {n: sql for n, (_, sql) in BGPS.items()} | {n: sql for n, (_, _, sql) in OTHER.items()} | {n: sql for n, (_, sql) in (STATISTICS | STORES).items()}
 FLAGSHIP = "chain4"

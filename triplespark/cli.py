@@ -55,6 +55,26 @@ def repl(store, read=input) -> None:
             print("Not supported command")
 
 
+def server(port: int = 8000):
+    """An HTTP server whose root answers that it is there."""
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            found = self.path == "/"
+            body = json.dumps({"statusCode": 200, "message": "Hello World!"} if found else {"statusCode": 404, "message": "Not found"}).encode()
+            self.send_response(200 if found else 404)
+            self.send_header("Content-Type", "application/json")
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    return ThreadingHTTPServer(("0.0.0.0", port), Handler)
+
+
 def main(args: list[str] | None = None) -> int:
     from triplespark.operators.renumber import METHODS
     from triplespark.sources import ntriples
@@ -75,6 +95,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--sparql")
     p.add_argument("--preload", action="store_true")
     p.add_argument("--explain", action="store_true")
+    p.add_argument("--profile", action="store_true", help="seconds by phase, rows and steps")
     p.add_argument("--dot", action="store_true")
     p.add_argument("--out", help="write the result as Parquet")
     p = sub.add_parser("bench", help="time the query files of a folder")
@@ -90,7 +111,12 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("store")
     p.add_argument("target")
     p.add_argument("--format", choices=("ntriples", "graph", "graphml", "ids", "histograms"), default="ntriples")
+    p = sub.add_parser("serve", help="answer HTTP requests")
+    p.add_argument("--port", type=int, default=8000)
     a = parser.parse_args(args)
+    if a.command == "serve":
+        server(a.port).serve_forever()
+        return 0
     spark = _session(a.cores)
     if a.command == "build":
         store = Store.build(spark, a.source, a.store, a.full_index, a.literal_dict, a.renumber, a.spread)
@@ -110,6 +136,8 @@ def main(args: list[str] | None = None) -> int:
             text = Path(a.sparql).read_text(encoding="utf-8")
             if a.explain or a.dot:
                 print(store.explain(text) if a.explain else store.dot(text))
+            elif a.profile:
+                print(json.dumps(store.profile(text)))
             elif a.out:
                 store.sparql(text).write.parquet(a.out)
             else:

@@ -12,6 +12,7 @@ terms appear only when constants are looked up and when results are decoded.
 
 from __future__ import annotations
 
+import time
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -89,6 +90,19 @@ class Dataset:
     def shape(self, text: str) -> str:
         return planner.shape(parse(text))
 
+    def profile(self, text: str) -> dict:
+        """Seconds of parsing, planning and execution, the rows, and the steps with their estimates."""
+        marks = [time.perf_counter()]
+        query = parse(text)
+        marks.append(time.perf_counter())
+        rows = self.sparql(query)
+        marks.append(time.perf_counter())
+        n = rows.count()
+        marks.append(time.perf_counter())
+        parse_s, plan_s, run_s = (round(b - a, 6) for a, b in zip(marks, marks[1:]))
+        steps = [f"{s.op} {s.pattern} (~{s.rows})" for g in planner.plan(query, self.relation.sizes()) for s in g]
+        return {"parse_s": parse_s, "plan_s": plan_s, "run_s": run_s, "rows": n, "shape": planner.shape(query), "steps": steps}
+
     def show(self, text: str, limit: int = 7) -> int:
         """Print the first rows and the total, and return it."""
         rows = self.sparql(text).cache()

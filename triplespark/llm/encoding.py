@@ -16,7 +16,10 @@ CACHE_BYTES = 160_000_000
 #: White space other than single blanks and newlines, or what may start a special token.
 _WHOLE = re.compile(r"[^\S \n]|\s\s|<\|")
 #: Letters and the marks after them: two pieces to either pre-tokenizer, none changed by normalisation but for case.
-_PLAIN = re.compile(r"([A-Za-z]+)([.,;:!?]*)\Z").match
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)\Z").match
+#: Byte-level tokenizers write a byte as itself where that is a visible character, the others from U+0100 on, in order.
+_VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_AS_CHARACTER = {b: 0x100 + i for i, b in enumerate(sorted({*range(256)} - {*_VISIBLE}))}
 
 
 def tokenizer_path(name: str, folder: str | None = None) -> str:
@@ -84,7 +87,11 @@ class Encoder:
         for x in new:
             if m := _PLAIN(x):
                 word, mark = m.groups()
-                ids = piece(mapped + (word if self.kind == "led" else word.lower()))
+                if self.kind == "dropped":
+                    word = word.lower()
+                if not word.isascii():
+                    word = word.encode().decode("latin-1").translate(_AS_CHARACTER)
+                ids = piece(mapped + word)
                 if mark:
                     if mark not in marks:
                         marks[mark] = piece(mark)

@@ -80,7 +80,7 @@ def _signed(x: int) -> int:
 
 
 def postings(prints: DataFrame) -> DataFrame:
-    """key, fp: a row for each fingerprint and combination; the key is hashed from the list's entries."""
+    """combination, shared, fp: a row for each fingerprint and combination; a list has the first two in common."""
     masks = F.array(*[F.lit(_signed(m)) for m, _ in _combinations()])
     each = prints.select("fp", F.posexplode(masks).alias("combination", "mask"))
     return each.select("combination", F.col("fp").bitwiseAND(F.col("mask")).alias("shared"), "fp")

@@ -25,7 +25,6 @@ rows are kept; empty tables give empty results; other columns are ignored.
 from __future__ import annotations
 
 import pickle
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +39,6 @@ LENGTHS = (2, 3, 4)
 HASHES = 3
 SHARE = 0.55
 SLOT_BITS = 20
-_LETTER = re.compile(r"[^\W\d_]").search
 #: Lower-cases A-Z and blanks what is neither letter nor non-ASCII.
 _TABLE = np.array([c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256)], dtype=np.uint32)
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
@@ -129,7 +127,7 @@ class Filters:
         best, total = evidence.argmax(axis=1), evidence.sum(axis=1)
         best = np.where(total > 0, best, self.prior)
         score = np.where(total > 0, evidence[np.arange(len(known)), best] / np.maximum(total, 1e-12), 1 / len(self.languages))
-        letter = np.array([bool(_LETTER(t)) for t in known], dtype=bool)
+        letter = np.array([any(map(str.isalpha, t)) for t in known], dtype=bool)
         return [self.languages[b] if ok else "und" for b, ok in zip(best, letter)], np.where(letter, score, 0.0)
 
 

@@ -86,34 +86,39 @@ class Index:
 
 
 def scan(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, rotation: np.ndarray, k: int):
-    """For each query the k best of a part: (ids, scores), best first, ties to the smaller id."""
+    """The k best of a part for each query: (how many, ids, scores), query after query, best first, ties
+    to the smaller id. `ids` are ascending."""
     n, d = vectors.shape
     q, x = queries @ rotation, vectors @ rotation
-    qn, xn = (q ** 2).sum(axis=1), (x ** 2).sum(axis=1)
+    norms = (q ** 2).sum(axis=1)[:, None] + (x ** 2).sum(axis=1)[None, :]
     blocks = [slice(a, min(a + COLUMNS, d)) for a in range(0, d, COLUMNS)]
-    first = min(n, 4 * k)  # these fix the first threshold
-    start = queries @ vectors[:first].T
-    limit = np.partition(start, first - k, axis=1)[:, first - k] if first >= k else np.full(len(q), -np.inf)
-    # all queries against the first column block at once, then the survivors of each query
-    bound = qn[:, None] + xn[None, :] - 2 * limit[:, None]
-    test = lambda seen: d / seen / (1 + EPSILON / np.sqrt(seen)) ** 2 if seen < d else 1.0
-    part = (q[:, blocks[0]] ** 2).sum(axis=1)[:, None] + (x[:, blocks[0]] ** 2).sum(axis=1)[None, :] - 2 * q[:, blocks[0]] @ x[:, blocks[0]].T
-    slack = 1e-9 * (qn[:, None] + xn[None, :])
-    alive = part * test(blocks[0].stop) <= bound + slack
-    out = []
-    for i in range(len(q)):
-        keep = np.flatnonzero(alive[i])
-        partial = part[i, keep]
-        for b in blocks[1:]:
-            if len(keep) <= 2 * k:
+    part = lambda b, c: (q[:, b] ** 2).sum(axis=1)[:, None] + (x[c, b] ** 2).sum(axis=1)[None, :] - 2 * q[:, b] @ x[c, b].T
+    partial = part(blocks[0], slice(None))
+    # the candidates that look best after one block fix the threshold
+    m = min(n, 3 * k)
+    looks = norms - partial * (d / blocks[0].stop)
+    seeds = np.argpartition(-looks, m - 1, axis=1)[:, :m]
+    exact = np.einsum("qmd,qd->qm", vectors[seeds], queries)
+    limit = np.partition(exact, m - k, axis=1)[:, m - k] if m >= k else np.full(len(q), -np.inf)
+    bound = norms - 2 * limit[:, None] + 1e-9 * norms
+    alive = np.ones(partial.shape, dtype=bool)
+    for b in blocks:
+        columns = np.flatnonzero(alive.any(axis=0))
+        if b.start:
+            if alive.sum() <= 4 * k * len(q):
                 break
-            partial = partial + ((x[keep, b] - q[i, b]) ** 2).sum(axis=1)
-            ok = partial * test(b.stop) <= bound[i, keep] + slack[i, keep]
-            keep, partial = keep[ok], partial[ok]
-        score = (vectors[keep] * queries[i]).sum(axis=1)  # row by row: equal vectors get equal scores
-        order = np.lexsort((ids[keep], -score))[:k]
-        out.append((ids[keep][order], score[order]))
-    return out
+            partial[:, columns] += part(b, columns)
+        seen = b.stop
+        reject = d / seen / (1 + EPSILON / np.sqrt(seen)) ** 2 if seen < d else 1.0
+        alive[:, columns] &= partial[:, columns] * reject <= bound[:, columns]
+    np.put_along_axis(alive, seeds, True, axis=1)
+    row, column = np.nonzero(alive)
+    score = np.concatenate([(vectors[column[a:a + 100_000]] * queries[row[a:a + 100_000]]).sum(axis=1) for a in range(0, len(row), 100_000)])  # row by row: equal vectors get equal scores
+    order = np.lexsort((column, -score, row))
+    many = np.bincount(row, minlength=len(q))
+    place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    order = order[place < k]
+    return np.minimum(many, k), ids[column[order]], score[order]
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
@@ -164,9 +169,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
         order = np.argsort(xi)
         xi, x = xi[order], x[order]
         q, qi = _matrix(col(b, "v")), col(b, "rep").to_numpy()
-        found = [r for s in range(0, len(q), 256) for r in scan(q[s:s + 256], xi, x, shared.value.rotation, k + 1)]
-        return pa.table({"rep": pa.array(qi), "found": pa.array([f.tolist() for f, _ in found], pa.list_(pa.int64())),
-                         "scores": pa.array([s.tolist() for _, s in found], pa.list_(pa.float64()))})
+        found = [scan(q[s:s + 256], xi, x, shared.value.rotation, k + 1) for s in range(0, len(q), 256)]
+        many, near, score = (np.concatenate(z) for z in zip(*found))
+        ends = pa.array(np.r_[0, np.cumsum(many)], pa.int32())
+        return pa.table({"rep": pa.array(qi), "found": pa.ListArray.from_arrays(ends, pa.array(near)), "scores": pa.ListArray.from_arrays(ends, pa.array(score))})
 
     met = left.groupBy("list", "x", "q").cogroup(right.groupBy("list", "x", "q")).applyInArrow(meet, "rep long, found array<long>, scores array<double>")
     pairs = met.select("rep", F.explode(F.arrays_zip("found", "scores")).alias("p")).select("rep", F.col("p.found").alias("near"), F.col("p.scores").alias("score"))
@@ -175,6 +181,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     members = nearest.join(copies.select(F.col("rep").alias("near"), "ids"), "near").select("rep", "score", F.explode("ids").alias("vec_id"))
     top = members.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("score"), "vec_id"))).filter(F.col("place") <= k + 1)
     answers = top.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("all"))
+    answers = stored(answers, "answers")  # a plain scan: a vector that many queries share can be split among tasks
     own = asked.join(answers, "rep").select(F.col("vec_id").alias("query_id"), F.posexplode(
         F.slice(F.filter("all", lambda x: x["vec_id"] != F.col("vec_id")), 1, k)).alias("rank", "x"))
     return own.select("query_id", (F.col("rank") + 1).alias("rank"), "x.vec_id", "x.score")

@@ -68,7 +68,8 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
             both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         else:
             both = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        # stored, so that the join has plain scans on both sides and Spark can split a hub that many nodes link to
+        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "least")
         linked = both.join(least, "a")
         if large:
             moved = linked.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))

@@ -193,9 +193,9 @@ def near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
     marked = stored(fingerprints(docs), "fingerprints")
     prints = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     classes = components(prints.select(F.col("fp").alias("node")), links(prints.select("fp"), distance))
-    named = prints.join(classes, prints["fp"] == classes["node"])
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_print = named.join(least, "component").select("fp", "component_id")
+    named = stored(prints.join(classes, prints["fp"] == classes["node"]).select("fp", "least", "component"), "classes")
+    least = stored(named.groupBy("component").agg(F.min("least").alias("component_id")), "least")
+    by_print = stored(named.join(least, "component").select("fp", "component_id"), "classes")  # plain scans: hot classes and fingerprints can be split
     return marked.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 

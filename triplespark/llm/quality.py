@@ -87,25 +87,25 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE)
     return np.frombuffer(found["w"], dtype=np.float32).astype(float) if found else train([])
 
 
-def score(docs: DataFrame, weights: np.ndarray, *keep: str | Column) -> DataFrame:
-    """The kept columns, score and predicted."""
+def score(docs: DataFrame, weights: np.ndarray, *keep: str | Column, text: str | None = None) -> DataFrame:
+    """The kept columns, score and predicted; `text` names the kept column that holds the text, if one does."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    rows = docs.select(*keep, text_or_empty().alias("__text"))
-    names = rows.columns[:-1]
+    rows = docs.select(*keep) if text else docs.select(*keep, text_or_empty().alias("__text"))
+    kept = rows if text else rows.drop("__text")
+    names, at = kept.columns, rows.columns.index(text or "__text")
 
     def run(batches):
         w = shared.value
         for batch in batches:
             scores = []
-            for t in batch.column(len(names)).to_pylist():
-                i, x = features(t)
+            for t in batch.column(at):  # one at a time: the texts of a batch are not all copied at once
+                i, x = features(t.as_py())
                 scores.append(float(_logistic(x @ w[i] + w[-1])))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())],
+                [*batch.columns[:len(names)], pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())],
                 [*names, "score", "predicted"])
 
-    out = rows.drop("__text").withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(run, kept.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema)
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:

@@ -55,30 +55,34 @@ def words(text: str | bytes | None) -> list[bytes]:
     return (text.encode() if isinstance(text, str) else text).translate(_TABLE).split()
 
 
+def _index_of(texts: list[bytes | None]) -> dict:
+    """The inverted index of a shard: terms, their counts and positions, and where each text starts."""
+    numbers: dict[bytes, int] = {}
+    number = numbers.setdefault
+    ids, starts, n_words, at = [], [], [], 0
+    for t in texts:
+        found = words(t)
+        ids.append(np.fromiter((number(w, len(numbers)) for w in found), np.int32, len(found)))
+        starts.append(at)
+        n_words.append(len(found))
+        at += len(found) + GAP
+    term, n = np.concatenate(ids), np.array(n_words)
+    where = np.arange(len(term), dtype=np.int32) + np.repeat(np.array(starts, dtype=np.int32) - (np.cumsum(n) - n).astype(np.int32), n)
+    return {"terms": list(numbers), "counts": np.bincount(term, minlength=len(numbers)).astype(np.int32),
+            "positions": where[np.argsort(term, kind="stable")].astype(np.int32), "starts": starts, "n_words": n_words}
+
+
 def _shards(batches):
     task, shard = TaskContext.get().partitionId(), 0
     for batch in batches:
         texts = batch.column(1).cast(pa.binary())
         keys = batch.column(0).to_pylist()
         for a, b in slices(pc.binary_length(texts).to_pylist(), SHARD_BYTES):
-            numbers: dict[bytes, int] = {}
-            number = numbers.setdefault
-            ids, starts, n_words, at = [], [], [], 0
-            for t in texts.slice(a, b - a).to_pylist():
-                found = words(t)
-                ids.append(np.fromiter((number(w, len(numbers)) for w in found), np.int32, len(found)))
-                starts.append(at)
-                n_words.append(len(found))
-                at += len(found) + GAP
-            term = np.concatenate(ids)
-            n = np.array(n_words)
-            where = np.arange(len(term), dtype=np.int32) + np.repeat(np.array(starts, dtype=np.int32) - (np.cumsum(n) - n).astype(np.int32), n)
-            positions = where[np.argsort(term, kind="stable")].astype(np.int32)
+            x = _index_of(texts.slice(a, b - a).to_pylist())
             row = [pa.array([task], pa.int32()), pa.array([shard], pa.int32()), pa.array([keys[a:b]], pa.list_(pa.int64())),
-                   pa.array([starts], pa.list_(pa.int32())), pa.array([n_words], pa.list_(pa.int32())),
-                   pa.array([list(numbers)], pa.list_(pa.binary())),
-                   _one_list(np.bincount(term, minlength=len(numbers)).astype(np.int32)), _one_list(positions)]
-            yield pa.RecordBatch.from_arrays(row, [x.split()[0] for x in INDEX.split(", ")])
+                   pa.array([x["starts"]], pa.list_(pa.int32())), pa.array([x["n_words"]], pa.list_(pa.int32())),
+                   pa.array([x["terms"]], pa.list_(pa.binary())), _one_list(x["counts"]), _one_list(x["positions"])]
+            yield pa.RecordBatch.from_arrays(row, [c.split()[0] for c in INDEX.split(", ")])
             shard += 1
 
 
@@ -120,7 +124,7 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def search_shard(row: dict, block: dict, slop: int) -> tuple[tuple, tuple]:
-    """Phrase and proximity matches in a shard: (window, first position, end) of each."""
+    """Phrase matches in a shard, and proximity matches unless slop is 0: (window, first position, end) of each."""
     none = (np.zeros(0, np.int64),) * 3
     table = block["table"]
     if not len(table):
@@ -155,6 +159,8 @@ def search_shard(row: dict, block: dict, slop: int) -> tuple[tuple, tuple]:
         keep = (term == -2) | has(np.maximum(term, 0), first + order[owner, k])
         owner, first = owner[keep], first[keep]
     exact = (live[owner], first, first + length[owner])
+    if not slop:
+        return exact, none
     # proximity: the nearest of each of the next two rarest terms, on either side of the rarest
     wide = np.flatnonzero(length >= 3)
     wide = wide[(terms[wide, order[wide, 0]] != terms[wide, order[wide, 1]]) & (counts[terms[wide, order[wide, 0]]] <= 64)]
@@ -234,18 +240,19 @@ def _cover(spans) -> F.Column:
     return F.flatten(F.transform(merged, lambda x: F.array(x["a"], x["b"])))
 
 
+def _blocks(spark, benchmark: DataFrame, width: int) -> list:
+    """The test set's windows, broadcast block by block: the stated query side, which passes the driver item by item."""
+    items = ((r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator())
+    return [spark.sparkContext.broadcast(_encode_block(b, width)) for b in windows_of(items, width)]
+
+
 def matches(index: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 20) -> DataFrame:
     """doc_id, n_words, spans, items, near: for each document of the index its hit spans, word positions
     [start, end) laid flat, the items with phrase matches, and those with proximity matches only."""
     if slop >= GAP:
         raise ValueError(f"slop must be below {GAP}")
     spark = index.sparkSession
-    # the test set is the stated query side; it passes the driver item by item, in bounded blocks
-    items = ((r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator())
-    found = [
-        index.mapInArrow(_search(spark.sparkContext.broadcast(_encode_block(b, width)), slop, i == 0), HITS)
-        for i, b in enumerate(windows_of(items, width))
-    ]
+    found = [index.mapInArrow(_search(b, slop, i == 0), HITS) for i, b in enumerate(_blocks(spark, benchmark, width))]
     if len(found) == 1:
         return found[0].drop("task", "shard", "place")
     kept = lambda c: F.filter(F.collect_list(c), lambda s: F.size(s) > 0)
@@ -263,6 +270,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "near")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
+    """The rows without a phrase match, with all their columns.
+
+    Each shard's index is built and searched where its rows are, and not stored: the rows need no join
+    with a list of hits, which would shuffle all texts once the hits outgrow a broadcast.
+    """
+    blocks = _blocks(docs.sparkSession, benchmark, width)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(at).cast(pa.binary())
+            for a, b in slices([n or 0 for n in pc.binary_length(texts).to_pylist()], SHARD_BYTES):
+                row = _index_of(texts.slice(a, b - a).to_pylist())
+                keep = np.ones(b - a, dtype=bool)
+                for block in blocks:
+                    (_, low, _), _ = search_shard(row, block.value, 0)
+                    keep[np.searchsorted(np.array(row["starts"]), low, "right") - 1] = False
+                yield batch.slice(a, b - a).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items."""
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))

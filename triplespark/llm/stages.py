@@ -13,7 +13,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents that the classifier predicts as good, learnt from labels that are not held out."""
     weights = quality.fit(docs, labels, remainder("doc_id", 4) != 2)
     held = [F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(docs.columns)]  # any names of theirs may clash with ours
-    kept = quality.score(docs.select(*held, "text"), weights, *[f"__{i}" for i in range(len(held))]).filter(F.col("predicted") == 1)
+    kept = quality.score(docs.select(held), weights, *[f"__{i}" for i in range(len(held))], text=f"__{docs.columns.index('text')}").filter(F.col("predicted") == 1)
     return kept.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
@@ -24,7 +24,8 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """
     named = docs.filter(F.col("doc_id").isNotNull())
     found = stored(simhash.near_duplicates(named).filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count(), "representatives")
-    kept = named.join(found.select("doc_id"), "doc_id", "left_semi")
+    # the ids grow with the documents, so the texts are shuffled to them at every size; ids are hashed, texts not sorted
+    kept = named.join(found.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
     twice = found.filter(F.col("count") > 1).select("doc_id")
     if not twice.isEmpty():  # a doc_id with several rows: any one of them
         kept = kept.join(twice, "doc_id", "left_anti").unionAll(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
@@ -32,10 +33,8 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents without a benchmark window; rows with a null doc_id, which none can name, stay."""
-    hit = decontamination.contamination(docs.filter(F.col("doc_id").isNotNull()), benchmark).filter(F.col("n_hit") > 0)
-    hit = stored(hit.select("doc_id").distinct(), "contaminated")
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    """Rows without a benchmark window."""
+    return decontamination.clean(docs, benchmark)
 
 
 def without_pii(docs: DataFrame) -> DataFrame:

@@ -142,10 +142,18 @@ class Mapped(Relation):
     def __init__(self, spark: SparkSession, folder: str, tables: tuple[str, ...] = RELATIONAL, vocabulary: dict[str, Source] = VOCABULARY):
         self.spark = spark
         self.sources = {f"<{EX}{name}>": source for name, source in vocabulary.items() if source.table in tables}
-        self.tables = {t: spark.read.parquet(f"{folder}/{t}.parquet") for t in tables}
-        self.types = {t: dict(df.dtypes) for t, df in self.tables.items()}
+        self.folder, self.names = folder, tables
+        self._read: dict[str, DataFrame] = {}
+
+    def frame(self, name: str) -> DataFrame:
+        """A table, opened when a pattern first needs it."""
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._read[name]
 
     def match(self, s, p, o) -> DataFrame:
+        if s is None and p is None and o is None:
+            return self.table()
         wanted = self.sources if p is None else {p: self.sources[p]} if p in self.sources else {}
         parts = [x for name, source in wanted.items() if (x := self._match_one(name, source, s, o)) is not None]
         if not parts:
@@ -153,7 +161,8 @@ class Mapped(Relation):
         return reduce(DataFrame.unionAll, parts)
 
     def _match_one(self, name: str, source: Source, s, o) -> DataFrame | None:
-        rows, types = self.tables[source.table], self.types[source.table]
+        rows = self.frame(source.table)
+        types = dict(rows.dtypes)
         for place, x in ((source.subject, s), (source.object, o)):
             condition = place.present() if x is None else place.equals(x, types)
             if condition is None:
@@ -164,9 +173,10 @@ class Mapped(Relation):
     def table(self) -> DataFrame:
         """All triples, each table read once: its predicates are exploded together."""
         parts = []
-        for t, df in self.tables.items():
+        for t in self.names:
             own = {n: x for n, x in self.sources.items() if x.table == t}
             if own:
+                df = self.frame(t)
                 each = F.array(*[F.struct(x.subject.term().alias("s"), F.lit(n).alias("p"), x.object.term().alias("o")) for n, x in own.items()])
                 rows = df.select(F.inline(each))
                 parts.append(rows.filter("s is not null and o is not null"))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triplespark.llm.common import stored, text_or_empty
-from triplespark.llm.encoding import slices
+from triplespark.llm.encoding import release, slices
 
 SHARD_BYTES = 8_000_000
 BLOCK_WINDOWS = 200_000
@@ -280,6 +280,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
+        release()
         for batch in batches:
             texts = batch.column(at).cast(pa.binary())
             for a, b in slices([n or 0 for n in pc.binary_length(texts).to_pylist()], SHARD_BYTES):

@@ -145,6 +145,11 @@ def encoder(path: str, ids: bool) -> Encoder:
     return Encoder(path, ids)
 
 
+def release() -> None:
+    """Drop what an earlier stage has left in this Python worker; workers outlive stages."""
+    encoder.cache_clear()
+
+
 def slices(sizes: list[int], most: int):
     """Ranges of rows with about `most` units in each, one row at least."""
     start = total = 0

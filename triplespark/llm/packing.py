@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from triplespark.llm.common import stored, text_or_empty
-from triplespark.llm.encoding import encoder, slices, tokenizer_path
+from triplespark.llm.encoding import encoder, release, slices, tokenizer_path
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, local_rank long"
 #: Most runs of a plan that may be broadcast (48 bytes each).
@@ -110,6 +110,7 @@ def plan(counts, capacity: int) -> tuple[np.ndarray, int]:
 
 def _placed(shared):
     def run(batches):
+        release()  # the texts are encoded by now
         runs = shared.value
         keys = (runs[:, 0] << 48) + runs[:, 1]
         for batch in batches:

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triplespark.llm.common import labelled_sample, remainder, text_or_empty
+from triplespark.llm.encoding import release
 
 SAMPLE = 8_000
 BITS = 18
@@ -95,6 +96,7 @@ def score(docs: DataFrame, weights: np.ndarray, *keep: str | Column, text: str |
     names, at = kept.columns, rows.columns.index(text or "__text")
 
     def run(batches):
+        release()
         w = shared.value
         for batch in batches:
             scores = []

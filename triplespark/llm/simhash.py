@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triplespark.llm.common import components, stored, text_or_empty
+from triplespark.llm.encoding import release
 
 BITS, BYTES, SHARED = 64, 8, 5
 #: Lists up to this length compare all pairs, longer ones look up neighbours.
@@ -59,6 +60,7 @@ def fingerprint(text: str) -> int:
 
 
 def _fingerprints(batches):
+    release()
     for batch in batches:
         prints = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])

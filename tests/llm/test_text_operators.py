@@ -140,6 +140,9 @@ def test_decontamination(spark, monkeypatch, block):
     expected = contaminated([r[:2] for r in rows], items)
     assert sorted(((*r[:3], list(r[3])) for r in out), key=repr) == sorted(expected, key=repr)
     assert all(not set(r[3]) & set(r[4]) for r in out)
+    kept = decontamination.clean(h.docs(spark, rows), benchmark)
+    assert kept.columns == h.docs(spark, rows).columns
+    assert sorted(h.rows(kept.select("doc_id", "text")), key=repr) == sorted((r[:2] for r, e in zip(rows, expected) if not e[2]), key=repr)
     none = benchmark.filter("false")
     assert {r[2] for r in h.rows(decontamination.contamination(h.docs(spark, rows), none))} == {0}
     assert decontamination.contamination(h.docs(spark, []), benchmark).count() == 0

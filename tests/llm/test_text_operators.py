@@ -1,6 +1,7 @@
 """Packing, token counts, decontamination and SimHash against the plain way."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -157,6 +158,30 @@ def test_proximity(spark):
     assert out[2][4] == [] and out[3][4] == []
 
 
+def plain_near(text, rare, slop=20):
+    at = [[i for i, w in enumerate(words(text)) if w == r] for r in rare]
+    return any(max(x) - min(x) <= slop for x in itertools.product(*at))
+
+
+@pytest.mark.parametrize("centres", [1 << 18, 5])
+def test_proximity_of_frequent_terms_in_any_shard(spark, monkeypatch, centres):
+    monkeypatch.setattr(decontamination, "CENTRES", centres)
+    benchmark = spark.createDataFrame([("p", "one two threeee four fiveeee six seveeen eight nine ten"), ("q", "a a a b a b b a b a"), ("r", "one two four six eight nine ten")], "item_id string, text string")
+    rare = [b"fiveeee", b"seveeen", b"threeee"]  # once in the test set, the others twice
+    rng = random.Random(5)
+    hot = "seveeen x six threeee y nine fiveeee"
+    assert plain_near(hot, rare)
+    rows = [(i, hot) for i in range(100)] + [(100, "one two threeee changed fiveeee six seveeen eight nine ten")]
+    rows += [(200 + i, " ".join(rng.choice(["threeee", "fiveeee", "seveeen", *["z"] * 30]) for _ in range(rng.randint(0, 120)))) for i in range(100)]
+    rows.append((400, " ".join(["threeee", *["z"] * 12, "fiveeee", *["z"] * 6, "seveeen", *["z"] * 11, "threeee"])))  # the nearest ones are too far apart
+    rows.append((401, " ".join(["seveeen", *["z"] * 11, "fiveeee", *["z"] * 12, "threeee", "z", "seveeen"])))
+    found = {r[0]: r[4] for r in h.rows(decontamination.contamination(h.docs(spark, rows), benchmark))}
+    assert found == {k: ["p"] if plain_near(t, rare) else [] for k, t in rows}
+    assert all(found[i] == ["p"] for i in [*range(101), 400, 401])
+    alone = h.rows(decontamination.contamination(h.docs(spark, [rows[100]]), benchmark))
+    assert alone[0][4] == ["p"]
+
+
 def plain_fingerprint(text):
     import xxhash
 

@@ -7,9 +7,14 @@ no neighbourhood spans documents. The table can be searched for any number of te
 
 Search: every shard takes each window's terms from the rarest in the shard to the most frequent,
 starts with the positions of the rarest one, less its offset in the window, and keeps those that the
-other lists, each less its own offset, share. What remains are exact phrase matches; an item's
-proximity matches are places where the three rarest terms of one of its windows stand within `slop`
-words in any order without that phrase. Nothing is shuffled for a test set that fits one broadcast
+other lists, each less its own offset, share. What remains are exact phrase matches. A document has a
+proximity match of an item where the three rarest different terms of one of its windows stand within
+`slop` words in any order, and no phrase of the item. Rare is what the test set holds seldom (at a tie
+what comes first in the window), so that a match depends on the document and the test set only, not on
+the shard or the other documents; the window's other terms may be missing, and a window of fewer than three different
+terms has no proximity match. In a shard the least frequent of the three is the centre, each of whose
+positions is tried with the nearest of the other two on either side, `CENTRES` positions at a time,
+however many there are. Nothing is shuffled for a test set that fits one broadcast
 block; larger test sets are searched block by block (each of at most `BLOCK_WINDOWS` windows, the
 stated bound of a broadcast) and the matches of a document are joined over the blocks.
 
@@ -24,6 +29,7 @@ results without hits; other columns are ignored; a document of any length stays
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
@@ -39,6 +45,8 @@ from triplespark.llm.encoding import release, slices
 
 SHARD_BYTES = 8_000_000
 BLOCK_WINDOWS = 200_000
+#: Positions that the proximity search holds at a time.
+CENTRES = 1 << 18
 #: Words between the positions of two documents; more than any slop.
 GAP = 64
 #: Lower-cases A-Z and blanks what separates words, byte by byte.
@@ -109,12 +117,21 @@ def windows_of(items: Iterable[tuple], width: int) -> Iterator[list[tuple]]:
         yield now
 
 
-def _encode_block(windows: list[tuple], width: int) -> dict:
+def _encode_block(windows: list[tuple], width: int, rarity: Counter | None = None) -> dict:
+    """A block's windows as terms; with the test set's word counts also their different rare triples, and the items of each."""
     terms: dict[bytes, int] = {}
     table = np.full((len(windows), width), -1, dtype=np.int32)
     for row, (_, found) in zip(table, windows):
         row[:len(found)] = [terms.setdefault(w, len(terms)) for w in found]
-    return {"terms": list(terms), "table": table, "items": [i for i, _ in windows]}
+    block = {"terms": list(terms), "table": table, "items": [i for i, _ in windows]}
+    if rarity is not None:
+        triples: dict[tuple, set] = {}
+        for item, found in windows:
+            if item is not None and len(rare := sorted(dict.fromkeys(found), key=rarity.__getitem__)[:3]) == 3:
+                triples.setdefault(tuple(sorted(terms[w] for w in rare)), set()).add(str(item))
+        block["triples"] = np.array(list(triples), dtype=np.int32).reshape(-1, 3)
+        block["triple_items"] = [tuple(x) for x in triples.values()]
+    return block
 
 
 def _ranges(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,27 +140,57 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts), owner
 
 
+def _near(terms: np.ndarray, counts: np.ndarray, offsets: np.ndarray, positions: np.ndarray, keyed: np.ndarray, starts: np.ndarray, slop: int) -> tuple:
+    """(triple, document) of each pair with a place where the triple's terms stand within slop words."""
+    live = np.flatnonzero((terms >= 0).all(axis=1))
+    terms = np.take_along_axis(terms[live], np.argsort(counts[terms[live]], axis=1, kind="stable"), axis=1)
+    ends = np.cumsum(counts[terms[:, 0]])
+    found = []
+    for a in range(0, int(ends[-1]) if len(ends) else 0, CENTRES):
+        flat = np.arange(a, min(a + CENTRES, int(ends[-1])))
+        owner = np.searchsorted(ends, flat, "right")
+        centre = positions[flat - (ends - counts[terms[:, 0]])[owner] + offsets[terms[owner, 0]]]
+        sides = []
+        for k in (1, 2):  # words to the nearest of a term after the centre, and before it
+            term = terms[owner, k].astype(np.int64)
+            right = np.searchsorted(keyed, (term << 32) + centre)
+            after = keyed[np.minimum(right, len(keyed) - 1)] - (term << 32) - centre
+            before = centre - keyed[np.maximum(right - 1, 0)] + (term << 32)
+            up, down = np.where((after > 0) & (after <= slop), after, slop + 1), np.where((before > 0) & (before <= slop), before, slop + 1)
+            ok = np.minimum(up, down) <= slop
+            owner, centre = owner[ok], centre[ok]
+            sides = [x[ok] for x in (*sides, up, down)]
+        up, down, up2, down2 = sides
+        ok = np.minimum(np.minimum(np.maximum(up, up2), np.maximum(down, down2)), np.minimum(up + down2, down + up2)) <= slop
+        document = np.searchsorted(starts, centre[ok], "right") - 1
+        found.append(np.unique((live[owner[ok]].astype(np.int64) << 32) + document))
+    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    return pairs >> 32, pairs & 0xFFFFFFFF
+
+
 def search_shard(row: dict, block: dict, slop: int) -> tuple[tuple, tuple]:
-    """Phrase matches in a shard, and proximity matches unless slop is 0: (window, first position, end) of each."""
-    none = (np.zeros(0, np.int64),) * 3
+    """Phrase matches in a shard, (window, first position, end) of each, and unless slop is 0 its
+    proximity matches, (triple, document) of each."""
+    none, no_pairs = (np.zeros(0, np.int64),) * 3, (np.zeros(0, np.int64),) * 2
     table = block["table"]
-    if not len(table):
-        return none, none
+    if not len(table) or not len(row["positions"]):
+        return none, no_pairs
     place = {t: i for i, t in enumerate(row["terms"])}
     local = np.array([*(place.get(t, -1) for t in block["terms"]), -2], dtype=np.int64)
     # one pseudo term at the end for what a short window lacks
     counts = np.r_[row["counts"].astype(np.int64), 0]
     offsets = np.cumsum(counts) - counts
+    positions = row["positions"].astype(np.int64)
+    keyed = (np.repeat(np.arange(len(counts) - 1), counts[:-1]) << 32) + positions  # ascending: the lists one after another
+    near = _near(local[block["triples"]], counts, offsets, positions, keyed, np.asarray(row["starts"]), slop) if slop else no_pairs
     terms = local[table]  # -1 there reads the pseudo term
     live = np.flatnonzero((terms != -1).all(axis=1))
     if not len(live):
-        return none, none
+        return none, near
     terms = terms[live]
     many = np.where(terms == -2, np.iinfo(np.int64).max, counts[np.maximum(terms, 0)])
     order = np.argsort(many, axis=1, kind="stable")
     length = (terms != -2).sum(axis=1)
-    positions = row["positions"].astype(np.int64)
-    keyed = (np.repeat(np.arange(len(counts) - 1), counts[:-1]) << 32) + positions  # ascending: the lists one after another
 
     def has(term, position):
         key = (term << 32) + position
@@ -158,31 +205,7 @@ def search_shard(row: dict, block: dict, slop: int) -> tuple[tuple, tuple]:
         term = terms[owner, order[owner, k]]
         keep = (term == -2) | has(np.maximum(term, 0), first + order[owner, k])
         owner, first = owner[keep], first[keep]
-    exact = (live[owner], first, first + length[owner])
-    if not slop:
-        return exact, none
-    # proximity: the nearest of each of the next two rarest terms, on either side of the rarest
-    wide = np.flatnonzero(length >= 3)
-    wide = wide[(terms[wide, order[wide, 0]] != terms[wide, order[wide, 1]]) & (counts[terms[wide, order[wide, 0]]] <= 64)]
-    at, owner = _ranges(offsets[terms[wide, order[wide, 0]]], counts[terms[wide, order[wide, 0]]])
-    owner = wide[owner]
-    centre = positions[at]
-    low, high = centre.copy(), centre.copy()
-    for k in (1, 2):
-        term = terms[owner, order[owner, k]]
-        key = (term << 32) + centre
-        right = np.searchsorted(keyed, key)
-        after = keyed[np.minimum(right, len(keyed) - 1)] - (term << 32)
-        before = keyed[np.maximum(right - 1, 0)] - (term << 32)
-        bad = slop + 1
-        up = np.where((after >= centre) & (after - centre <= slop), after - centre, bad)
-        down = np.where((before < centre) & (centre - before <= slop), centre - before, bad)
-        step = np.where(up <= down, up, -down)
-        ok = np.abs(step) <= slop
-        owner, centre, low, high, step = owner[ok], centre[ok], low[ok], high[ok], step[ok]
-        low, high = np.minimum(low, centre + step), np.maximum(high, centre + step)
-    ok = high - low <= slop
-    return exact, (live[owner[ok]], low[ok], high[ok] + 1)
+    return (live[owner], first, first + length[owner]), near
 
 
 def _union(lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
@@ -201,11 +224,11 @@ def _search(shared, slop: int, everything: bool):
         for batch in batches:
             for i in range(batch.num_rows):
                 get = lambda k: batch.column(k)[i].values
-                row = {"terms": get(5).to_pylist(), "counts": get(6).to_numpy(), "positions": get(7).to_numpy()}
+                row = {"terms": get(5).to_pylist(), "counts": get(6).to_numpy(), "positions": get(7).to_numpy(), "starts": get(3).to_numpy()}
                 starts, n_words = get(3).to_numpy().astype(np.int64), get(4).to_numpy()
                 ids = get(2).to_pylist()
-                (window, low, high), (near, near_low, _) = search_shard(row, block, slop)
-                doc, near_doc = np.searchsorted(starts, low, "right") - 1, np.searchsorted(starts, near_low, "right") - 1
+                (window, low, high), (near, near_doc) = search_shard(row, block, slop)
+                doc = np.searchsorted(starts, low, "right") - 1
                 spans, items, close = {}, {}, {}
                 order = np.argsort(doc, kind="stable")
                 doc, window, low, high = doc[order], window[order], low[order], high[order]
@@ -215,8 +238,9 @@ def _search(shared, slop: int, everything: bool):
                     own = np.unique(window[part])
                     items[d] = sorted(set(names[own[listed[own]]]))
                 for d, w in zip(near_doc.tolist(), near.tolist()):
-                    if listed[w] and names[w] not in items.get(d, ()):
-                        close.setdefault(d, set()).add(names[w])
+                    close.setdefault(d, set()).update(block["triple_items"][w])
+                for d in close.keys() & items.keys():
+                    close[d].difference_update(items[d])
                 which = range(len(ids)) if everything else sorted({*spans, *close})
                 yield pa.RecordBatch.from_arrays([
                     pa.array([batch.column(0)[i].as_py()] * len(which), pa.int32()), pa.array([batch.column(1)[i].as_py()] * len(which), pa.int32()),
@@ -240,10 +264,12 @@ def _cover(spans) -> F.Column:
     return F.flatten(F.transform(merged, lambda x: F.array(x["a"], x["b"])))
 
 
-def _blocks(spark, benchmark: DataFrame, width: int) -> list:
-    """The test set's windows, broadcast block by block: the stated query side, which passes the driver item by item."""
-    items = ((r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator())
-    return [spark.sparkContext.broadcast(_encode_block(b, width)) for b in windows_of(items, width)]
+def _blocks(spark, benchmark: DataFrame, width: int, slop: int) -> list:
+    """The test set's windows, broadcast block by block: the stated query side, which passes the driver
+    item by item, for proximity twice, as its words are counted before."""
+    items = lambda: ((r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator())
+    rarity = Counter(w for _, t in items() for w in words(t)) if slop else None
+    return [spark.sparkContext.broadcast(_encode_block(b, width, rarity)) for b in windows_of(items(), width)]
 
 
 def matches(index: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 20) -> DataFrame:
@@ -252,7 +278,7 @@ def matches(index: DataFrame, benchmark: DataFrame, width: int = 10, slop: int =
     if slop >= GAP:
         raise ValueError(f"slop must be below {GAP}")
     spark = index.sparkSession
-    found = [index.mapInArrow(_search(b, slop, i == 0), HITS) for i, b in enumerate(_blocks(spark, benchmark, width))]
+    found = [index.mapInArrow(_search(b, slop, i == 0), HITS) for i, b in enumerate(_blocks(spark, benchmark, width, slop))]
     if len(found) == 1:
         return found[0].drop("task", "shard", "place")
     kept = lambda c: F.filter(F.collect_list(c), lambda s: F.size(s) > 0)
@@ -276,7 +302,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     Each shard's index is built and searched where its rows are, and not stored: the rows need no join
     with a list of hits, which would shuffle all texts once the hits outgrow a broadcast.
     """
-    blocks = _blocks(docs.sparkSession, benchmark, width)
+    blocks = _blocks(docs.sparkSession, benchmark, width, 0)
     at = docs.columns.index("text")
 
     def run(batches):

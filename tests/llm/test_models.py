@@ -100,6 +100,15 @@ def test_quotation_scores_below_abuse():
     assert direct > spelt > quoted > clean
 
 
+def test_language_masks_hold_all_languages_of_a_gram():
+    common, other = "brovnik staldet grimosk ", "zuqqa yjxxi qwzzo "
+    rows = [(common * 9 + "aaa " * 3, "a"), (common * 9 + "bbb " * 3, "b")] + [(other * 9, "c")] * 5
+    model = language_id.Filters.fit(rows)
+    evidence = model.scores([common])[0]
+    assert min(evidence[:2]) > 0.9 * len(language_id.grams([common])[0]) and evidence[2] < 1
+    assert model.predict([common, common + "aaa", common + "bbb", other])[0] == ["a", "a", "b", "c"]
+
+
 def test_language_masks_cover_many_languages():
     rows = [(f"{chr(97 + i // 26)}{chr(97 + i % 26)}zq " * 5 + f"{chr(97 + i // 26)}{chr(97 + i % 26)}{chr(97 + i // 26)}x " * 5, f"l{i:02}") for i in range(70)]
     model = language_id.Filters.fit(rows)

@@ -8,8 +8,8 @@ explains, is the evidence, and the language with the most corrected evidence win
 
 N-grams are the byte sequences of lengths 2 to 4 of the words, lower-cased in A-Z, with a blank at
 either end of a word; only letters (and non-ASCII bytes) count, the rest reads as blanks. A language
-contains an n-gram if its rate there is at least `SHARE` of the sum of its rates over all languages
-and the sample has it twice; n-grams common to all languages therefore set no bits and cost nothing.
+contains an n-gram if that is at least `RATE` of the language's n-grams in the sample, and there twice,
+whatever the other languages hold: an n-gram of several languages has the bits of all of them.
 
 Fit: at most `PER_LANGUAGE` labelled documents of each language (fewer where there are many languages:
 `SAMPLE` over all, but `FEWEST` each), the smallest by hash, whole texts; that is the documented bound,
@@ -37,7 +37,7 @@ from triplespark.llm.encoding import slices
 PER_LANGUAGE, SAMPLE, FEWEST, LANGUAGES = 600, 9_600, 16, 1_000
 LENGTHS = (2, 3, 4)
 HASHES = 3
-SHARE = 0.55
+RATE = 1e-5
 SLOT_BITS = 20
 #: Lower-cases A-Z and blanks what is neither letter nor non-ASCII.
 _TABLE = np.array([c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256)], dtype=np.uint32)
@@ -94,7 +94,7 @@ class Filters:
         for i, (c, n) in enumerate(zip(codes, counts)):
             at = np.searchsorted(seen, c)
             rates[i, at], many[i, at] = n / max(1, n.sum()), n
-        contains = (rates >= SHARE * rates.sum(axis=0)) & (many >= 2)
+        contains = (rates >= RATE) & (many >= 2)
         slots = np.zeros(((len(languages) + 63) // 64 or 1, 1 << SLOT_BITS), dtype=np.uint64)
         for i in range(len(languages)):
             for s in _slots(seen[contains[i]]):

@@ -93,6 +93,28 @@ def test_automaton_is_the_edit_distance(word, whole, stems):
     assert found in expected
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text("abcx", max_size=9), st.lists(st.text("abc", min_size=3, max_size=7), max_size=3), st.lists(st.text("abc", min_size=4, max_size=7), min_size=1, max_size=2))
+def test_stems_admit_an_edit(word, whole, stems):
+    found = (toxicity.Model([(w, False, 1.0) for w in whole] + [(s, True, 1.0) for s in stems], toxicity.PRIOR).automaton.find(word) or ("",))[0]
+    fuzzy = any(len(w) >= toxicity.FUZZY and distance(word, w) == 1 for w in whole)
+    fuzzy |= any(len(s) >= toxicity.FUZZY and distance(word[:k], s) == 1 for s in stems for k in range(len(word) + 1))
+    expected = "stem" if any(word.startswith(s) for s in stems) else "exact" if word in whole else "fuzzy" if fuzzy else ""
+    assert found == expected
+
+
+def test_misspelled_stems_and_words_under_stems():
+    rows = [(f"nice day bomeraz{e} told", 1) for e in ("a", "eb", "ic", "od", "uf", "yg")] * 3 + [("bome" + e + " night", 1) for e in ("lla", "lla x", "lla y", "lla z", "lla q", "rr", "tt", "vv", "ww", "nn", "ss")]
+    rows = [(f"{t} {i}", y) for i, (t, y) in enumerate(rows)] + [(f"nice day told night {i}", 0) for i in range(200)]
+    terms = toxicity.learn_terms(rows)
+    assert ("bome", True) in {t[:2] for t in terms} and ("bomella", False) in {t[:2] for t in terms}
+    model = toxicity.Model(terms, toxicity.PRIOR)
+    assert model.automaton.find("bomella")[0] == "stem" and model.automaton.find("bxmella")[0] == "fuzzy"
+    stem = toxicity.Model([("achke", True, 2.0)], toxicity.PRIOR)
+    assert [stem.automaton.find(w) for w in ("achkelund", "axhkelund", "ahkelund", "acxhkelund", "axxkelund")] == [("stem", 2.0), *[("fuzzy", 2.0)] * 3, None]
+    assert stem.counts(["a axhkelund"])[0, 2] == 2.0
+
+
 def test_quotation_scores_below_abuse():
     model = toxicity.Model([("idiot", False, 4.0), ("moron", False, 4.0)], toxicity.PRIOR)
     direct, quoted, spelt, clean = model.scores(model.counts([

@@ -5,7 +5,9 @@ others, and as stems (beginnings that many different such words share). Each ter
 of that ratio as its weight. All terms form one trie. The Levenshtein automaton of a word's possible
 misspellings is intersected with the trie by running the word through sets of (trie node, edits so far);
 these sets are the states of a deterministic automaton that is built as words ask for it and kept. Whole
-words of `FUZZY` letters or more admit one edit, stems and shorter words none.
+words and stems of `FUZZY` letters or more admit one edit, shorter ones none; a stem with an edit is a
+beginning of the word at that distance, and counts as a misspelled hit. Whole words under a stem keep
+their own edit.
 
 Context: a hit counts as quotation if its window of `WINDOW` words to either side holds quotation marks
 around it or a word of reporting, and as addressed if the window has the second person. The features of
@@ -58,14 +60,15 @@ _STRIP = re.compile(r"^[\W_]+|[\W_]+$").sub
 class Automaton:
     """Terms (word, is_stem, weight) as a trie, and its intersection with the words' Levenshtein automata."""
 
-    def __init__(self, terms: list[tuple[str, bool, float]]):
+    def __init__(self, terms: list[tuple[str, bool, float]], stem_edits: int = 0):
         self.children: list[dict[str, int]] = [{}]
         self.word: list[str | None] = [None]
         self.stem: list[float | None] = [None]
         self.weight = [0.0]
         self.budget = [0]
+        self.loose: set[int] = set()  # nodes of stems that admit an edit; ~node in a state: that stem has been read with one
         for term, is_stem, weight in sorted(terms):
-            node, budget = 0, 0 if is_stem or len(term) < FUZZY else 1
+            node, budget = 0, 0 if len(term) < FUZZY else stem_edits if is_stem else 1
             self.budget[0] = max(self.budget[0], budget)
             for c in term:
                 if c not in self.children[node]:
@@ -79,6 +82,8 @@ class Automaton:
                 self.budget[node] = max(self.budget[node], budget)
             if is_stem:
                 self.stem[node] = weight
+                if budget:
+                    self.loose.add(node)
             else:
                 self.word[node], self.weight[node] = term, weight
         self.alphabet = {c for kids in self.children for c in kids}
@@ -91,9 +96,11 @@ class Automaton:
 
     def _state(self, nodes: dict[int, int]) -> int:
         """The number of a set, closed under letters that the word leaves out; 0 edits win over 1."""
-        todo = list(nodes.items())
+        todo = [x for x in nodes.items() if x[0] >= 0]
         while todo:
             node, e = todo.pop()
+            if e and node in self.loose:
+                nodes[~node] = e
             for child in self.children[node].values():
                 if e + 1 <= self.budget[child] and nodes.get(child, 9) > e + 1:
                     nodes[child] = e + 1
@@ -103,7 +110,8 @@ class Automaton:
             self.numbers[key] = len(self.sets)
             self.sets.append(key)
             self.steps.append({})
-            ends = [(e, -self.weight[node]) for node, e in key if self.word[node] is not None and (e == 0 or len(self.word[node]) >= FUZZY)]
+            ends = [(e, -self.weight[node]) for node, e in key if node >= 0 and self.word[node] is not None and (e == 0 or len(self.word[node]) >= FUZZY)]
+            ends += [(e, -self.stem[~node]) for node, e in key if node < 0]
             self.ends.append((("exact", "fuzzy")[min(ends)[0]], -min(ends)[1]) if ends else None)
         return self.numbers[key]
 
@@ -116,6 +124,9 @@ class Automaton:
                 after[node] = min(e, after.get(node, 9))
 
         for node, e in self.sets[state]:
+            if node < 0:
+                after[node] = e
+                continue
             kids = self.children[node]
             if c in kids:
                 if e == 0 and self.stem[kids[c]] is not None:
@@ -187,7 +198,7 @@ def learn_terms(rows: list[tuple[str, int]]) -> list[tuple[str, bool, float]]:
             chosen[s] = w
             beginnings |= {s[:k] for k in range(STEM_LETTERS, len(s) + 1)}
     single = [(w, False, x) for w, n in whole.items() if len(w) > 2 and marks(n, x := weight(n, clean_whole[w]))]
-    return sorted(t for t in single if not any(t[0][:k] in chosen for k in range(STEM_LETTERS, len(t[0]) + 1))) + sorted((s, True, w) for s, w in chosen.items())
+    return sorted(single) + sorted((s, True, w) for s, w in chosen.items())
 
 
 def hits(found: list[str], kinds: dict[str, tuple[str, float]]) -> np.ndarray:
@@ -211,7 +222,7 @@ class Model:
     """Terms, weights, and the hits a word that toxic texts have more than others."""
 
     def __init__(self, terms: list[tuple[str, bool, float]], weights: np.ndarray, rate: float = 0.0):
-        self.terms, self.weights, self.rate, self.automaton = terms, weights, rate, Automaton(terms)
+        self.terms, self.weights, self.rate, self.automaton = terms, weights, rate, Automaton(terms, stem_edits=1)
 
     def __getstate__(self):
         return {"terms": self.terms, "weights": self.weights, "rate": self.rate}

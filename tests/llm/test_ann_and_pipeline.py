@@ -49,6 +49,17 @@ def test_recall(spark):
     assert all(abs(s - float((at[q] * at[v]).sum())) < 1e-12 for q in out for v, s in out[q])
 
 
+def test_recall_with_as_many_lists_as_sampled_vectors(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE", 512)
+    monkeypatch.setattr(ann, "LISTS", 512)
+    x = np.random.default_rng(3).standard_normal((6_000, 16)).astype(np.float32).astype(np.float64)
+    df = spark.createDataFrame([(i, v.tolist(), 1, "x", 2) for i, v in enumerate(x)], VECTORS)
+    out = found(ann.search(df, F.col("vec_id") % 60 == 0))
+    expected = exact(list(range(len(x))), x, sorted(out))
+    assert len(out) == 100
+    assert np.mean([len({v for v, _ in out[q]} & {v for v, _ in expected[q]}) for q in out]) / 20 >= 0.95
+
+
 def test_copies_ties_and_unusable_vectors(spark):
     rng = np.random.default_rng(1)
     vectors = {i: rng.standard_normal(8).astype(np.float32) for i in range(0, 200)}

@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by largest inner product: adaptive dimension scan in probed lists.
 
 Index: an inverted file. Centroids are fitted on at most `SAMPLE` vectors (the smallest by hash, the
-documented bound); every vector is rotated by one random orthogonal matrix and put into the list of its
+documented bound), `FIT` sampled vectors or more a list; every vector is rotated by one random orthogonal matrix and put into the list of its
 nearest centroid, in column blocks of `COLUMNS` dimensions. A query probes the lists with the largest
-inner products with their centroids, as many as the sample needs for `COVERAGE` of its own neighbours.
+inner products with their centroids, as many as `FITTED_QUERIES` vectors that are held out from the fit
+need for `COVERAGE` of their neighbours among all rows, which one pass over the lists finds.
 
 Scan: within a probed list the squared distances |q|^2 + |x|^2 - 2qx grow column block by column block.
 After d of D rotated dimensions, a candidate is abandoned if the hypothesis that it is among the best
@@ -35,6 +36,7 @@ from triplespark.llm.common import stored
 SAMPLE, FITTED_QUERIES, COVERAGE = 16_384, 256, 0.985
 LISTS, PART, QUERIES = 64, 8_192, 4_096
 COLUMNS, EPSILON = 16, 2.1
+FIT = 32
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -52,13 +54,13 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 class Index:
-    """Centroids, rotation and the number of lists to probe."""
+    """Centroids, rotation and the number of lists to probe, all until calibrated."""
 
-    def __init__(self, sample: np.ndarray, n_lists: int, k: int):
+    def __init__(self, sample: np.ndarray, n_lists: int):
         rng = np.random.default_rng(7)
         d = sample.shape[1]
         self.rotation = np.linalg.qr(rng.standard_normal((d, d)))[0]
-        n_lists = max(1, min(n_lists, len(sample)))
+        n_lists = max(1, min(n_lists, len(sample) // FIT))
         centroids = sample[rng.choice(len(sample), n_lists, replace=False)]
         for _ in range(12):
             near = self._nearest(sample, centroids)
@@ -67,12 +69,14 @@ class Index:
             many = np.bincount(near, minlength=n_lists)
             centroids = np.where(many[:, None] > 0, sums / np.maximum(many, 1)[:, None], centroids)
         self.centroids = centroids
-        near = self._nearest(sample, centroids)
-        queries = sample[rng.choice(len(sample), min(FITTED_QUERIES, len(sample)), replace=False)]
-        best = np.argsort(-(queries @ sample.T), axis=1)[:, :k + 1]
-        rank = np.argsort(np.argsort(-(queries @ centroids.T), axis=1), axis=1)
-        needed = np.sort(np.take_along_axis(rank, near[best], axis=1).ravel())
-        self.probes = int(needed[min(len(needed) - 1, int(np.ceil(COVERAGE * len(needed))))]) + 1
+        self.probes = n_lists
+
+    def calibrate(self, queries: np.ndarray, owner: np.ndarray, lists: np.ndarray) -> None:
+        """Probes for COVERAGE of the neighbours, each given by its query's place and its list."""
+        if len(owner):
+            rank = np.argsort(np.argsort(-(queries @ self.centroids.T), axis=1), axis=1)
+            needed = np.sort(rank[owner, lists])
+            self.probes = int(needed[min(len(needed) - 1, int(np.ceil(COVERAGE * len(needed))))]) + 1
 
     @staticmethod
     def _nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -85,6 +89,31 @@ class Index:
         return np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, :self.probes]
 
 
+def _neighbours(listed: DataFrame, reps: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k exact neighbours among all listed rows of a few queries: each one's query, by place, and its list."""
+    shared = listed.sparkSession.sparkContext.broadcast((reps, queries))
+
+    def run(batches):
+        own, q = shared.value
+        scores, lists = np.full((len(q), k), -np.inf), np.zeros((len(q), k), dtype=np.int32)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 4_096):
+                part = batch.slice(a, 4_096)
+                now = q @ _matrix(part.column(1)).T
+                now[own[:, None] == part.column(0).to_numpy()[None, :]] = -np.inf
+                scores = np.concatenate([scores, now], axis=1)
+                lists = np.concatenate([lists, np.broadcast_to(part.column(2).to_numpy(), now.shape)], axis=1)
+                top = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+                scores, lists = np.take_along_axis(scores, top, axis=1), np.take_along_axis(lists, top, axis=1)
+        row, column = np.nonzero(scores > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(scores[row, column]), pa.array(lists[row, column])], ["q", "score", "list"])
+
+    found = listed.select("rep", "v", "list").mapInArrow(run, "q int, score double, list int")
+    found = found.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "list"))).filter(F.col("place") <= k)
+    rows = found.select("q", "list").collect()  # at most FITTED_QUERIES * k
+    return np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64)
+
+
 def scan(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, rotation: np.ndarray, k: int):
     """The k best of a part for each query: (how many, ids, scores), query after query, best first, ties
     to the smaller id. `ids` are ascending."""
@@ -132,13 +161,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     n = copies.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = _matrix(copies.select("v", "rep").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).toArrow().column(0).combine_chunks())
-    index = Index(sample, max(LISTS, n // (PART // 2)), k)
-    shared = spark.sparkContext.broadcast(index)
+    chosen = copies.select("v", "rep").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).toArrow().combine_chunks()
+    sample, reps = _matrix(chosen.column(0).combine_chunks()), chosen.column(1).to_numpy()
+    held = min(FITTED_QUERIES, len(sample) // 4)
+    index = Index(sample[held:], max(LISTS, n // (PART // 2)))
+    fitted = spark.sparkContext.broadcast(index)
 
     def assign(batches):
         for batch in batches:
-            lists = shared.value.lists_of(_matrix(batch.column(1))) if batch.num_rows else np.zeros(0, np.int64)
+            lists = fitted.value.lists_of(_matrix(batch.column(1))) if batch.num_rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists.astype(np.int32))], ["rep", "v", "list"])
 
     def probe(batches):
@@ -151,6 +182,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
                     yield batch.take(pa.array(at)).append_column("list", pa.array(lists[a:a + 256].ravel()))
 
     listed = stored(copies.select("rep", "v").mapInArrow(assign, "rep long, v array<double>, list int"), "lists")
+    index.calibrate(sample[:held], *_neighbours(listed, reps[:held], sample[:held], k))
+    shared = spark.sparkContext.broadcast(index)
     wanted = asked.select("rep").distinct().join(copies.select("rep", "v"), "rep")
     probes = stored(wanted.mapInArrow(probe, "rep long, v array<double>, list int"), "probes")
     # the parts of each list, and of its queries: one row a list, few lists

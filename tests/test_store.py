@@ -133,6 +133,17 @@ def test_renumbering_is_a_bijection(spark, tmp_path, method):
         renumber.renumber("nmf", ids, dictionary, stage)
 
 
+def test_breadth_first_says_when_levels_run_out(spark):
+    from triplespark.operators.renumber import breadth_first
+
+    triples = spark.createDataFrame([(i, 9, i + 1) for i in range(1, 5)], "s long, p long, o long")
+    ids = spark.createDataFrame([(i,) for i in range(1, 6)], "id long")
+    stage = lambda df: df.localCheckpoint()
+    assert breadth_first(triples, ids, stage, 6).count() == 5
+    with pytest.raises(RuntimeError):
+        breadth_first(triples, ids, stage, 3).count()
+
+
 def test_histograms(spark):
     values = [1, 1, 1, 2, 3, 10, 10, 25, 25, 26]
     df = spark.createDataFrame([(x, "ab"[x % 2]) for x in values] + [(None, "a")], "x long, p string")

@@ -50,6 +50,8 @@ def breadth_first(triples: DataFrame, dictionary: DataFrame, checkpoint, max_lev
         if frontier.isEmpty():
             break
         reached = checkpoint(reached.unionAll(frontier))
+    else:
+        raise RuntimeError(f"terms are left after {max_levels} levels")
     return ranked(labels.join(reached, "id"), F.col("root"), F.col("level"), F.col("id")).select("id", "new_id")
 
 

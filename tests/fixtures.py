@@ -27,39 +27,39 @@ GRAPH = [tuple(line.split()) for line in """
 5 20 12
 """.split("\n") if line]
 
-NTRIPLES = r"""# a comment
-   # an indented one
+#: Statements written for these tests, from the N-Triples grammar: books, people, and what is odd in syntax.
+NTRIPLES = r"""<http://a/book/moby> <http://a/p> <http://a/sea> .
+<http://a/book/emma> <http://a/p> "Emma" .
+<http://a/book/moby> <http://a/p> "Moby-Dick; or, The \"Whale\"" . # quotes are escaped
+<http://a/person/jane> <http://a/p> _:house .
+_:house <http://a/p> <http://a/sea> .
+<http://a/book/emma>	<http://a/p>	"three\nlines\r\nof \\ text"	.
+	 <http://a/person/olé> <http://a/p> <http://a/sea> . 	
+#<http://a/book/gone> <http://a/p> <http://a/sea> .
 
-<http://a/r1> <http://a/p> <http://a/r2> .
-_:anon <http://a/p> <http://a/r2> .
-<http://a/r2> 	 <http://a/p> 	 _:anon 	 . # trailing
-<http://a/r3><http://a/p><http://a/r2>.
-<http://a/r4> <http://a/p> "simple" .
-<http://a/r5> <http://a/p> "back\\slash" .
-<http://a/r6> <http://a/p> "dquote: \"" .
-<http://a/r7> <http://a/p> "new\nline" .
-<http://a/r8> <http://a/p> "tab\t." .
-<http://a/r9> <http://a/p> "\u00E9" .
-<http://a/r10> <http://a/p> "\U0001F600 \u0022q\u0022" .
-<http://a/r11> <http://a/p> "chat"@FR .
-<http://a/r12> <http://a/p> "chat"@en-GB .
-<http://a/r13> <http://a/p> "chat" .
-<http://a/r14> <http://a/p> "1"^^<http://www.w3.org/2001/XMLSchema#integer> .
-<http://a/r15> <http://a/p> "chat"^^<http://www.w3.org/2001/XMLSchema#string> .
-<http://a/ré16> <http://a/p> "\\u00E9" .
-<http://a/r17> <http://a/p> "" .
-<http://a/r1> <http://a/p> <http://a/r2> .
-this is not a statement
-"literal" <http://a/p> <http://a/r2> .
-<http://a/r1> _:b <http://a/r2> .
+<http://a/num> <http://a/p> "42"^^<http://www.w3.org/2001/XMLSchema#integer> .
+<http://a/str> <http://a/p> "Emma"^^<http://www.w3.org/2001/XMLSchema#string> .
+<http://a/tag/1> <http://a/p> "colour"@en-GB .
+<http://a/tag/2> <http://a/p> "farbe"@DE .
+<http://a/esc/1> <http://a/p> "caf\u00E9" .
+<http://a/esc/2> <http://a/p> "\U0001F433 said \u0022hi\u0022" .
+<http://a/esc/3> <http://a/p> "tab\there" .
+<http://a/esc/4> <http://a/p> "no escape: \\u00E9" .
+<http://a/none> <http://a/p> "" .
+<http://a/tight><http://a/p>_:house.
+<http://a/book/moby> <http://a/p> <http://a/sea> .
+just some words
+"Emma" <http://a/p> <http://a/book/emma> .
+<http://a/book/emma> _:house "Emma" .
 """
 
 P = "<http://a/p>"
-#: Statements of NTRIPLES, canonical, in order.
+#: What these lines say, canonical, in order.
 STATEMENTS = [
-    ("<http://a/r1>", P, "<http://a/r2>"), ("_:anon", P, "<http://a/r2>"), ("<http://a/r2>", P, "_:anon"), ("<http://a/r3>", P, "<http://a/r2>"),
-    ("<http://a/r4>", P, '"simple"'), ("<http://a/r5>", P, r'"back\\slash"'), ("<http://a/r6>", P, r'"dquote: \""'), ("<http://a/r7>", P, r'"new\nline"'),
-    ("<http://a/r8>", P, '"tab\t."'), ("<http://a/r9>", P, '"é"'), ("<http://a/r10>", P, r'"😀 \"q\""'), ("<http://a/r11>", P, '"chat"@fr'),
-    ("<http://a/r12>", P, '"chat"@en-gb'), ("<http://a/r13>", P, '"chat"'), ("<http://a/r14>", P, '"1"^^<http://www.w3.org/2001/XMLSchema#integer>'),
-    ("<http://a/r15>", P, '"chat"'), ("<http://a/ré16>", P, r'"\\u00E9"'), ("<http://a/r17>", P, '""'), ("<http://a/r1>", P, "<http://a/r2>"),
+    ("<http://a/book/moby>", P, "<http://a/sea>"), ("<http://a/book/emma>", P, '"Emma"'), ("<http://a/book/moby>", P, r'"Moby-Dick; or, The \"Whale\""'),
+    ("<http://a/person/jane>", P, "_:house"), ("_:house", P, "<http://a/sea>"), ("<http://a/book/emma>", P, r'"three\nlines\r\nof \\ text"'),
+    ("<http://a/person/olé>", P, "<http://a/sea>"), ("<http://a/num>", P, '"42"^^<http://www.w3.org/2001/XMLSchema#integer>'), ("<http://a/str>", P, '"Emma"'),
+    ("<http://a/tag/1>", P, '"colour"@en-gb'), ("<http://a/tag/2>", P, '"farbe"@de'), ("<http://a/esc/1>", P, '"café"'), ("<http://a/esc/2>", P, r'"🐳 said \"hi\""'),
+    ("<http://a/esc/3>", P, '"tab\there"'), ("<http://a/esc/4>", P, r'"no escape: \\u00E9"'), ("<http://a/none>", P, '""'), ("<http://a/tight>", P, "_:house"),
+    ("<http://a/book/moby>", P, "<http://a/sea>"),
 ]

@@ -16,6 +16,7 @@ from triplespark.plans import planner
 from triplespark.plans.ast import Pattern, Query, Var
 from triplespark.plans.sparql import parse
 from triplespark.sources.relations import Mapped, Relation, Triples
+from triplespark.sources.store import Dataset
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -139,6 +140,53 @@ def test_constants_that_no_row_can_have(spark, term):
     assert relation.match(term, "<http://ex/c_nation>", None).count() == 0
 
 
+@pytest.mark.parametrize("name", ["star_on_chain", "cycle", "object_object", "chain4", "snowflake"])
+def test_joins_compare_keys_not_terms(spark, name):
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.split("\n") if " Join " in line or "+- Join" in line or ":- Join" in line]
+    assert joins and not any("concat" in line for line in joins)
+    below = plan[plan.index("Join"):]
+    assert "concat(<http" not in below  # terms are written above all joins only
+
+
+def test_unlike_keys_never_meet(spark):
+    """Forms differ: compared as terms, whatever the keys are."""
+    data = Dataset(Mapped(spark, SF))
+    ask = lambda text: data.sparql(catalog.PREFIX + text).count()
+    assert ask("SELECT ?x { ?x :c_nation ?n . ?y :o_cust ?z . ?z :c_nation ?n . ?x :c_name ?m }") > 0
+    assert ask("SELECT ?x { ?x :c_nation ?n . ?n :c_name ?m }") == 0  # nations are no customers
+    assert ask("SELECT ?v { ?x :p_size ?v . ?d :d_quality ?v }") <= 2  # integers as literals, equal as terms
+    assert ask("SELECT ?p ?n { nation:3 ?p ?n . ?n :r_name ?m }") == 1  # terms from a variable predicate meet keys
+
+
+def test_join_sizes():
+    sizes = {"a": planner.Size(1_000, 100, 500), "b": planner.Size(2_000, 50, 2_000)}
+    steps = planner.plan(query("?x a ?y . ?x b ?z"), sizes)[0]
+    assert steps[-1].rows == 1_000 * 2_000 // 100
+    assert planner.estimate(query("k a ?y").patterns[0], sizes) == 10 and planner.estimate(query("?x a k").patterns[0], sizes) == 2
+    t = query("k a ?y").patterns[0]
+    assert planner.estimate(t, sizes | {t: 7}) == 7
+
+
+SNOWFLAKE = "?o p ?a . ?o q ?b . ?o r ?c . ?c s ?d . ?c t ?e"
+
+
+def test_stars_of_a_snowflake_are_joined_each_by_itself():
+    steps = planner.plan(query(SNOWFLAKE), {})[0]
+    star = [s for s in steps if s.op == "star"]
+    assert len(star) == 1 and len(star[0].branch) >= 2 and star[0].on in (("c",), ("o",))
+    assert "STAR" in planner.explain(query(SNOWFLAKE), {}) and planner.dot(query(SNOWFLAKE), {}).count("STAR") == 1
+
+
+def test_snowflakes_equal_the_naive_evaluator(spark):
+    rng = random.Random(4)
+    triples = list({(rng.choice("123456"), rng.choice("pqrst"), rng.choice("123456")) for _ in range(60)})
+    relation = Triples(spark.createDataFrame(triples, "s string, p string, o string").cache())
+    for select in (None, "a e", "o", "c", "d b"):
+        q = query(SNOWFLAKE, select)
+        assert run(relation, q) == naive(triples, q) != []
+
+
 def test_interface():
     with pytest.raises(NotImplementedError):
         Relation().match(None, None, None)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -13,8 +11,9 @@ from pyspark.sql import functions as F
 from triplespark.operators import statistics
 from triplespark.operators.renumber import METHODS, renumber
 from triplespark.sources import ntriples
-from triplespark.sources.relations import RELATIONAL, Mapped
-from triplespark.sources.store import Dataset, Store, decode, dictionary_of, encode
+from triplespark.sources.relations import TABLES, Mapped
+from triplespark.sources.shared import new_path, stored, temporary
+from triplespark.sources.store import Dataset, Store, decode, dictionary_of, encode, predicates_of
 
 PREFIX = "PREFIX : <http://ex/> PREFIX region: <http://ex/region/> PREFIX nation: <http://ex/nation/> PREFIX customer: <http://ex/customer/>\n"
 
@@ -39,10 +38,10 @@ def _triples_sql(*tables: str) -> str:
         return _lit(place.columns[0]) if place.kind is None else _iri(place.kind, " || '-' || ".join(place.columns))
 
     parts = [f"SELECT {term(x.subject)} AS s, '<http://ex/{n}>' AS p, {term(x.object)} AS o FROM {x.table}" for n, x in VOCABULARY.items() if x.table in tables]
-    return "(" + " UNION ALL ".join(parts) + ")"
+    return "(SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE s IS NOT NULL AND o IS NOT NULL)"
 
 
-_ALL = _triples_sql(*RELATIONAL)
+_ALL = _triples_sql(*TABLES)
 
 #: name: (SPARQL, SQL)
 BGPS: dict[str, tuple[str, str]] = {
@@ -82,17 +81,16 @@ BGPS: dict[str, tuple[str, str]] = {
     "blank_nodes": ('SELECT ?n { [] :c_nation ?n; :c_mktsegment "MACHINERY" . _:s :s_nation ?n }',
                     _distinct({"n": _iri("nation", "c_nationkey")}, "FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_nationkey IN (SELECT s_nationkey FROM supplier)")),
 }
-#: Patterns over other tables than RELATIONAL: name -> (tables, SPARQL, SQL)
-OTHER: dict[str, tuple[tuple[str, ...], str, str]] = {
-    "scan_all": (("region", "nation"), "SELECT ?s ?p ?o { ?s ?p ?o }", f"SELECT DISTINCT s, p, o FROM {_triples_sql('region', 'nation')}"),
-    "documents_star": (("documents", "labels"), 'SELECT ?d ?g { ?d :d_quality "1"; :d_toxic "0"; :d_lang ?l; :d_source ?g }',
+#: Patterns over the tables of texts.
+TEXTS: dict[str, tuple[str, str]] = {
+    "documents_star": ('SELECT ?d ?g { ?d :d_quality "1"; :d_toxic "0"; :d_lang ?l; :d_source ?g }',
                        _distinct({"d": _iri("document", "d.doc_id"), "g": _lit("source")}, "FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality = 1 AND toxic = 0 AND lang IS NOT NULL AND source IS NOT NULL")),
-    "turn_roles": (("conversations",), "SELECT ?r { ?t :t_role ?r }", _distinct({"r": _lit("role")}, "FROM conversations WHERE role IS NOT NULL")),
+    "turn_roles": ("SELECT ?r { ?t :t_role ?r }", _distinct({"r": _lit("role")}, "FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL")),
 }
 
 
-def _bgp(text: str, tables: tuple[str, ...] = RELATIONAL) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: Dataset(Mapped(spark, sf_dir, tables)).sparql(PREFIX + text)
+def _bgp(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: Dataset(Mapped(spark, sf_dir)).sparql(PREFIX + text)
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -118,53 +116,42 @@ def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _work(spark: SparkSession) -> str:
-    """A new folder that all executors see; a local one only where none is named."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()).rstrip('/')}/triplespark-{uuid.uuid4().hex}"
-
-
-def _stage(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
-    def stage(df: DataFrame) -> DataFrame:
-        path = _work(spark)
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    return stage
-
-
-_SMALL = ("region", "nation", "customer", "supplier")
+    """A new folder that all executors see, until the JVM ends."""
+    path = new_path(spark, "work")
+    temporary(spark, path)
+    return path
 
 
 def _store(text: str, **options) -> Callable[[SparkSession, str], DataFrame]:
-    """A query over a store on disk, built from the smaller tables' triples."""
+    """A query over a store on disk, built from all tables' triples."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return Store.build(spark, Mapped(spark, sf_dir, _SMALL).table(), _work(spark), **options).sparql(PREFIX + text)
+        return Store.build(spark, Mapped(spark, sf_dir).table(), _work(spark), **options).sparql(PREFIX + text)
 
     return run
 
 
 def _from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triples written as N-Triples and read again."""
-    path = _work(spark)
-    ntriples.write(Mapped(spark, sf_dir, _SMALL).table(), path)
+    path = _work(spark) + "/triples"
+    ntriples.write(Mapped(spark, sf_dir).table(), path)
     return ntriples.read(spark, path)
 
 
 def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triples to ids and back."""
-    stage = _stage(spark)
-    triples = stage(Mapped(spark, sf_dir, _SMALL).table())
-    dictionary = stage(dictionary_of(triples))
-    return decode(stage(encode(triples, dictionary)), dictionary)
+    triples = stored(Mapped(spark, sf_dir).table())
+    dictionary = stored(dictionary_of(triples))
+    ids = stored(encode(triples, dictionary))
+    return decode(ids, dictionary, predicates_of(ids, dictionary, "id"))
 
 
 def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each renumbering: ids, new ids, and how far the new ones reach where they are dense."""
-    stage = _stage(spark)
-    triples = stage(Mapped(spark, sf_dir, _SMALL).table())
-    dictionary = stage(dictionary_of(triples))
-    ids = stage(encode(triples, dictionary))
+    triples = stored(Mapped(spark, sf_dir).table())
+    dictionary = stored(dictionary_of(triples))
+    ids = stored(encode(triples, dictionary))
     parts = [
-        renumber(m, ids, dictionary, stage).agg(
+        renumber(m, ids, dictionary, stored).agg(
             F.count(F.lit(1)).alias("ids"), F.count_distinct("new_id").alias("new_ids"),
             F.when(F.lit(m == "spread"), F.lit(0).cast("long")).otherwise(F.max("new_id")).cast("long").alias("largest"),
         ).select(F.lit(m).alias("method"), "ids", "new_ids", "largest")
@@ -173,22 +160,21 @@ def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
 
 
-_SMALL_SQL = _triples_sql(*_SMALL)
-_TERMS = f"SELECT count(DISTINCT t) AS n FROM (SELECT unnest([s, p, o]) AS t FROM {_SMALL_SQL})"
+_TERMS = f"SELECT count(DISTINCT t) AS n FROM (SELECT unnest([s, p, o]) AS t FROM {_ALL})"
 STORES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "store_chain": (_store('SELECT ?c ?n { ?c :c_nation ?n . ?n :n_region ?r . ?r :r_name "EUROPE" }'),
                     _distinct({"c": _iri("customer", "c_custkey"), "n": _iri("nation", "c_nationkey")}, "FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE'")),
     "store_full_index": (_store("SELECT ?s ?p { ?s ?p nation:5 }", full_index=True, literal_dict=True, method="degree"),
-                         f"SELECT DISTINCT s, p FROM {_SMALL_SQL} WHERE o = '<http://ex/nation/5>'"),
-    "ntriples_files": (_from_files, f"SELECT s, p, o FROM {_SMALL_SQL}"),
-    "dictionary_codes": (_coded, f"SELECT s, p, o FROM {_SMALL_SQL}"),
+                         f"SELECT DISTINCT s, p FROM {_ALL} WHERE o = '<http://ex/nation/5>'"),
+    "ntriples_files": (_from_files, f"SELECT s, p, o FROM {_ALL}"),
+    "dictionary_codes": (_coded, f"SELECT s, p, o FROM {_ALL}"),
     "renumberings": (_numbers, " UNION ALL ".join(f"SELECT '{m}' AS method, n AS ids, n AS new_ids, {'0::BIGINT' if m == 'spread' else 'n'} AS largest FROM ({_TERMS})" for m in METHODS if m != "none")),
 }
 
 STATISTICS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "store_counts": (lambda s, d: statistics.store_counts(Mapped(s, d).table()),
                      f"SELECT count(*) AS triples, count(DISTINCT s) AS subjects, count(DISTINCT p) AS predicates, count(DISTINCT o) AS objects FROM {_ALL}"),
-    "pred_counts": (lambda s, d: statistics.predicate_counts(Mapped(s, d).table()), f"SELECT p, count(*) AS n FROM {_ALL} GROUP BY p"),
+    "pred_counts": (lambda s, d: Mapped(s, d).predicate_counts(), f"SELECT p, count(*) AS n FROM {_ALL} GROUP BY p"),
     "eq_width_hist": (lambda s, d: statistics.equal_width(_orders(s, d), "o_custkey", 100), _EW.format(w=100)),
     "eq_depth_hist": (lambda s, d: statistics.equal_depth(_orders(s, d), "o_custkey", 1000), _ED.format(d=1000)),
     "range_cardinality": (lambda s, d: statistics.range_cardinality(statistics.equal_width(_orders(s, d), "o_custkey", 100), 150, 420).select(F.round("estimate", 6).alias("estimate")),
@@ -200,18 +186,19 @@ STATISTICS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "compactness": (lambda s, d: statistics.boundary_compactness(_orders(s, d), "o_orderpriority", "o_custkey").select(F.round("compactness", 6).alias("compactness")),
                     f"""WITH r AS ({_RANGES}), pairs AS (SELECT a.p AS p, b.p AS q, greatest(a.lo, b.lo) AS lo, least(a.hi, b.hi) AS hi FROM r a JOIN r b ON a.p <> b.p)
                     SELECT round((SELECT coalesce(sum((SELECT count(*) FROM orders WHERE o_orderpriority IN (p, q) AND o_custkey BETWEEN lo AND hi) / 2), 0) FROM pairs) / (SELECT count(*) FROM r), 6) AS compactness"""),
+    "largest_gap": (lambda s, d: statistics.largest_gap(_orders(s, d), "o_custkey"),
+                    "SELECT lower, upper, upper - lower AS gap FROM (SELECT lag(o_custkey) OVER (ORDER BY o_custkey) AS lower, o_custkey AS upper FROM orders) WHERE lower IS NOT NULL ORDER BY gap DESC, lower LIMIT 1"),
     "degree_rank": (lambda s, d: statistics.degree_rank(Mapped(s, d).table()),
                     f"SELECT node, degree, row_number() OVER (ORDER BY degree DESC, node) AS new_id FROM (SELECT node, count(*) AS degree FROM (SELECT s AS node FROM ({_EDGES}) UNION ALL SELECT o FROM ({_EDGES})) GROUP BY node)"),
     "clean_ntriples": (_cleaned, """SELECT '<http://ex/customer/' || c_custkey || '> <http://ex/c_name> "' || c_name || '" .' AS line FROM customer WHERE c_custkey % 3 <> 0"""),
-    "graph_nodes": (lambda s, d: ntriples.graph(Mapped(s, d, ("region", "nation", "supplier")).table())[0],
-                    f"SELECT s AS node FROM {_triples_sql('region', 'nation', 'supplier')} UNION SELECT o FROM {_triples_sql('region', 'nation', 'supplier')}"),
-    "graph_edges": (lambda s, d: ntriples.graph(Mapped(s, d, ("region", "nation", "supplier")).table())[1], f"SELECT s, o FROM {_triples_sql('region', 'nation', 'supplier')}"),
+    "graph_nodes": (lambda s, d: ntriples.graph(Mapped(s, d).table())[0],
+                    f"SELECT s AS node FROM {_ALL} UNION SELECT o FROM {_ALL}"),
+    "graph_edges": (lambda s, d: ntriples.graph(Mapped(s, d).table())[1], _EDGES),
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = (
-    {n: _bgp(text) for n, (text, _) in BGPS.items()}
-    | {n: _bgp(text, tables) for n, (tables, text, _) in OTHER.items()}
+    {n: _bgp(text) for n, (text, _) in (BGPS | TEXTS).items()}
     | {n: f for n, (f, _) in (STATISTICS | STORES).items()}
 )
-ORACLES: dict[str, str] = {n: sql for n, (_, sql) in BGPS.items()} | {n: sql for n, (_, _, sql) in OTHER.items()} | {n: sql for n, (_, sql) in (STATISTICS | STORES).items()}
+ORACLES: dict[str, str] = {n: sql for n, (_, sql) in (BGPS | TEXTS | STATISTICS | STORES).items()}
 FLAGSHIP = "chain4"

@@ -17,11 +17,15 @@ def _session(cores: str):
     return spark
 
 
-def bench(store, folder: str, warm_up: int = 5, timed: int = 20, log: str | None = None) -> list[dict]:
-    """Each query file of a folder: the least time of the timed runs, over planning and execution."""
+def bench(store, folder: str, warm_up: int = 5, timed: int = 20, log: str | None = None, show_stat: bool = False) -> list[dict]:
+    """Each query file of a folder: the least time of the timed runs, over planning and execution; with
+    `show_stat` one run that gives the counters instead: phases, operators, rows and selectivities."""
     found = []
     for path in sorted(Path(folder).glob("*.sparql")) + sorted(Path(folder).glob("*.rq")):
         text = path.read_text(encoding="utf-8")
+        if show_stat:
+            found.append({"query": path.stem} | store.profile(text))
+            continue
         times, rows = [], 0
         for k in range(warm_up + timed):
             began = time.perf_counter()
@@ -104,6 +108,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--warm-up", type=int, default=5)
     p.add_argument("--timed", type=int, default=20)
     p.add_argument("--log")
+    p.add_argument("--show-stat", action="store_true", help="counters of one run instead of times")
     p = sub.add_parser("clean", help="N-Triples without unreadable statements")
     p.add_argument("source")
     p.add_argument("target")
@@ -111,6 +116,10 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("store")
     p.add_argument("target")
     p.add_argument("--format", choices=("ntriples", "graph", "graphml", "ids", "histograms"), default="ntriples")
+    p = sub.add_parser("index", help="print the first rows of a sorted copy")
+    p.add_argument("store")
+    p.add_argument("name")
+    p.add_argument("--limit", type=int, default=20)
     p = sub.add_parser("serve", help="answer HTTP requests")
     p.add_argument("--port", type=int, default=8000)
     a = parser.parse_args(args)
@@ -126,8 +135,10 @@ def main(args: list[str] | None = None) -> int:
     else:
         store = Store.open(spark, a.store, getattr(a, "preload", False))
         if a.command == "bench":
-            for x in bench(store, a.folder, a.warm_up, a.timed, a.log):
+            for x in bench(store, a.folder, a.warm_up, a.timed, a.log, a.show_stat):
                 print(json.dumps(x))
+        elif a.command == "index":
+            print(store.index(a.name, a.limit))
         elif a.command == "export":
             {"ntriples": lambda: ntriples.write(store.triples(), a.target), "graph": lambda: ntriples.write_graph(store.triples(), a.target),
              "graphml": lambda: ntriples.write_graphml(store.triples(), a.target), "ids": lambda: store.write_ids(a.target),

@@ -1,4 +1,8 @@
-"""A basic graph pattern as one lazy DataFrame: scans, joins on shared variables, distinct projection."""
+"""A basic graph pattern as one lazy DataFrame: scans, joins on shared variables, distinct projection.
+
+Columns hold terms or, where the relation says so, the keys that stand for them (`Form`). Two columns of
+one form are joined as they are; of different forms, as terms. What is selected becomes terms at the end.
+"""
 
 from __future__ import annotations
 
@@ -7,46 +11,56 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triplespark.plans.ast import Pattern, Query, Var
-from triplespark.plans.planner import plan
-from triplespark.sources.relations import Relation
+from triplespark.plans.ast import Query
+from triplespark.plans.planner import Step, plan
+from triplespark.sources.relations import Form, Relation
+
+Bindings = tuple[DataFrame, dict[str, Form]]
+
+
+def _as_terms(found: Bindings, names) -> Bindings:
+    rows, forms = found
+    written = {v: forms[v].term(F.col(v)) for v in names if v in forms}
+    return (rows.withColumns(written) if written else rows), {v: f for v, f in forms.items() if v not in written}
+
+
+def _joined(left: Bindings, right: Bindings, on: tuple[str, ...], how: str) -> Bindings:
+    unlike = [v for v in on if left[1].get(v) != right[1].get(v)]
+    (a, forms), (b, others) = _as_terms(left, unlike), _as_terms(right, unlike)
+    return a.join(b, list(on), how), forms if how == "left_semi" else others | forms
 
 
-def scan(relation: Relation, t: Pattern, names: tuple[str, ...] | None = None) -> DataFrame:
-    """A pattern's matches, one column for each variable (or the named ones); a variable that stands
-    twice filters for equality. Every scan makes fresh columns, so a table can meet itself."""
-    rows = relation.match(*[None if isinstance(x, Var) else x for x in t.places])
-    first: dict[str, str] = {}
-    for column, x in zip("spo", t.places):
-        if isinstance(x, Var):
-            if x.name in first:
-                rows = rows.filter(F.col(column) == F.col(first[x.name]))
-            else:
-                first[x.name] = column
-    wanted = first if names is None else {v: first[v] for v in names}
-    return rows.select(*[F.col(c).alias(v) for v, c in wanted.items()])
+def _steps(relation: Relation, steps: list[Step], guards: list[DataFrame]) -> Bindings | None:
+    """One component of a plan; its constant patterns go to the guards."""
+    found: Bindings | None = None
+    for step in steps:
+        if step.op == "guard":
+            guards.append(relation.match(*step.pattern.places).select().limit(1))
+            continue
+        if step.op == "scan":
+            found = relation.bindings(step.pattern, step.keep)
+        elif step.op == "star":
+            found = _joined(found, _steps(relation, list(step.branch), guards), step.on, "inner")
+        else:
+            names = step.on if step.op == "semi" else tuple(v for v in step.pattern.variables if v in step.on or v in step.keep)
+            found = _joined(found, relation.bindings(step.pattern, names), step.on, "left_semi" if step.op == "semi" else "inner")
+        rows, forms = found
+        if set(rows.columns) != set(step.keep):
+            found = rows.select(*step.keep), {v: f for v, f in forms.items() if v in step.keep}
+    return found
 
 
 def evaluate(query: Query, relation: Relation) -> DataFrame:
     """The distinct bindings of the selected variables, as terms, in the order of the SELECT."""
     parts: list[DataFrame] = []
     guards: list[DataFrame] = []
+    forms: dict[str, Form] = {}
     for steps in plan(query, relation.sizes()):
-        rows: DataFrame | None = None
-        for step in steps:
-            if step.op == "guard":
-                guards.append(relation.match(*step.pattern.places).select().limit(1))
-            elif step.op == "scan":
-                rows = scan(relation, step.pattern, step.keep)
-            else:
-                names = step.on if step.op == "semi" else tuple(v for v in step.pattern.variables if v in step.on or v in step.keep)
-                other = scan(relation, step.pattern, names)
-                rows = rows.join(other, list(step.on), "left_semi" if step.op == "semi" else "inner")
-            if rows is not None and set(rows.columns) != set(step.keep):
-                rows = rows.select(*step.keep)
-        if rows is not None:
+        found = _steps(relation, steps, guards)
+        if found is not None:
             # a component of which nothing is selected only has to exist
+            rows, own = found
             parts.append(rows.distinct() if rows.columns else rows.limit(1))
+            forms |= own
     out = reduce(lambda a, b: a.crossJoin(b), [*parts, *guards])
-    selected = out.select(*query.select)
-    return selected if len(parts) == 1 else selected.distinct()
+    return out.select(*[(forms[v].term(F.col(v)) if v in forms else F.col(v)).alias(v) for v in query.select])

@@ -6,10 +6,10 @@ of the dictionary, a permutation of 1..n within it (spread: an injection into la
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triplespark.operators.statistics import degrees, ranked
+from triplespark.operators.statistics import degrees, ranked, running
 
 METHODS = ("none", "rand", "bfs", "pca", "degree", "spread")
 
@@ -79,11 +79,7 @@ def by_component(triples: DataFrame, dictionary: DataFrame) -> DataFrame:
 def spread(dictionary: DataFrame, seed: int = 100) -> DataFrame:
     """Running sums of random widths from 2 to 10, so that different ids stay different."""
     width = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(9)) + 2
-    sliced = dictionary.select("id").withColumn("w", width).repartitionByRange(64, "id").withColumn("__slice", F.spark_partition_id())
-    sums = sliced.groupBy("__slice").agg(F.sum("w").alias("__n"))
-    ahead = sums.withColumn("__ahead", F.coalesce(F.sum("__n").over(Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    own = F.sum("w").over(Window.partitionBy("__slice").orderBy("id"))
-    return sliced.withColumn("__own", own).join(F.broadcast(ahead), "__slice").select("id", (F.col("__own") + F.col("__ahead")).alias("new_id"))
+    return running(dictionary.select("id", width.alias("w")), "id", "w").select("id", (F.col("before") + F.col("w")).alias("new_id"))
 
 
 def renumber(method: str, triples: DataFrame, dictionary: DataFrame, checkpoint) -> DataFrame | None:

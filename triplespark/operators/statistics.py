@@ -5,31 +5,82 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from triplespark.sources.shared import stored
+
 
 def equal_width(df: DataFrame, column: str, width: int) -> DataFrame:
-    """lower, upper, freq of buckets of equal width from the minimum on; empty ones count 0."""
+    """lower, upper, freq of buckets of equal width from the minimum on; empty ones count 0.
+
+    The two ends pass the driver; the buckets are a distributed range, however many there are.
+    """
+    spark = df.sparkSession
     x = df.select(F.col(column).cast("long").alias("x")).filter("x is not null")
-    ends = x.agg(F.min("x").alias("low"), F.max("x").alias("high"))
-    spine = ends.filter("low is not null").select("low", "high", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("high") - F.col("low")) / width))).alias("i"))
-    counts = x.crossJoin(F.broadcast(ends)).groupBy(F.floor((F.col("x") - F.col("low")) / width).alias("i")).agg(F.count(F.lit(1)).alias("n"))
-    lower = F.col("low") + F.col("i") * width
+    low, high = x.agg(F.min("x"), F.max("x")).first()
+    if low is None:
+        return spark.createDataFrame([], "lower long, upper long, freq long")
+    first, last = F.lit(low).cast("long"), F.lit(high).cast("long")
+    spine = spark.range((high - low) // width + 1).withColumnRenamed("id", "i")
+    counts = x.groupBy(F.call_function("div", F.col("x") - first, F.lit(width).cast("long")).alias("i")).agg(F.count(F.lit(1)).alias("n"))
+    lower = first + F.col("i") * width
     return spine.join(counts, "i", "left").select(
-        lower.alias("lower"), F.least(lower + width - 1, F.col("high")).alias("upper"), F.coalesce("n", F.lit(0)).cast("long").alias("freq"))
+        lower.alias("lower"), F.least(lower + (width - 1), last).alias("upper"), F.coalesce("n", F.lit(0)).cast("long").alias("freq"))
+
+
+#: monotonically_increasing_id holds the partition above these bits, the row within it below.
+_ROW_BITS = 33
+
+
+def _sorted(df: DataFrame, *order: Column | str) -> DataFrame:
+    """The rows range-sorted by an order and stored, with `__slice` (ascending) and `__row` (from 0 in it).
+
+    Stored, because what is counted by slice and what is numbered within it must see the same slices: a
+    range exchange that two branches of a plan each plan for themselves samples its bounds twice.
+    """
+    at = F.monotonically_increasing_id()
+    rows = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", at), "sorted")
+    return rows.withColumns({"__slice": F.shiftright("__at", _ROW_BITS), "__row": F.col("__at").bitwiseAND((1 << _ROW_BITS) - 1)}).drop("__at")
+
 
+def _ahead(rows: DataFrame, n: Column) -> DataFrame:
+    """__slice, __ahead: the sum of n over the slices before; one row for each slice."""
+    before = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("__slice").agg(F.sum(n).alias("__n"))
+    return sums.select("__slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__ahead"))
 
-def _running(counts: DataFrame, value: str, n: str, slices: int = 64) -> DataFrame:
-    """`before`: the sum of n over smaller values, by range slices, so that no task sees all values."""
-    sliced = counts.repartitionByRange(slices, value).withColumn("__slice", F.spark_partition_id())
-    sums = sliced.groupBy("__slice").agg(F.sum(n).alias("__n"))
-    ahead = sums.withColumn("__ahead", F.coalesce(F.sum("__n").over(Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    own = F.sum(n).over(Window.partitionBy("__slice").orderBy(value)) - F.col(n)
-    return sliced.withColumn("__own", own).join(F.broadcast(ahead), "__slice").withColumn("before", F.col("__own") + F.col("__ahead")).drop("__slice", "__own", "__ahead")
+
+def running(df: DataFrame, value: str, n: str) -> DataFrame:
+    """The rows with `before`, the sum of n over smaller values (all different), by range slices, so that
+    no task sees all values."""
+    rows = _sorted(df, value)
+    own = F.sum(n).over(Window.partitionBy("__slice").orderBy("__row")) - F.col(n)
+    found = rows.withColumn("__own", own).join(F.broadcast(_ahead(rows, F.col(n))), "__slice")
+    return found.withColumn("before", F.col("__own") + F.col("__ahead")).drop("__slice", "__row", "__own", "__ahead")
+
+
+def ranked(df: DataFrame, *order: Column | str, name: str = "new_id") -> DataFrame:
+    """Dense numbers from 1 in an order, by range slices rather than in a single task: one shuffle."""
+    rows = _sorted(df, *order)
+    found = rows.join(F.broadcast(_ahead(rows, F.lit(1))), "__slice")
+    return found.withColumn(name, F.col("__row") + F.col("__ahead") + 1).drop("__slice", "__row", "__ahead")
+
+
+def largest_gap(df: DataFrame, column: str) -> DataFrame:
+    """lower, upper, gap: the neighbouring different values that lie farthest apart (ties: the lowest);
+    no row for fewer than two values."""
+    values = df.select(F.col(column).cast("long").alias("x")).filter("x is not null").distinct()
+    rows = _sorted(values, "x")
+    ends = rows.groupBy("__slice").agg(F.min("x").alias("first"), F.max("x").alias("last"))
+    within = rows.select(F.lag("x").over(Window.partitionBy("__slice").orderBy("__row")).alias("lower"), F.col("x").alias("upper"))
+    between = ends.select(F.lag("last").over(Window.orderBy("__slice")).alias("lower"), F.col("first").alias("upper"))
+    gaps = within.unionAll(between).filter("lower is not null")
+    best = gaps.agg(F.max(F.struct((F.col("upper") - F.col("lower")).alias("gap"), (-F.col("lower")).alias("back"))).alias("b")).filter("b is not null")
+    return best.select((-F.col("b.back")).alias("lower"), (F.col("b.gap") - F.col("b.back")).alias("upper"), F.col("b.gap").alias("gap"))
 
 
 def equal_depth(df: DataFrame, column: str, depth: int) -> DataFrame:
     """lower, upper, freq of buckets of about equal depth; equal values stay together."""
     counts = df.select(F.col(column).cast("long").alias("x")).filter("x is not null").groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-    placed = _running(counts, "x", "n").withColumn("bucket", F.floor(F.col("before") / depth))
+    placed = running(counts, "x", "n").withColumn("bucket", F.floor(F.col("before") / depth))
     return placed.groupBy("bucket").agg(F.min("x").alias("lower"), F.max("x").alias("upper"), F.sum("n").cast("long").alias("freq")).drop("bucket")
 
 
@@ -72,7 +123,7 @@ def boundary_compactness(df: DataFrame, predicate: str, column: str) -> DataFram
         ranges.select((F.col("high") + 1).alias("x"), (zero - 1).alias("w"), zero.alias("n")))
     rows = df.select(F.col(column).cast("long").alias("x"), zero.alias("w"), (zero + 1).alias("n")).filter("x is not null")
     by_id = ends.unionAll(rows).groupBy("x").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
-    total = _running(by_id, "x", "w").agg(F.coalesce(F.sum(F.col("n") * (F.col("before") + F.col("w") - 1)), zero).alias("rows"))
+    total = running(by_id, "x", "w").agg(F.coalesce(F.sum(F.col("n") * (F.col("before") + F.col("w") - 1)), zero).alias("rows"))
     return total.crossJoin(ranges.agg(F.count(F.lit(1)).alias("predicates"))).select(
         F.when(F.col("predicates") > 0, F.col("rows") / F.col("predicates")).otherwise(0.0).alias("compactness"))
 
@@ -81,6 +132,15 @@ def predicate_counts(triples: DataFrame) -> DataFrame:
     return triples.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
 
 
+def predicate_sizes(triples: DataFrame) -> DataFrame:
+    """p, n, subjects, objects: statements and different subjects and objects of each predicate, counted
+    from pairs, so that a predicate of most statements is spread over tasks."""
+    counts = predicate_counts(triples)
+    for c, name in (("s", "subjects"), ("o", "objects")):
+        counts = counts.join(triples.select("p", c).distinct().groupBy("p").agg(F.count(F.lit(1)).alias(name)), "p")
+    return counts.select("p", "n", "subjects", "objects")
+
+
 def store_counts(triples: DataFrame) -> DataFrame:
     """Statements, and different subjects, predicates and objects."""
     return triples.agg(
@@ -93,15 +153,6 @@ def degrees(triples: DataFrame) -> DataFrame:
     return triples.select(F.explode(F.array("s", "o")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def ranked(df: DataFrame, *order: Column, name: str = "new_id", slices: int = 64) -> DataFrame:
-    """Dense numbers from 1 in an order, by range slices rather than in a single task."""
-    sliced = df.repartitionByRange(slices, *order).withColumn("__slice", F.spark_partition_id())
-    sums = sliced.groupBy("__slice").agg(F.count(F.lit(1)).alias("__n"))
-    ahead = sums.withColumn("__ahead", F.coalesce(F.sum("__n").over(Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    own = F.row_number().over(Window.partitionBy("__slice").orderBy(*order))
-    return sliced.withColumn("__own", own).join(F.broadcast(ahead), "__slice").withColumn(name, F.col("__own") + F.col("__ahead")).drop("__slice", "__own", "__ahead")
-
-
 def degree_rank(triples: DataFrame) -> DataFrame:
     """node, degree, new_id: numbers from 1 by falling degree, then by term."""
     return ranked(degrees(triples), F.desc("degree"), F.col("node"))

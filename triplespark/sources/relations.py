@@ -16,6 +16,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triplespark.functions.terms import literal_column
+from triplespark.plans.ast import Pattern, Var
+
+EX = "http://ex/"
+
+
+@dataclass(frozen=True)
+class Form:
+    """How the values of a column stand for terms: as the keys of IRIs of a class, or the text of plain
+    literals, by SQL type. Columns of one form can be compared and joined as they are."""
+
+    kind: str | None
+    type: str
+
+    def term(self, value: Column) -> Column:
+        return literal_column(value) if self.kind is None else F.concat(F.lit(f"<{EX}{self.kind}/"), value.cast("string"), F.lit(">"))
 
 
 class Relation:
@@ -24,16 +39,30 @@ class Relation:
     def match(self, s: str | None, p: str | None, o: str | None) -> DataFrame:
         raise NotImplementedError
 
+    def bindings(self, t: Pattern, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, Form]]:
+        """A pattern's matches, a column for each named variable, and the forms of those that don't hold
+        terms; a variable that stands twice filters for equality."""
+        rows = self.match(*[None if isinstance(x, Var) else x for x in t.places])
+        first: dict[str, str] = {}
+        for column, x in zip("spo", t.places):
+            if isinstance(x, Var):
+                if x.name in first:
+                    rows = rows.filter(F.col(column) == F.col(first[x.name]))
+                else:
+                    first[x.name] = column
+        return rows.select(*[F.col(first[v]).alias(v) for v in names]), {}
+
     def sizes(self) -> dict[str, int]:
         """Statements by predicate as far as they are known without a job."""
         return {}
 
 
 class Triples(Relation):
-    """A table of triples; `copies` has the same rows in other sort orders, by name such as pso."""
+    """A table of triples; `copies` has the same rows in other sort orders, by name such as pso; `bounds`
+    are the least and largest value that a variable can take, known beforehand."""
 
-    def __init__(self, table: DataFrame, copies: dict[str, DataFrame] | None = None, sizes: dict[str, int] | None = None):
-        self.table, self.copies, self._sizes = table, copies or {}, sizes or {}
+    def __init__(self, table: DataFrame, copies: dict[str, DataFrame] | None = None, sizes: dict | None = None, bounds: dict[str, tuple] | None = None):
+        self.table, self.copies, self._sizes, self.bounds = table, copies or {}, sizes or {}, bounds or {}
 
     def copy_for(self, s, p, o) -> DataFrame:
         """The copy whose sort order begins with the constant places, so row groups are skipped by their bounds."""
@@ -53,11 +82,15 @@ class Triples(Relation):
                 rows = rows.filter(F.col(name) == x)
         return rows.select("s", "p", "o")
 
-    def sizes(self) -> dict[str, int]:
-        return self._sizes
-
+    def bindings(self, t: Pattern, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, Form]]:
+        rows, forms = super().bindings(t, names)
+        for v in names:
+            if v in self.bounds:  # below the projection, so that they reach the scan and skip row groups
+                rows = rows.filter(F.col(v).between(*self.bounds[v]))
+        return rows, forms
 
-EX = "http://ex/"
+    def sizes(self) -> dict:
+        return self._sizes
 
 
 @dataclass(frozen=True)
@@ -72,6 +105,15 @@ class Place:
             return literal_column(F.col(self.columns[0]))
         return F.concat(F.lit(f"<{EX}{self.kind}/"), F.concat_ws("-", *[F.col(c).cast("string") for c in self.columns]), F.lit(">"))
 
+    def raw(self, types: dict[str, str]) -> tuple[Column, Form | None]:
+        """The values, as a single column of a form where there is one, else as terms."""
+        column = self.columns[0]
+        if len(self.columns) == 1 and types[column] in ("tinyint", "smallint", "int", "bigint"):
+            return F.col(column).cast("bigint"), Form(self.kind, "bigint")
+        if len(self.columns) == 1 and types[column] == "string":
+            return F.col(column), Form(self.kind, "string")
+        return self.term(), None
+
     def present(self) -> Column:
         return reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in self.columns))
 
@@ -132,14 +174,14 @@ VOCABULARY: dict[str, Source] = {
     )
     for name, obj in predicates.items()
 }
-#: The tables of the query catalogue.
-RELATIONAL = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+#: All tables of the vocabulary.
+TABLES = tuple(dict.fromkeys(source.table for source in VOCABULARY.values()))
 
 
 class Mapped(Relation):
     """The tables of a folder of Parquet files as triples."""
 
-    def __init__(self, spark: SparkSession, folder: str, tables: tuple[str, ...] = RELATIONAL, vocabulary: dict[str, Source] = VOCABULARY):
+    def __init__(self, spark: SparkSession, folder: str, tables: tuple[str, ...] = TABLES, vocabulary: dict[str, Source] = VOCABULARY):
         self.spark = spark
         self.sources = {f"<{EX}{name}>": source for name, source in vocabulary.items() if source.table in tables}
         self.folder, self.names = folder, tables
@@ -160,7 +202,8 @@ class Mapped(Relation):
             return self.spark.createDataFrame([], "s string, p string, o string")
         return reduce(DataFrame.unionAll, parts)
 
-    def _match_one(self, name: str, source: Source, s, o) -> DataFrame | None:
+    def _filtered(self, source: Source, s, o) -> DataFrame | None:
+        """A source's rows with the constants, None if no row can have them."""
         rows = self.frame(source.table)
         types = dict(rows.dtypes)
         for place, x in ((source.subject, s), (source.object, o)):
@@ -168,7 +211,38 @@ class Mapped(Relation):
             if condition is None:
                 return None
             rows = rows.filter(condition)
-        return rows.select(source.subject.term().alias("s"), F.lit(name).alias("p"), source.object.term().alias("o"))
+        return rows
+
+    def _match_one(self, name: str, source: Source, s, o) -> DataFrame | None:
+        rows = self._filtered(source, s, o)
+        return None if rows is None else rows.select(source.subject.term().alias("s"), F.lit(name).alias("p"), source.object.term().alias("o"))
+
+    def bindings(self, t: Pattern, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, Form]]:
+        """With a constant predicate the key columns themselves: joins compare keys, and terms are written
+        for the result only."""
+        source = self.sources.get(t.p) if isinstance(t.p, str) else None
+        s, o = (None if isinstance(x, Var) else x for x in (t.s, t.o))
+        rows = None if source is None or t.s == t.o else self._filtered(source, s, o)
+        if rows is None:
+            return super().bindings(t, names)
+        types, columns, forms = dict(rows.dtypes), [], {}
+        places = {x.name: place for x, place in ((t.s, source.subject), (t.o, source.object)) if isinstance(x, Var)}
+        for v in names:
+            value, form = places[v].raw(types)
+            columns.append(value.alias(v))
+            if form:
+                forms[v] = form
+        return rows.select(*columns), forms
+
+    def predicate_counts(self) -> DataFrame:
+        """p, n: statements by predicate, each table scanned once for what is null in it, no term written."""
+        parts = []
+        for t in self.names:
+            own = {n: x for n, x in self.sources.items() if x.table == t}
+            if own:
+                counts = self.frame(t).agg(*[F.count(F.when(x.subject.present() & x.object.present(), 1)).alias(f"n{i}") for i, x in enumerate(own.values())])
+                parts.append(counts.select(F.inline(F.array(*[F.struct(F.lit(n).alias("p"), F.col(f"n{i}").alias("n")) for i, n in enumerate(own)]))))
+        return reduce(DataFrame.unionAll, parts).filter("n > 0")
 
     def table(self) -> DataFrame:
         """All triples, each table read once: its predicates are exploded together."""

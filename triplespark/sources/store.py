@@ -3,7 +3,7 @@
     dict/        id, term, kind (iri, bnode, literal), one id space for all positions
     pso/ pos/    s, p, o as ids, range-partitioned and sorted in that order
     spo/ sop/ osp/ ops/   the same with full_index
-    stats/       p (as a term), n
+    stats/       p (as a term), n, subjects, objects: statements and different subjects and objects
     meta.json is a row of Parquet: format, full_index, literal_dict, method
 
 Row groups of a sorted copy have narrow bounds, so a constant place skips all others. Ids are longs;
@@ -24,43 +24,57 @@ from triplespark.operators.bgp import evaluate
 from triplespark.operators.renumber import renumber
 from triplespark.plans import planner
 from triplespark.plans.ast import Pattern, Query, Var
+from triplespark.plans.observe import observed
 from triplespark.plans.sparql import parse
 from triplespark.sources import ntriples
 from triplespark.sources.relations import Relation, Triples
+from triplespark.sources.shared import delete, stored
 
 BASIC, FULL = ("pso", "pos"), ("pso", "pos", "spo", "sop", "osp", "ops")
 #: With a separate dictionary of literals their ids start here.
 LITERAL_START = 1 << 40
 
 
+#: Most rows of the dictionary's predicates that are broadcast (a term and an id each).
+FEW_PREDICATES = 200_000
+
+
 def dictionary_of(triples: DataFrame, literal_dict: bool = False) -> DataFrame:
-    """id, term, kind: ids rise with terms; dense within a partition, unique and sorted over all."""
-    terms = triples.select(F.explode(F.array("s", "p", "o")).alias("term")).distinct()
-    rows = terms.repartitionByRange("term").sortWithinPartitions("term").select(
-        (F.monotonically_increasing_id() + 1).alias("id"), "term", kind_column(F.col("term")).alias("kind"))
-    if literal_dict:
-        dense = statistics.ranked(rows.select("term", "kind"), F.col("kind") == "literal", F.col("term"), name="id")
-        before = rows.filter("kind <> 'literal'").agg(F.count(F.lit(1)).alias("n"))
-        literal = F.col("kind") == "literal"
-        rows = dense.crossJoin(F.broadcast(before)).select(F.when(literal, F.col("id") - F.col("n") + LITERAL_START).otherwise(F.col("id")).alias("id"), "term", "kind")
-    return rows
+    """id, term, kind: dense ids from 1 that rise with terms."""
+    terms = triples.select(F.explode(F.array("s", "p", "o")).alias("term")).distinct().withColumn("kind", kind_column(F.col("term")))
+    if not literal_dict:
+        return statistics.ranked(terms, "term", name="id").select("id", "term", "kind")
+    literal = F.col("kind") == "literal"
+    dense = statistics.ranked(terms, literal, F.col("term"), name="id")
+    before = dense.filter(~literal).count()
+    return dense.select(F.when(literal, F.col("id") - before + LITERAL_START).otherwise(F.col("id")).alias("id"), "term", "kind")
+
+
+def predicates_of(triples: DataFrame, dictionary: DataFrame, column: str) -> DataFrame:
+    """The dictionary's rows for the predicates of triples that hold `column` (term or id) there. Each
+    predicate has many statements, so that side is broadcast if it has been counted and is small."""
+    names = stored(triples.select(F.col("p").alias(column)).distinct(), "predicates")
+    few = names.count() <= FEW_PREDICATES
+    found = dictionary.join(F.broadcast(names) if few else names, column, "left_semi")
+    return F.broadcast(found) if few else found
 
 
 def encode(triples: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """s, p, o as ids: a join with the dictionary for each place; predicates are few, so adaptive
-    execution broadcasts where sizes allow and splits hot terms where they don't."""
-    for c in "spo":
-        ids = dictionary.select(F.col("term").alias(c), F.col("id").alias(f"{c}_id"))
-        triples = triples.join(ids, c)
+    """s, p, o as ids: a join with the dictionary for each place; predicates' rows are broadcast if few,
+    elsewhere adaptive execution splits hot terms."""
+    for c in "pso":
+        known = predicates_of(triples, dictionary, "term") if c == "p" else dictionary
+        triples = triples.join(known.select(F.col("term").alias(c), F.col("id").alias(f"{c}_id")), c)
     return triples.select(*[F.col(f"{c}_id").alias(c) for c in "spo"])
 
 
-def decode(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Each column's ids as terms; the dictionary joins once for each column."""
+def decode(rows: DataFrame, dictionary: DataFrame, predicates: DataFrame | None = None) -> DataFrame:
+    """Each column's ids as terms; the dictionary joins once for each column, for p its predicates alone if given."""
     names = rows.columns
     out = rows.select(*[F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(names)])
     for i in range(len(names)):
-        out = out.join(dictionary.select(F.col("id").alias(f"v{i}"), F.col("term").alias(f"t{i}")), f"v{i}")
+        known = predicates if names[i] == "p" and predicates is not None else dictionary
+        out = out.join(known.select(F.col("id").alias(f"v{i}"), F.col("term").alias(f"t{i}")), f"v{i}")
     return out.select(*[F.col(f"t{i}").alias(c) for i, c in enumerate(names)])
 
 
@@ -81,27 +95,35 @@ class Dataset:
         with open(path, encoding="utf-8") as f:
             return self.sparql(f.read())
 
+    def sizes(self, query: Query) -> dict:
+        """What is known of the sizes of a query's patterns."""
+        return self.relation.sizes()
+
     def explain(self, text: str) -> str:
-        return planner.explain(parse(text), self.relation.sizes())
+        query = parse(text)
+        return planner.explain(query, self.sizes(query))
 
     def dot(self, text: str) -> str:
-        return planner.dot(parse(text), self.relation.sizes())
+        query = parse(text)
+        return planner.dot(query, self.sizes(query))
 
     def shape(self, text: str) -> str:
         return planner.shape(parse(text))
 
     def profile(self, text: str) -> dict:
-        """Seconds of parsing, planning and execution, the rows, and the steps with their estimates."""
+        """Seconds of parsing, ordering and Spark's phases, the rows, the steps with their estimates, and the
+        operators with the rows they made and their selectivity."""
         marks = [time.perf_counter()]
         query = parse(text)
         marks.append(time.perf_counter())
         rows = self.sparql(query)
         marks.append(time.perf_counter())
-        n = rows.count()
-        marks.append(time.perf_counter())
-        parse_s, plan_s, run_s = (round(b - a, 6) for a, b in zip(marks, marks[1:]))
-        steps = [f"{s.op} {s.pattern} (~{s.rows})" for g in planner.plan(query, self.relation.sizes()) for s in g]
-        return {"parse_s": parse_s, "plan_s": plan_s, "run_s": run_s, "rows": n, "shape": planner.shape(query), "steps": steps}
+        seen = observed(rows)
+        parse_s, plan_s = (round(b - a, 6) for a, b in zip(marks, marks[1:]))
+        sizes = self.sizes(query)
+        steps = [f"{s.op} {s.pattern} (~{s.rows})" for g in planner.plan(query, sizes) for s in planner.flat(g)]
+        return {"parse_s": parse_s, "plan_s": plan_s, "run_s": seen["phases"]["execution"], "rows": seen["rows"], "shape": planner.shape(query),
+                "steps": steps, "phases": seen["phases"], "operators": seen["operators"]}
 
     def show(self, text: str, limit: int = 7) -> int:
         """Print the first rows and the total, and return it."""
@@ -130,9 +152,7 @@ class Store(Dataset):
             self.dictionary = self.dictionary.cache()
             self.copies = {n: t.cache() for n, t in self.copies.items()}
         self.stats = spark.read.parquet(f"{path}/stats")
-        # a row for each predicate; the planner needs the largest ones, the rest count as small
-        sizes = {r["p"]: r["n"] for r in self.stats.orderBy(F.desc("n")).limit(100_000).collect()}
-        super().__init__(Triples(self.copies["pso"], self.copies, sizes))
+        super().__init__(Triples(self.copies["pso"], self.copies))
 
     @classmethod
     def build(cls, spark: SparkSession, source: str | DataFrame, path: str, full_index: bool = False,
@@ -159,11 +179,11 @@ class Store(Dataset):
         for name in FULL if full_index else BASIC:
             order = list(name)
             ids.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/{name}")
-        statistics.predicate_counts(triples).write.mode("overwrite").parquet(f"{path}/stats")
-        spark.createDataFrame([(1, full_index, literal_dict, method)], "format int, full_index boolean, literal_dict boolean, method string").write.mode("overwrite").parquet(f"{path}/meta")
-        jvm = spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(staged)
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        stats = stage(statistics.predicate_sizes(ids))
+        names = predicates_of(ids, dictionary, "id").select(F.col("id").alias("p"), "term")
+        stats.join(names, "p").select(F.col("term").alias("p"), "n", "subjects", "objects").write.mode("overwrite").parquet(f"{path}/stats")
+        spark.createDataFrame([(2, full_index, literal_dict, method, stats.agg(F.sum("n")).first()[0] or 0)], "format int, full_index boolean, literal_dict boolean, method string, triples long").write.mode("overwrite").parquet(f"{path}/meta")
+        delete(spark, staged)
         return cls(spark, path)
 
     @classmethod
@@ -174,18 +194,58 @@ class Store(Dataset):
         """Ids of a query's constants; terms that the store lacks are missing."""
         return {r["term"]: r["id"] for r in self.dictionary.filter(F.col("term").isin(terms)).collect()} if terms else {}
 
-    def sparql(self, text: str | Query) -> DataFrame:
+    def sizes(self, query: Query) -> dict:
+        """Statements, different subjects and objects of the query's predicates, by term; the rest under ''."""
+        known = {r["p"]: planner.Size(r["n"], r["subjects"], r["objects"]) for r in self.stats.filter(F.col("p").isin(planner.constants(query))).collect()}
+        rest = self.meta["triples"] - sum(x.rows for x in known.values())
+        return known | {"": planner.Size.of(rest)}
+
+    def _prescan(self, patterns: tuple[Pattern, ...]) -> tuple[dict, dict]:
+        """Of patterns with a constant subject or object, which a sorted copy finds at once: their exact rows,
+        and for each variable the least and largest id that all of them admit. One job."""
+        bound = [t for t in dict.fromkeys(patterns) if t.variables and not (isinstance(t.s, Var) and isinstance(t.o, Var))]
+        if len(patterns) < 2 or not bound:
+            return {}, {}
+        parts = []
+        for i, t in enumerate(bound):
+            rows, _ = self.relation.bindings(t, t.variables)
+            ends = [F.array(F.min(v), F.max(v)) for v in t.variables]
+            parts.append(rows.agg(F.count(F.lit(1)).alias("n"), F.array(*ends).alias("ends")).select(F.lit(i).alias("i"), "n", "ends"))
+        counts, bounds = {}, {}
+        for i, n, ends in reduce(DataFrame.unionAll, parts).collect():  # a row for each pattern
+            counts[bound[i]] = n
+            for v, (low, high) in zip(bound[i].variables, ends):
+                low, high = (low, high) if n else (1, 0)  # nothing matches
+                before = bounds.get(v, (low, high))
+                bounds[v] = (max(low, before[0]), min(high, before[1]))
+        return counts, bounds
+
+    def sparql(self, text: str | Query, prescan: bool = True) -> DataFrame:
+        """As the dataset's; with `prescan` selective patterns are counted first, and their variables' bounds
+        filter every other scan, so that sorted copies skip row groups."""
         query = parse(text) if isinstance(text, str) else text
         ids = self.ids_of(planner.constants(query))
-        sizes = {ids[p]: n for p, n in self.relation.sizes().items() if p in ids}
-        sizes[-1] = sum(self.relation.sizes().values()) - sum(sizes.values())
+        sizes = {ids[p] if p else -1: x for p, x in self.sizes(query).items() if not p or p in ids}
         place = lambda x: x if isinstance(x, Var) else ids.get(x, -1)
         encoded = Query(query.select, tuple(Pattern(*map(place, t.places)) for t in query.patterns))
-        return decode(evaluate(encoded, Triples(self.copies["pso"], self.copies, sizes)), self.dictionary)
+        counts, bounds = self._prescan(encoded.patterns) if prescan else ({}, {})
+        return decode(evaluate(encoded, Triples(self.copies["pso"], self.copies, sizes | counts, bounds)), self.dictionary)
+
+    def predicates(self) -> DataFrame:
+        """The dictionary's rows for predicates, broadcast if few."""
+        few = self.stats.count() <= FEW_PREDICATES
+        names = self.stats.select(F.col("p").alias("term"))
+        found = self.dictionary.join(F.broadcast(names) if few else names, "term", "left_semi")
+        return F.broadcast(found) if few else found
 
     def triples(self) -> DataFrame:
         """All statements as terms, repeated ones as often as they were loaded."""
-        return decode(self.copies["pso"].select("s", "p", "o"), self.dictionary)
+        return decode(self.copies["pso"].select("s", "p", "o"), self.dictionary, self.predicates())
+
+    def index(self, name: str, limit: int = 20) -> str:
+        """The first rows of a sorted copy, one a line, in its order and with its columns in that order."""
+        order = list(name)
+        return "\n".join("\t".join(map(str, r)) for r in self.copies[name].select(*order).orderBy(*order).limit(limit).collect())
 
     def counts(self) -> DataFrame:
         return statistics.store_counts(self.copies["pso"])
@@ -204,3 +264,9 @@ class Store(Dataset):
                 for kind, made in (("width", statistics.equal_width(rows, c, n)), ("depth", statistics.equal_depth(rows, c, n))):
                     parts.append(made.select(F.lit(c).alias("place"), F.lit(kind).alias("kind"), F.lit(n).alias("size"), "lower", "upper", "freq"))
         reduce(DataFrame.unionAll, parts).write.mode("overwrite").partitionBy("place", "kind", "size").parquet(path)
+
+
+def read_histogram(spark: SparkSession, path: str, place: str, kind: str, size: int) -> DataFrame:
+    """lower, upper, freq of one histogram that `write_histograms` wrote, for `range_cardinality` and `cut_point`."""
+    found = spark.read.parquet(path).filter((F.col("place") == place) & (F.col("kind") == kind) & (F.col("size") == size))
+    return found.select("lower", "upper", "freq")

@@ -2,31 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from triplespark.sources.shared import discard, new_path, stored, temporary
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset, as in tests, one of our own."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="triplespark-")
-        shared_dir.own = path
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts lineage, survives lost executors."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["components", "discard", "labelled_sample", "new_path", "remainder", "stored", "temporary", "text_or_empty"]
 
 
 def remainder(key: str, mod: int) -> Column:
@@ -54,13 +35,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
     return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that can be reached, over undirected edges (a, b).
 
     Alternating large-star and small-star rounds (Kiveris et al., "Connected components in
     MapReduce and beyond", 2014): each links neighbours to the smallest among them, so a chain
-    of any length takes logarithmically many rounds. Each round is written to the shared folder.
-    Nodes without an edge come back as their own component.
+    of any length takes logarithmically many rounds. Each round is written to the shared folder,
+    and what it was made from is deleted. Nodes without an edge come back as their own component.
     """
     def star(e: DataFrame, large: bool) -> DataFrame:
         # hub u of (u, v): large-star takes all neighbours of u, small-star the smaller ones
@@ -76,19 +57,16 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
         else:
             moved = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(
                 least.select("a", F.col("m").alias("b")))
-        return moved.filter(F.col("a") != F.col("b")).distinct()
+        after = stored(moved.filter(F.col("a") != F.col("b")).distinct(), "edges")
+        discard(least, e)
+        return after
 
     now = stored(edges.select("a", "b").filter(F.col("a") != F.col("b"))
                  .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
-    for _ in range(max_rounds):
-        now = stored(star(star(now, True), False), "edges")
+    before, seen = None, 0
+    while seen != before:  # every round but the last moves a link to a smaller node, so this ends
+        before, now = seen, star(star(now, True), False)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if seen == before:
-            break
-        before = seen
-    else:
-        raise RuntimeError(f"components did not settle within {max_rounds} rounds")
     found = now.groupBy("a").agg(F.min("b").alias("component"))
     return nodes.join(found, nodes["node"] == found["a"], "left").select(
         "node", F.coalesce("component", "node").alias("component"))

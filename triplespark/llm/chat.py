@@ -4,15 +4,15 @@ Every assistant turn becomes an example of its own: all turns before it are cont
 reply is trainable. A turn is written as `### role: text</turn>` and a newline; control strings inside
 texts and roles are escaped with a backslash and a letter, which no other text can then contain.
 
-The examples of a conversation share their beginnings, so written out in full they take space that
-grows with the square of its length. `format_examples` therefore stores an example as what it adds to
-the one before it (`delta`), with offsets into the full text, which is the concatenation of the deltas
-up to it; `expand` writes the full texts where they are wanted. Turns after the last reply, and
-conversations without one, are rows without a target (loss_start null), so nothing is lost.
+`examples` gives each example in full: the text of all preceding turns and the reply, and where in it
+the reply lies. The examples of a conversation share their beginnings, so they take space that grows
+with the square of its replies. `format_examples` is the form to store: an example as what it adds to the
+one before it (`delta`), with offsets into the full text, which `expand` writes out. Turns after the last
+reply, and conversations without one, are rows without a target (loss_start null), so nothing is lost.
 
-One shuffle by conversation serves the window, the examples and their reading. A conversation's turns
-meet in one task, as a digest of the whole conversation needs; windows over it stream and spill, and
-only `digests` and `expand` hold a conversation's text in one value.
+One shuffle by conversation serves the window, the examples and their reading; examples are written out
+one after another and not kept. A conversation's turns meet in one task, since a digest of a whole
+conversation needs its text in one value: that is the limit for a conversation of very many turns.
 
 Edge cases: null texts and roles are empty; turns come by turn, then role, then text, nulls first, so
 ties and repeated rows are all kept in a fixed order; rows with a null conv_id form one conversation;
@@ -70,18 +70,28 @@ def format_examples(conversations: DataFrame) -> DataFrame:
     )
 
 
-def expand(examples: DataFrame) -> DataFrame:
-    """Examples with a target, with their full text: all preceding turns and the reply."""
+def expand(deltas: DataFrame, tails: bool = False) -> DataFrame:
+    """conv_id, example, text, loss_start, loss_end: examples with their full text, all preceding turns and the
+    reply; with `tails` also the rows without a target, whose text is the whole conversation."""
     so_far = Window.partitionBy("conv_id").orderBy("example").rowsBetween(Window.unboundedPreceding, 0)
-    full = examples.withColumn("text", F.array_join(F.collect_list("delta").over(so_far), ""))
-    return full.filter(F.col("loss_start").isNotNull()).select("conv_id", "example", "text", "loss_start", "loss_end")
+    full = deltas.withColumn("text", F.array_join(F.collect_list("delta").over(so_far), ""))
+    kept = full if tails else full.filter(F.col("loss_start").isNotNull())
+    return kept.select("conv_id", "example", "text", "loss_start", "loss_end")
 
 
-def digests(examples: DataFrame) -> DataFrame:
-    """Per conversation, read back from the examples: its turns, and the text under the loss masks."""
-    fields = F.struct("example", "delta", "prefix_chars", "loss_start", "loss_end")
-    whole = examples.groupBy("conv_id").agg(F.array_sort(F.collect_list(fields)).alias("examples"))
-    formatted = F.array_join(F.transform("examples", lambda x: x["delta"]), "")
+def examples(conversations: DataFrame, tails: bool = False) -> DataFrame:
+    """Every assistant turn as an example with all preceding turns as its context, as `expand` gives them."""
+    return expand(format_examples(conversations), tails)
+
+
+def digests(written: DataFrame) -> DataFrame:
+    """Per conversation, read back from its examples in full (with tails): its turns, from the last and longest
+    text, and the text under the loss masks, from each example its own."""
+    span = F.substr("text", (F.col("loss_start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int"))
+    trained = F.when(F.col("loss_start").isNotNull(), F.struct("example", unescape(span).alias("text")))
+    whole = written.groupBy("conv_id").agg(
+        F.max_by("text", "example").alias("formatted"), F.array_sort(F.collect_list(trained)).alias("trained"))
+    formatted = F.col("formatted")
     lines = F.split(formatted, CLOSE, -1)
 
     def turn(line: Column) -> Column:
@@ -89,9 +99,7 @@ def digests(examples: DataFrame) -> DataFrame:
         text = F.substr(line, F.length(role) + len(BETWEEN) + 1)
         return F.concat(unescape(F.substr(role, F.lit(len(OPEN) + 1)), ROLE), F.lit("\n"), unescape(text), F.lit("\n"))
 
-    target = lambda x: unescape(F.substr(
-        x["delta"], (x["loss_start"] - x["prefix_chars"] + 1).cast("int"), (x["loss_end"] - x["loss_start"]).cast("int")))
-    masked = F.array_join(F.transform(F.filter("examples", lambda x: x["loss_start"].isNotNull()), target), "")
+    masked = F.array_join(F.transform("trained", lambda x: x["text"]), "")
     read = whole.select(
         "conv_id", (F.size(lines) - 1).cast("long").alias("n_turns"),
         F.array_join(F.transform(F.slice(lines, F.lit(1), F.size(lines) - 1), turn), "").alias("turns"),
@@ -102,13 +110,13 @@ def digests(examples: DataFrame) -> DataFrame:
 
 
 def op1_chat_formatting(spark, sf_dir: str) -> DataFrame:
-    """All conversations and one of control strings."""
+    """All conversations and one of control strings, written out as examples and read back."""
     odd = "\\### Assistant: </turn> ok"
     extra = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(extra.columns)
-    return digests(format_examples(rows.unionAll(extra)))
+    return digests(examples(rows.unionAll(extra), tails=True))
 
 
 def _sql_escape(x: str, pairs) -> str:

@@ -1,9 +1,11 @@
 """Personal data: regular expressions propose spans, checksums confirm them, context words adjust the score.
 
 Kinds and validators: email (its shape), ip (parts of at most 255), card (13 to 19 digits, Luhn), phone
-(9 to 15 digits), and, added by the method, iban (ISO 13616, mod-97). A span that fails its validator is
-dropped without another try. The score is the kind's prior, raised if one of the kind's context words
-stands within `NEAR` characters; no base span is dropped for its score.
+(9 to 15 digits), and, added by the method, iban (ISO 13616, mod-97), key (identifiers of cloud access
+keys) and secret (a value of 12 characters or more, with a digit, that is assigned to a password, token or
+the like). A span that fails its validator is dropped without another try. The score, in percent, is the
+kind's prior, raised if one of the kind's context words stands within `NEAR` characters; it is part of the
+result, and no base span is dropped for its score.
 
 Everything is a SQL expression over the row: no shuffle, no Python. The patterns are written so that a
 search takes linear time: possessive repeats, starts only where a run starts (or the last match ended),
@@ -25,13 +27,14 @@ from pyspark.sql import functions as F
 from triplespark.llm.common import text_or_empty
 
 BLOCK, NEAR = 256, 48
-KINDS = ("email", "ip", "card", "phone", "iban")
+KINDS, BASE = ("email", "ip", "card", "phone", "iban", "key", "secret"), 4
 #: Prior of a confirmed span and its context words; a context word adds BONUS.
-PRIOR = {"email": 0.8, "ip": 0.5, "card": 0.6, "phone": 0.5, "iban": 0.7}
-BONUS = 0.2
+PRIOR = {"email": 80, "ip": 50, "card": 60, "phone": 50, "iban": 70, "key": 70, "secret": 60}
+BONUS = 20
 CONTEXT = {
     "email": "mail|contact|write|reach", "ip": "address|host|server|client|login", "card": "card|visa|credit|payment|debit",
     "phone": "phone|call|mobile|contact|fax", "iban": "iban|account|bank|transfer|swift",
+    "key": "key|access|cloud|secret|credential", "secret": "login|user|auth|access|config|credential",
 }
 _LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
@@ -40,6 +43,8 @@ PATTERNS = {
     "card": r"[0-9][0-9 -]{11,}[0-9]",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
+    "key": r"A[KS]IA[0-9A-Z]{16}",
+    "secret": r"(?i:password|passwd|secret|token|api_?key) ?[=:] ?[\x22']?[A-Za-z0-9+/_-]{12}[A-Za-z0-9+/_-]*",
 }
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
@@ -105,22 +110,25 @@ def _valid(kind: str, found: Column) -> Column:
         return F.length(_digits(found)).between(9, 15)
     if kind == "iban":
         return let(F.replace(found, F.lit(" "), F.lit("")), lambda c: F.length(c).between(15, 34) & mod97(c))
+    if kind == "secret":
+        return found.rlike("[0-9]")
     return F.lit(True)
 
 
 def _of_kind(kind: str, text: Column) -> Column:
     guard = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(PATTERNS["card"]),
-             "phone": F.contains(text, F.lit("+")), "iban": text.rlike("[A-Z]{2}[0-9]{2}")}[kind]
+             "phone": F.contains(text, F.lit("+")), "iban": text.rlike("[A-Z]{2}[0-9]{2}"), "key": text.rlike("A[KS]IA"),
+             "secret": text.rlike("(?i:d|t|n|y) ?[=:]")}[kind]
     source = F.regexp_replace(text, "[ -](?=[ -])|(?<=[ -])[ -]", "x") if kind == "card" else text
     near = lambda x: F.substr(text, F.greatest(F.lit(1), x["start"] - NEAR + 1), x["end"] - x["start"] + 2 * NEAR)
 
     def scored(x: Column) -> Column:
-        bonus = F.when(F.lower(near(x)).rlike(CONTEXT[kind]), F.lit(BONUS)).otherwise(F.lit(0.0))
+        bonus = F.when(F.lower(near(x)).rlike(CONTEXT[kind]), F.lit(BONUS)).otherwise(F.lit(0))
         return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["found"].alias("found"),
-                        F.round(F.lit(PRIOR[kind]) + bonus, 3).alias("score"))
+                        (F.lit(PRIOR[kind]) + bonus).alias("score"))
 
     kept = F.transform(F.filter(matches(source, PATTERNS[kind]), lambda x: _valid(kind, x["found"])), scored)
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,found:string,score:double>>")
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,found:string,score:int>>")
     return F.when(guard, kept).otherwise(none)
 
 
@@ -155,15 +163,17 @@ def redact(docs: DataFrame) -> DataFrame:
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:
-    """All documents: counts and digests of their spans."""
+    """All documents: counts and digests of their spans; also each span's score, in the order of `spans`, and
+    whether there is any span."""
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
     name = lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])
     listed = lambda xs: F.array_join(F.transform(xs, name), ",")
-    base = F.filter("pii", lambda x: x["kind"] != "iban")
+    base = F.filter("pii", lambda x: x["kind"].isin(*KINDS[:BASE]))
     of = lambda kind: F.filter("pii", lambda x: x["kind"] == kind)
     return found.select(
-        "doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS[:4]],
-        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
+        "doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS[:BASE]],
+        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"),
+        F.array_join(F.transform("pii", lambda x: x["score"].cast("string")), ",").alias("scores"), (F.size("pii") > 0).alias("private"))
 
 
 def _sql_spans(kind: str, pattern: str, valid: str) -> str:
@@ -182,6 +192,9 @@ _LUHN = f"""list_sum(list_transform(range(1, length({_D}) + 1), lambda k: CASE W
 _MOD97 = f"""list_reduce(list_prepend(0::BIGINT, list_transform(range(1, length({_T}) + 1), lambda k: ascii(({_T})[k])::BIGINT)),
   lambda a, c: CASE WHEN c < 58 THEN (a * 10 + c - 48) % 97 ELSE (a * 100 + c - 55) % 97 END) = 1"""
 _JOIN = lambda kind: f"list_transform({kind}, lambda x: '{kind}:' || (x.e - length(x.m))::BIGINT || ':' || x.e::BIGINT)"
+_SCORE = lambda kind: f"""list_transform({kind}, lambda x: CASE WHEN regexp_matches(lower(substr(t, greatest(1, (x.e - length(x.m))::BIGINT - {NEAR - 1}),
+  length(x.m) + {2 * NEAR})), '{CONTEXT[kind]}') THEN '{PRIOR[kind] + BONUS}' ELSE '{PRIOR[kind]}' END)"""
+_LISTS = lambda of, kinds: f"coalesce(array_to_string(flatten([{', '.join(map(of, kinds))}]), ','), '')"
 OP3_SQL = f"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 found AS (SELECT doc_id,
@@ -189,10 +202,12 @@ found AS (SELECT doc_id,
   {_sql_spans('ip', '[0-9]+(?:[.][0-9]+)(?:[.][0-9]+)(?:[.][0-9]+)', "len(list_filter(string_split(x.m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(p AS HUGEINT), 999) > 255)) = 0")},
   {_sql_spans('card', '[0-9](?:[ -]?[0-9])+', f"length({_D}) BETWEEN 13 AND 19 AND {_LUHN}")},
   {_sql_spans('phone', '[+][0-9][ ().0-9-]+[0-9]', f"length({_D}) BETWEEN 9 AND 15")},
-  {_sql_spans('iban', PATTERNS['iban'], f"length({_C}) BETWEEN 15 AND 34 AND {_MOD97}")}
+  {_sql_spans('iban', PATTERNS['iban'], f"length({_C}) BETWEEN 15 AND 34 AND {_MOD97}")},
+  {_sql_spans('key', PATTERNS['key'], 'true')},
+  {_sql_spans('secret', PATTERNS['secret'].replace("'", "''"), "regexp_matches(x.m, '[0-9]')")}, t
   FROM texts)
 SELECT doc_id, len(email)::BIGINT AS n_email, len(ip)::BIGINT AS n_ip, len(card)::BIGINT AS n_card, len(phone)::BIGINT AS n_phone,
-  sha256(coalesce(array_to_string(list_concat(list_concat({_JOIN('email')}, {_JOIN('ip')}), list_concat({_JOIN('card')}, {_JOIN('phone')})), ','), '')) AS base_sha256,
-  coalesce(array_to_string(list_concat(list_concat(list_concat({_JOIN('email')}, {_JOIN('ip')}), list_concat({_JOIN('card')}, {_JOIN('phone')})), {_JOIN('iban')}), ','), '') AS spans
+  sha256({_LISTS(_JOIN, KINDS[:BASE])}) AS base_sha256, {_LISTS(_JOIN, KINDS)} AS spans, {_LISTS(_SCORE, KINDS)} AS scores,
+  {' + '.join(f'len({k})' for k in KINDS)} > 0 AS private
 FROM found
 """

@@ -5,7 +5,8 @@ normalised, as it would change counts) and the SHA-256 of the tokenizer's file.
 cache holds are joined; only distinct contents it lacks are encoded, and appended to it.
 
 Copies: each task first drops repeats of a content it has seen (a bounded memory, which only saves
-shuffle), so a content that makes up a third of all rows reaches its partition once per task.
+shuffle), so a content that makes up a third of all rows reaches its partition once per task. There
+contents are sorted by digest, which spills where it must, and only the first of equal ones is encoded.
 
 Edge cases: null or empty text counts 0 bytes and 0 tokens; a null doc_id and repeated rows are kept
 as they are; empty tables give empty results; columns other than doc_id and text are ignored.
@@ -59,14 +60,11 @@ def _local_distinct(batches):
 
 def _encoded(path: str):
     def run(batches):
-        encode, seen = encoder(path, False), set()  # a content's copies share a partition: distinct here is distinct
+        encode, last = encoder(path, False), None  # a content's copies share a partition and stand together in it
         for batch in batches:
             digests, texts = batch.column(0).to_pylist(), batch.column(1)
-            new = []
-            for i, d in enumerate(digests):
-                if d not in seen:
-                    seen.add(d)
-                    new.append(i)
+            new = [i for i, d in enumerate(digests) if d != (digests[i - 1] if i else last)]
+            last = digests[-1] if digests else last
             counts, picked = [], texts.take(pa.array(new, pa.int64()))
             for a, b in slices(pc.binary_length(picked).to_pylist(), 2_000_000):
                 counts += encode(picked.slice(a, b - a).to_pylist())
@@ -89,7 +87,7 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str | None = None,
     if known is not None:
         before = known.select("digest")
         contents = contents.join(before, "digest", "left_anti")
-    new = contents.mapInArrow(_encoded(path), "digest binary, n_tokens long")
+    new = contents.sortWithinPartitions("digest").mapInArrow(_encoded(path), "digest binary, n_tokens long")
     run = F.lit(new_path(spark, "run").rsplit("-", 1)[1])
     (new.select(F.lit(version).alias("version"), "digest", "n_tokens", run.alias("run"))
      .write.mode("append").parquet(cache_path))

@@ -11,8 +11,9 @@ Distribution: texts are encoded once and stored as pieces with their rank among
 their task. Counts by (task, length) are added up over the cluster; only the histogram, of at most
 `capacity` numbers whatever the input, reaches the driver, where the supersteps run on it. They
 return runs (a range of ranks of a class, a range of sequences, an offset), which every task then
-applies to its own pieces. The number of runs depends on the classes alone; it is checked before it
-is broadcast. A length that a third of all pieces share is spread over all tasks that made them.
+applies to its own pieces. The number of runs depends on the classes, not on how many pieces they hold;
+they are broadcast in blocks of at most `BLOCK_RUNS`, each applied to the pieces in its range. A length
+that a third of all pieces share is spread over all tasks that made them.
 
 Edge cases: null or empty text is the end id alone; a null doc_id and repeated rows are packed like
 any other; an empty table gives an empty result; other columns are ignored.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict, deque
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,10 @@ from triplespark.llm.common import stored, text_or_empty
 from triplespark.llm.encoding import encoder, release, slices, tokenizer_path
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, local_rank long"
-#: Most runs of a plan that may be broadcast (48 bytes each).
-MAX_RUNS = 4_000_000
+#: Runs of a plan that are broadcast at a time (40 bytes each).
+BLOCK_RUNS = 1_000_000
+#: A length and a rank make one key, the rank below so many bits.
+_RANK_BITS = 48
 
 
 def _pieces(path: str, end: bytes, capacity: int):
@@ -112,10 +116,10 @@ def _placed(shared):
     def run(batches):
         release()  # the texts are encoded by now
         runs = shared.value
-        keys = (runs[:, 0] << 48) + runs[:, 1]
+        keys = (runs[:, 0] << _RANK_BITS) + runs[:, 1]
         for batch in batches:
             length, rank = (batch.column(i).to_numpy() for i in (3, 5))
-            at = np.searchsorted(keys, (length << 48) + rank, "right") - 1
+            at = np.searchsorted(keys, (length << _RANK_BITS) + rank, "right") - 1
             _, first, sequence, offset, per = runs[at].T
             i = rank - first
             yield pa.RecordBatch.from_arrays(
@@ -138,12 +142,18 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capacit
     for length, n in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # at most `capacity` rows
         histogram[length] = n
     runs, _ = plan(histogram, capacity)
-    if len(runs) > MAX_RUNS:
-        raise RuntimeError(f"the plan has {len(runs)} runs, more than {MAX_RUNS}")
-    shared = spark.sparkContext.broadcast(runs)
     ranked = pieces.join(before, ["length", "task"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("local_rank")).alias("rank"))
-    return ranked.mapInArrow(_placed(shared), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    if len(runs) <= BLOCK_RUNS:
+        return ranked.mapInArrow(_placed(spark.sparkContext.broadcast(runs)), schema)
+    key, first, parts = F.shiftleft("length", _RANK_BITS) + F.col("rank"), (runs[:, 0] << _RANK_BITS) + runs[:, 1], []
+    for at in range(0, len(runs), BLOCK_RUNS):
+        own = ranked.filter(key >= int(first[at]))
+        if at + BLOCK_RUNS < len(runs):
+            own = own.filter(key < int(first[at + BLOCK_RUNS]))
+        parts.append(own.mapInArrow(_placed(spark.sparkContext.broadcast(runs[at:at + BLOCK_RUNS])), schema))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def op4_best_fit_packing(spark, sf_dir: str) -> DataFrame:

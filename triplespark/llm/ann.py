@@ -1,17 +1,23 @@
 """Approximate nearest neighbours by largest inner product: adaptive dimension scan in probed lists.
 
 Index: an inverted file. Centroids are fitted on at most `SAMPLE` vectors (the smallest by hash, the
-documented bound), `FIT` sampled vectors or more a list; every vector is rotated by one random orthogonal matrix and put into the list of its
-nearest centroid, in column blocks of `COLUMNS` dimensions. A query probes the lists with the largest
-inner products with their centroids, as many as `FITTED_QUERIES` vectors that are held out from the fit
-need for `COVERAGE` of their neighbours among all rows, which one pass over the lists finds.
-
-Scan: within a probed list the squared distances |q|^2 + |x|^2 - 2qx grow column block by column block.
-After d of D rotated dimensions, a candidate is abandoned if the hypothesis that it is among the best
-is rejected: D/d times its partial distance exceeds (1 + EPSILON/sqrt(d))^2 times the distance that the
-k-th best inner product found so far stands for (Gao and Long, "High-dimensional approximate nearest
-neighbor search: with reliable and efficient distance comparison operations", 2023). Survivors get
-their exact inner product, in double precision on the original vectors.
+documented bound), `FIT` sampled vectors or more a list; every vector is put into the list of its nearest
+centroid. A query probes the lists with the largest inner products with their centroids, as many as
+`FITTED_QUERIES` vectors that are held out from the fit need for `COVERAGE` of their neighbours among all
+rows, which one pass over the lists finds. How few lists that is depends on the vectors: those without any
+structure, such as random directions, need about half of them.
+
+Scan: one random orthogonal matrix rotates queries and vectors, whose columns are read in blocks of
+`COLUMNS`. A query comes with a bar, the (k + 1)-th best inner product in the sample, which its k-th
+neighbour reaches. After a block of columns the inner product s so far is known (with the norms it is the
+partial distance: |q|^2 + |x|^2 - 2s). Under the hypothesis that the whole one is at the bar, s has over
+random rotations the mean bar * Q/|q|^2 and the variance (|x|^2 - bar^2/|q|^2) Q (1 - Q/|q|^2) / (D - 1),
+Q being the query's squared length in these columns; a candidate that lies `EPSILON` deviations below is
+abandoned (in the way of Gao and Long, "High-dimensional approximate nearest neighbor search: with reliable
+and efficient distance comparison operations", 2023, with the test for inner products). While more than
+`DENSE` of a part's pairs of query and candidate are alive, a block is multiplied for all of them at once,
+then for each living pair by itself. Survivors get their exact inner product, in double precision on the
+original vectors.
 
 Copies: equal vectors are searched once, under the smallest vec_id, with the smallest k + 1 of their
 ids; more can never be among the k nearest, ties going to the smaller id. A vector that a third of all
@@ -33,10 +39,12 @@ from pyspark.sql import functions as F
 
 from triplespark.llm.common import stored
 
-SAMPLE, FITTED_QUERIES, COVERAGE = 16_384, 256, 0.985
-LISTS, PART, QUERIES = 64, 8_192, 4_096
-COLUMNS, EPSILON = 16, 2.1
-FIT = 32
+SAMPLE, FITTED_QUERIES, COVERAGE = 16_384, 256, 0.95
+#: At least so many lists; of about so many vectors each, as far as the sample fits them.
+LISTS, LIST, FIT = 64, 256, 32
+#: Vectors and queries that meet in a task at a time.
+PART, QUERIES = 8_192, 4_096
+COLUMNS, EPSILON, DENSE = 16, 2.0, 0.25
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -45,16 +53,21 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, v: what takes part, each vec_id once, with its vector in double precision."""
+    """vec_id, v: what takes part, each vec_id once; v as it is, in single or double precision."""
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter(
+    kind = vectors.schema["embedding"].dataType.elementType.typeName()
+    v = F.col("embedding").cast("array<float>" if kind == "float" else "array<double>")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(
         F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", fine) & F.exists("v", lambda x: x != 0))
     size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).first()
-    return rows.filter(F.size("v") == (size["n"] if size else 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows = rows.filter(F.size("v") == (size["n"] if size else 0))
+    if rows.groupBy("vec_id").count().filter("count > 1").isEmpty():
+        return rows
+    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 class Index:
-    """Centroids, rotation and the number of lists to probe, all until calibrated."""
+    """Centroids, rotation, the sample for the bars, and the number of lists to probe, all until calibrated."""
 
     def __init__(self, sample: np.ndarray, n_lists: int):
         rng = np.random.default_rng(7)
@@ -68,9 +81,16 @@ class Index:
             np.add.at(sums, near, sample)
             many = np.bincount(near, minlength=n_lists)
             centroids = np.where(many[:, None] > 0, sums / np.maximum(many, 1)[:, None], centroids)
-        self.centroids = centroids
+        self.centroids, self.sample = centroids, sample
         self.probes = n_lists
 
+    def bars(self, q: np.ndarray, k: int) -> np.ndarray:
+        """An inner product that each query's k-th neighbour reaches: its (k + 1)-th best in the sample, which may hold the query."""
+        if len(self.sample) <= k:
+            return np.full(len(q), -np.inf)
+        scores = q @ self.sample.T
+        return np.partition(scores, len(self.sample) - 1 - k, axis=1)[:, len(self.sample) - 1 - k]
+
     def calibrate(self, queries: np.ndarray, owner: np.ndarray, lists: np.ndarray) -> None:
         """Probes for COVERAGE of the neighbours, each given by its query's place and its list."""
         if len(owner):
@@ -114,49 +134,53 @@ def _neighbours(listed: DataFrame, reps: np.ndarray, queries: np.ndarray, k: int
     return np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64)
 
 
-def scan(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, rotation: np.ndarray, k: int):
-    """The k best of a part for each query: (how many, ids, scores), query after query, best first, ties
-    to the smaller id. `ids` are ascending."""
-    n, d = vectors.shape
+def scan(queries: np.ndarray, bars: np.ndarray, ids: np.ndarray, vectors: np.ndarray, rotation: np.ndarray, k: int):
+    """The k best of a part for each query among those that reach its bar: (how many, ids, scores), query
+    after query, best first, ties to the smaller id; and the pairs alive before each block and at the end.
+    `ids` are ascending."""
+    d = vectors.shape[1]
     q, x = queries @ rotation, vectors @ rotation
-    norms = (q ** 2).sum(axis=1)[:, None] + (x ** 2).sum(axis=1)[None, :]
-    blocks = [slice(a, min(a + COLUMNS, d)) for a in range(0, d, COLUMNS)]
-    part = lambda b, c: (q[:, b] ** 2).sum(axis=1)[:, None] + (x[c, b] ** 2).sum(axis=1)[None, :] - 2 * q[:, b] @ x[c, b].T
-    partial = part(blocks[0], slice(None))
-    # the candidates that look best after one block fix the threshold
-    m = min(n, 3 * k)
-    looks = norms - partial * (d / blocks[0].stop)
-    seeds = np.argpartition(-looks, m - 1, axis=1)[:, :m]
-    exact = np.einsum("qmd,qd->qm", vectors[seeds], queries)
-    limit = np.partition(exact, m - k, axis=1)[:, m - k] if m >= k else np.full(len(q), -np.inf)
-    bound = norms - 2 * limit[:, None] + 1e-9 * norms
-    alive = np.ones(partial.shape, dtype=bool)
-    for b in blocks:
-        columns = np.flatnonzero(alive.any(axis=0))
-        if b.start:
-            if alive.sum() <= 4 * k * len(q):
-                break
-            partial[:, columns] += part(b, columns)
-        seen = b.stop
-        reject = d / seen / (1 + EPSILON / np.sqrt(seen)) ** 2 if seen < d else 1.0
-        alive[:, columns] &= partial[:, columns] * reject <= bound[:, columns]
-    np.put_along_axis(alive, seeds, True, axis=1)
-    row, column = np.nonzero(alive)
-    score = np.concatenate([(vectors[column[a:a + 100_000]] * queries[row[a:a + 100_000]]).sum(axis=1) for a in range(0, len(row), 100_000)])  # row by row: equal vectors get equal scores
+    length, bar = (queries ** 2).sum(axis=1), np.where(np.isfinite(bars), bars, 0.0)
+    rest = np.sqrt(np.maximum((vectors ** 2).sum(axis=1).max() - bar ** 2 / length, 0))  # the part's longest vector stands for all
+    seen, dense = np.zeros(len(q)), np.zeros((len(q), len(x)))
+    row = column = partial = None
+    alive = [dense.size]
+    for at in range(0, d, COLUMNS):
+        block = slice(at, min(at + COLUMNS, d))
+        seen += (q[:, block] ** 2).sum(axis=1)
+        share = np.minimum(seen / length, 1)
+        cut = bar * share - EPSILON * rest * np.sqrt(seen * (1 - share) / max(1, d - 1)) - 1e-9 * np.abs(bar)
+        cut = np.where(np.isfinite(bars), cut, -np.inf)
+        if row is None:
+            dense += q[:, block] @ x[:, block].T
+            living = dense >= cut[:, None]
+            alive.append(int(np.count_nonzero(living)))
+            if alive[-1] <= DENSE * dense.size or block.stop >= d:
+                row, column = np.nonzero(living)
+                partial = dense[row, column]
+            continue
+        for a in range(0, len(row), 100_000):  # only what is alive is read
+            r, c = row[a:a + 100_000], column[a:a + 100_000]
+            partial[a:a + 100_000] += np.einsum("ij,ij->i", q[r, block], x[c, block])
+        keep = partial >= cut[row]
+        row, column, partial = row[keep], column[keep], partial[keep]
+        alive.append(len(row))
+    score = np.concatenate([(vectors[column[a:a + 100_000]] * queries[row[a:a + 100_000]]).sum(axis=1) for a in range(0, max(1, len(row)), 100_000)])  # row by row: equal vectors get equal scores
     order = np.lexsort((column, -score, row))
     many = np.bincount(row, minlength=len(q))
     place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
     order = order[place < k]
-    return np.minimum(many, k), ids[column[order]], score[order]
+    return (np.minimum(many, k), ids[column[order]], score[order]), alive
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found for each query row of `vectors`."""
     spark = vectors.sparkSession
     rows = stored(usable(vectors), "vectors")
-    ids = rows.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("place") <= k + 1)
-    copies = stored(ids.groupBy("v").agg(F.min("vec_id").alias("rep"), F.array_sort(F.collect_list("vec_id")).alias("ids")), "copies")
-    asked = rows.filter(is_query).join(copies.select("v", "rep"), "v").select("vec_id", "rep")
+    marked = rows.withColumn("mark", F.xxhash64("v"))  # sorts by the mark rarely compare the vectors themselves
+    ids = marked.withColumn("place", F.row_number().over(Window.partitionBy("mark", "v").orderBy("vec_id"))).filter(F.col("place") <= k + 1)
+    copies = stored(ids.groupBy("mark", "v").agg(F.min("vec_id").alias("rep"), F.array_sort(F.collect_list("vec_id")).alias("ids")), "copies")
+    asked = marked.filter(is_query).join(copies.select("mark", "v", "rep"), ["mark", "v"]).select("vec_id", "rep")
     asked = stored(asked, "queries")
     n = copies.count()
     if not n:
@@ -164,7 +188,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     chosen = copies.select("v", "rep").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).toArrow().combine_chunks()
     sample, reps = _matrix(chosen.column(0).combine_chunks()), chosen.column(1).to_numpy()
     held = min(FITTED_QUERIES, len(sample) // 4)
-    index = Index(sample[held:], max(LISTS, n // (PART // 2)))
+    index = Index(sample[held:], max(LISTS, n // LIST))
     fitted = spark.sparkContext.broadcast(index)
 
     def assign(batches):
@@ -175,24 +199,26 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     def probe(batches):
         for batch in batches:
             if batch.num_rows:
-                lists = shared.value.probed(_matrix(batch.column(1))).astype(np.int32)
-                for a in range(0, len(lists), 256):
-                    many = len(lists[a:a + 256])
-                    at = np.repeat(np.arange(a, a + many), lists.shape[1])
-                    yield batch.take(pa.array(at)).append_column("list", pa.array(lists[a:a + 256].ravel()))
-
-    listed = stored(copies.select("rep", "v").mapInArrow(assign, "rep long, v array<double>, list int"), "lists")
+                q = _matrix(batch.column(1))
+                for a in range(0, len(q), 256):
+                    lists = shared.value.probed(q[a:a + 256]).astype(np.int32)
+                    at = np.repeat(np.arange(len(lists)), lists.shape[1])
+                    own = batch.slice(a, 256).append_column("bar", pa.array(shared.value.bars(q[a:a + 256], k)))
+                    yield own.take(pa.array(at)).append_column("list", pa.array(lists.ravel()))
+
+    kind = copies.schema["v"].dataType.simpleString()
+    listed = stored(copies.select("rep", "v").mapInArrow(assign, f"rep long, v {kind}, list int"), "lists")
     index.calibrate(sample[:held], *_neighbours(listed, reps[:held], sample[:held], k))
     shared = spark.sparkContext.broadcast(index)
     wanted = asked.select("rep").distinct().join(copies.select("rep", "v"), "rep")
-    probes = stored(wanted.mapInArrow(probe, "rep long, v array<double>, list int"), "probes")
+    probes = stored(wanted.mapInArrow(probe, f"rep long, v {kind}, bar double, list int"), "probes")
     # the parts of each list, and of its queries: one row a list, few lists
     parts = F.broadcast(
         listed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("x_parts"))
         .join(probes.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("q_parts")), "list"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = listed.join(parts, "list").select("list", F.pmod(F.xxhash64("rep"), "x_parts").cast("int").alias("x"), every("q_parts").alias("q"), "rep", "v")
-    right = probes.join(parts, "list").select("list", F.pmod(F.xxhash64("rep"), "q_parts").cast("int").alias("q"), every("x_parts").alias("x"), "rep", "v")
+    right = probes.join(parts, "list").select("list", F.pmod(F.xxhash64("rep"), "q_parts").cast("int").alias("q"), every("x_parts").alias("x"), "rep", "v", "bar")
 
     def meet(key, a: pa.Table, b: pa.Table):
         if not a.num_rows or not b.num_rows:
@@ -201,8 +227,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
         x, xi = _matrix(col(a, "v")), col(a, "rep").to_numpy()
         order = np.argsort(xi)
         xi, x = xi[order], x[order]
-        q, qi = _matrix(col(b, "v")), col(b, "rep").to_numpy()
-        found = [scan(q[s:s + 256], xi, x, shared.value.rotation, k + 1) for s in range(0, len(q), 256)]
+        q, qi, bars = _matrix(col(b, "v")), col(b, "rep").to_numpy(), col(b, "bar").to_numpy()
+        found = [scan(q[s:s + 256], bars[s:s + 256], xi, x, shared.value.rotation, k + 1)[0] for s in range(0, len(q), 256)]
         many, near, score = (np.concatenate(z) for z in zip(*found))
         ends = pa.array(np.r_[0, np.cumsum(many)], pa.int32())
         return pa.table({"rep": pa.array(qi), "found": pa.ListArray.from_arrays(ends, pa.array(near)), "scores": pa.ListArray.from_arrays(ends, pa.array(score))})

@@ -141,7 +141,7 @@ def test_decontamination(spark, monkeypatch, block):
     expected = contaminated([r[:2] for r in rows], items)
     assert sorted(((*r[:3], list(r[3])) for r in out), key=repr) == sorted(expected, key=repr)
     assert all(not set(r[3]) & set(r[4]) for r in out)
-    kept = decontamination.clean(h.docs(spark, rows), benchmark)
+    kept = decontamination.clean(h.docs(spark, rows), benchmark, cover=2.0)
     assert kept.columns == h.docs(spark, rows).columns
     assert sorted(h.rows(kept.select("doc_id", "text")), key=repr) == sorted((r[:2] for r, e in zip(rows, expected) if not e[2]), key=repr)
     none = benchmark.filter("false")
@@ -158,6 +158,21 @@ def test_proximity(spark):
     assert out[2][4] == [] and out[3][4] == []
 
 
+@pytest.mark.parametrize("block", [200_000, 7])
+def test_clean_takes_items_in_other_words(spark, monkeypatch, block):
+    monkeypatch.setattr(decontamination, "BLOCK_WINDOWS", block)
+    rng = random.Random(9)
+    item = [f"word{i}" for i in range(24)]
+    benchmark = spark.createDataFrame([("p", " ".join(item)), ("q", " ".join(f"other{i}" for i in range(24)))], "item_id string, text string")
+    edited = [w if i % 8 != 3 else "changed" for i, w in enumerate(item)]  # no ten words in a row are left
+    parts = [item[i:i + 4] for i in range(0, 24, 4)]
+    rng.shuffle(parts)
+    rows = [(1, " ".join(item)), (2, " ".join(edited)), (3, " ".join(item[:9])), (4, "nothing of the kind"), (None, None), (5, " ".join(item[::6]))]
+    near = {r[0]: (r[2], r[4]) for r in h.rows(decontamination.contamination(h.docs(spark, rows), benchmark))}
+    assert near[2] == (0, ["p"]) and near[4] == (0, [])
+    assert sorted(r["doc_id"] or 0 for r in decontamination.clean(h.docs(spark, rows), benchmark).collect()) == [0, 3, 4, 5]
+
+
 def plain_near(text, rare, slop=20):
     at = [[i for i, w in enumerate(words(text)) if w == r] for r in rare]
     return any(max(x) - min(x) <= slop for x in itertools.product(*at))
@@ -229,16 +244,50 @@ def test_simhash(spark):
     assert simhash.near_duplicates(h.docs(spark, [])).count() == 0
 
 
-def test_links_in_long_lists():
+@pytest.mark.parametrize("spread,pairwise", [(13, 4_096), (20, 700), (30, 4_096)])
+def test_links_in_long_lists(monkeypatch, spread, pairwise):
+    monkeypatch.setattr(simhash, "PAIRWISE", pairwise)
     rng = np.random.default_rng(0)
-    low = np.unique(rng.integers(0, 1 << 13, 5000).astype(np.uint64))  # five bytes equal, the others dense
-    a, b = simhash.links_within(0, low << np.uint64(40), 3)
-    assert len(low) > simhash.PAIRWISE
-    i, j = np.triu_indices(len(low), 1)
-    close = np.bitwise_count(low[i] ^ low[j]) <= 3
-    first = simhash._first_list((low[i] ^ low[j]) << np.uint64(40)) == 0
-    expected = {frozenset(x) for x in zip((low[i] << np.uint64(40))[close & first].tolist(), (low[j] << np.uint64(40))[close & first].tolist())}
-    assert {frozenset(x) for x in zip(a.tolist(), b.tolist())} == expected and len(a) == len(expected)
+    low = np.unique(rng.integers(0, 1 << spread, 6_000, dtype=np.uint64))  # four bytes equal, the others dense or less so
+    low = np.unique(np.concatenate([low, *(low[:500] ^ np.uint64(1 << int(b)) ^ np.uint64(1 << int(c)) for b, c in rng.integers(0, 32, (3, 2)))]))
+    # the four positions of a list are fixed, here the last of the indexed ones
+    for combination in (0, len(simhash._combinations()) - 1):
+        rest = [p for p in range(8) if not simhash._combinations()[combination][1] >> p & 1]
+        members = sum(((low >> np.uint64(8 * i)) & np.uint64(0xFF)) << np.uint64(8 * p) for i, p in enumerate(rest))
+        a, b = simhash.links_within(combination, members, 3)
+        assert len(members) > pairwise
+        expected = set()
+        for i in range(len(members)):
+            diff = members[i] ^ members[i + 1:]
+            for j in np.flatnonzero(np.bitwise_count(diff) <= 3):
+                if first_common(int(diff[j])) == combination:
+                    expected.add(frozenset((int(members[i]), int(members[i + 1 + j]))))
+        found = [frozenset(x) for x in zip(a.tolist(), b.tolist())]
+        assert len(found) == len(set(found)) and set(found) == expected
+
+
+def first_common(diff):
+    """The number of the first choice of four of the first seven positions at which two fingerprints are equal."""
+    same = [p for p in range(8) if not diff >> 8 * p & 0xFF]
+    return next((i for i, c in enumerate(itertools.combinations(range(7), 4)) if set(c) <= set(same)), None)
+
+
+def test_the_tally_filters_before_the_bits_are_counted():
+    diff = np.array([0x07, 0x010101, 0x01010101, 0x0F, 0x0101010101010101], dtype=np.uint64)
+    tally = np.bitwise_count(simhash._equal(diff))
+    assert tally.tolist() == [7, 5, 4, 7, 0]
+    for d, t in zip(diff, tally):
+        lists = [i for i in range(len(simhash._combinations())) if len(simhash.verified(i, np.array([d]), 3))]
+        assert lists == ([first_common(int(d))] if t >= 5 and bin(int(d)).count("1") <= 3 else [])
+
+
+def test_every_linked_pair_meets_in_a_list():
+    for c in itertools.combinations(range(64), 3):
+        diff = sum(1 << b for b in c)
+        if (first := first_common(diff)) is None or c[0] % 8 or c[1] % 8 or c[2] % 8:
+            assert first is not None
+            continue
+        assert len(simhash.verified(first, np.array([diff], dtype=np.uint64), 3)) == 1
 
 
 def test_components_of_chains(spark):

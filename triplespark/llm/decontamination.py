@@ -47,6 +47,8 @@ SHARD_BYTES = 8_000_000
 BLOCK_WINDOWS = 200_000
 #: Positions that the proximity search holds at a time.
 CENTRES = 1 << 18
+#: Share of an item's different triples that a document must hold nearby to have the item in other words.
+COVER = 0.5
 #: Words between the positions of two documents; more than any slop.
 GAP = 64
 #: Lower-cases A-Z and blanks what separates words, byte by byte.
@@ -296,13 +298,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "near")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """The rows without a phrase match, with all their columns.
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 20, cover: float = COVER) -> DataFrame:
+    """The rows without a phrase match and without a covered item, with all their columns. An item is covered
+    if a document has proximity matches of `cover` of its different triples of rare terms (in all blocks).
 
-    Each shard's index is built and searched where its rows are, and not stored: the rows need no join
-    with a list of hits, which would shuffle all texts once the hits outgrow a broadcast.
+    Each shard's index is built and searched where its rows are, as `matches` does, and not stored: the rows
+    need no join with a list of hits, which would shuffle all texts once the hits outgrow a broadcast.
     """
-    blocks = _blocks(docs.sparkSession, benchmark, width, 0)
+    blocks = _blocks(docs.sparkSession, benchmark, width, slop)
+    triples = Counter(i for b in blocks for items in b.value["triple_items"] for i in items)
+    whole = docs.sparkSession.sparkContext.broadcast(triples)
     at = docs.columns.index("text")
 
     def run(batches):
@@ -311,10 +316,14 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
             texts = batch.column(at).cast(pa.binary())
             for a, b in slices([n or 0 for n in pc.binary_length(texts).to_pylist()], SHARD_BYTES):
                 row = _index_of(texts.slice(a, b - a).to_pylist())
-                keep = np.ones(b - a, dtype=bool)
+                starts, keep, close = np.array(row["starts"]), np.ones(b - a, dtype=bool), Counter()
                 for block in blocks:
-                    (_, low, _), _ = search_shard(row, block.value, 0)
-                    keep[np.searchsorted(np.array(row["starts"]), low, "right") - 1] = False
+                    (_, low, _), (near, doc) = search_shard(row, block.value, slop)
+                    keep[np.searchsorted(starts, low, "right") - 1] = False
+                    close.update((d, i) for d, w in zip(doc.tolist(), near.tolist()) for i in block.value["triple_items"][w])
+                for (d, item), n in close.items():
+                    if n >= cover * whole.value[item]:
+                        keep[d] = False
                 yield batch.slice(a, b - a).filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

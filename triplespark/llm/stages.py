@@ -1,4 +1,11 @@
-"""Operators as steps over a documents table: what each keeps or changes, all columns preserved."""
+"""Operators as steps over a documents table: what each keeps or changes, all columns preserved.
+
+Edge cases, for all steps: null and empty texts are scored, fingerprinted, searched and packed as empty
+ones (they make one class of near-duplicates, so one such row stays); a null doc_id is a row like any
+other; repeated rows are one class, of which one stays; an empty table stays empty; labels or benchmark
+may be empty (then no document is rejected for contamination, and all have a score of 0.5, which is
+below the threshold); columns of any other names pass through, whatever they are called.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triplespark.llm import decontamination, pii, quality, simhash
-from triplespark.llm.common import remainder, stored
+from triplespark.llm.common import remainder
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -18,22 +25,23 @@ def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest doc_id, in one row.
-
-    Rows with a null doc_id can't stand for a class and stay as they are.
-    """
-    named = docs.filter(F.col("doc_id").isNotNull())
-    found = stored(simhash.near_duplicates(named).filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count(), "representatives")
-    # the ids grow with the documents, so the texts are shuffled to them at every size; ids are hashed, texts not sorted
-    kept = named.join(found.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
-    twice = found.filter(F.col("count") > 1).select("doc_id")
-    if not twice.isEmpty():  # a doc_id with several rows: any one of them
-        kept = kept.join(twice, "doc_id", "left_anti").unionAll(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.unionAll(docs.filter(F.col("doc_id").isNull())).select(docs.columns)
+    """Of each class of near-duplicates one row: the one with the smallest doc_id (rows without one come
+    last), of several with that id the one whose text's hash is least."""
+    chosen = simhash.representatives(docs)
+    own = [F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(docs.columns)]  # any names of theirs may clash with ours
+    keyed = docs.select(*own, F.col("doc_id").cast("long").alias("doc_id"), simhash.text_mark().alias("mark"))
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["mark"] == b["mark"])
+    # the representatives grow with the documents, so the texts are shuffled to them at every size; hashed, not sorted
+    kept = keyed.join(found := chosen.hint("shuffle_hash"), same(keyed, found), "left_semi")
+    twice = chosen.filter("n > 1")
+    if not twice.isEmpty():  # equal rows: any one of them
+        kept = kept.join(twice, same(kept, twice), "left_anti").unionAll(
+            kept.join(twice, same(kept, twice), "left_semi").dropDuplicates(["doc_id", "mark"]))
+    return kept.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows without a benchmark window."""
+    """Rows without a benchmark phrase, and without the greater part of an item in other words or order."""
     return decontamination.clean(docs, benchmark)
 
 

@@ -60,6 +60,40 @@ def test_recall_with_as_many_lists_as_sampled_vectors(spark, monkeypatch):
     assert np.mean([len({v for v, _ in out[q]} & {v for v, _ in expected[q]}) for q in out]) / 20 >= 0.95
 
 
+def test_the_scan_abandons_pairs_and_keeps_neighbours():
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((4_000, 64))
+    x *= rng.uniform(0.5, 2, (len(x), 1)) / np.linalg.norm(x, axis=1, keepdims=True)
+    q, rotation = x[:100], np.linalg.qr(rng.standard_normal((64, 64)))[0]
+    scores = q @ x.T
+    bars = np.sort(scores, axis=1)[:, -40]
+    (many, ids, score), alive = ann.scan(q, bars, np.arange(len(x)), x, rotation, 21)
+    assert alive[0] == scores.size and len(alive) == 5 and alive == sorted(alive, reverse=True)
+    assert alive[1] < 0.85 * alive[0] and alive[2] < 0.6 * alive[0] and alive[3] < 0.3 * alive[0] and alive[4] < 0.02 * alive[0]
+    ends, hits = np.r_[0, np.cumsum(many)], []
+    for i in range(len(q)):
+        own = slice(ends[i], ends[i + 1])
+        assert np.allclose(score[own], scores[i, ids[own]], rtol=1e-12) and list(score[own]) == sorted(score[own], reverse=True)
+        hits.append(len(set(ids[own]) & set(np.argsort(-scores[i])[:21].tolist())))
+    assert np.mean(hits) / 21 >= 0.95
+    (many, ids, score), alive = ann.scan(q, np.full(len(q), -np.inf), np.arange(len(x)), x, rotation, 21)
+    assert alive == [scores.size] * 5 and (ids.reshape(100, 21) == np.argsort(-scores, axis=1)[:, :21]).all()  # no bar: exact
+
+
+def test_few_lists_are_probed_where_vectors_lie_in_groups(spark):
+    rng = np.random.default_rng(6)
+    x = (rng.standard_normal((60, 24))[rng.integers(0, 60, 9_000)] + 0.1 * rng.standard_normal((9_000, 24))).astype(np.float32).astype(np.float64)
+    chosen = rng.choice(len(x), 3_000, replace=False)
+    index = ann.Index(x[chosen[256:]], 64)
+    lists = index.lists_of(x)
+    near = np.argsort(-(x[chosen[:256]] @ x.T), axis=1)[:, :20]
+    index.calibrate(x[chosen[:256]], np.repeat(np.arange(256), 20), lists[near].ravel())
+    index.hold(np.bincount(lists, minlength=64), 20)
+    assert index.probes <= 8
+    found_, bars = index.probed(x[:50], 20)
+    assert found_.shape == (50, index.probes) and np.isinf(bars[:, 0]).all()
+
+
 def test_copies_ties_and_unusable_vectors(spark):
     rng = np.random.default_rng(1)
     vectors = {i: rng.standard_normal(8).astype(np.float32) for i in range(0, 200)}

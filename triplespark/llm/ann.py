@@ -9,7 +9,7 @@ structure, such as random directions, need about half of them.
 
 Scan: one random orthogonal matrix rotates queries and vectors, whose columns are read in blocks of
 `COLUMNS`. A query comes with a bar, the (k + 1)-th best inner product in the sample, which its k-th
-neighbour reaches. After a block of columns the inner product s so far is known (with the norms it is the
+neighbour reaches; in its first lists, which hold more than k vectors, there is none. After a block of columns the inner product s so far is known (with the norms it is the
 partial distance: |q|^2 + |x|^2 - 2s). Under the hypothesis that the whole one is at the bar, s has over
 random rotations the mean bar * Q/|q|^2 and the variance (|x|^2 - bar^2/|q|^2) Q (1 - Q/|q|^2) / (D - 1),
 Q being the query's squared length in these columns; a candidate that lies `EPSILON` deviations below is
@@ -67,7 +67,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 class Index:
-    """Centroids, rotation, the sample for the bars, and the number of lists to probe, all until calibrated."""
+    """Centroids, rotation, the sample for the bars, and the number of lists to probe, all until calibrated; the lists' sizes."""
 
     def __init__(self, sample: np.ndarray, n_lists: int):
         rng = np.random.default_rng(7)
@@ -82,7 +82,12 @@ class Index:
             many = np.bincount(near, minlength=n_lists)
             centroids = np.where(many[:, None] > 0, sums / np.maximum(many, 1)[:, None], centroids)
         self.centroids, self.sample = centroids, sample
-        self.probes = n_lists
+        self.probes, self.sizes = n_lists, np.zeros(n_lists, dtype=np.int64)
+
+    def hold(self, sizes: np.ndarray, k: int) -> None:
+        """Take the lists' sizes; any choice of so many lists holds more than k vectors, if all lists do."""
+        self.sizes = sizes
+        self.probes = max(self.probes, min(len(sizes), int(np.searchsorted(np.cumsum(np.sort(sizes)), k, "right")) + 1))
 
     def bars(self, q: np.ndarray, k: int) -> np.ndarray:
         """An inner product that each query's k-th neighbour reaches: its (k + 1)-th best in the sample, which may hold the query."""
@@ -105,8 +110,12 @@ class Index:
     def lists_of(self, x: np.ndarray) -> np.ndarray:
         return self._nearest(x, self.centroids)
 
-    def probed(self, q: np.ndarray) -> np.ndarray:
-        return np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, :self.probes]
+    def probed(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Each query's lists, best first, and its bar in each: none in the first ones, which hold more than k
+        vectors together, so that every query finds k however its bar turns out."""
+        lists = np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, :self.probes]
+        sizes = self.sizes[lists]
+        return lists, np.where(np.cumsum(sizes, axis=1) - sizes <= k, -np.inf, self.bars(q, k)[:, None])
 
 
 def _neighbours(listed: DataFrame, reps: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +150,8 @@ def scan(queries: np.ndarray, bars: np.ndarray, ids: np.ndarray, vectors: np.nda
     d = vectors.shape[1]
     q, x = queries @ rotation, vectors @ rotation
     length, bar = (queries ** 2).sum(axis=1), np.where(np.isfinite(bars), bars, 0.0)
-    rest = np.sqrt(np.maximum((vectors ** 2).sum(axis=1).max() - bar ** 2 / length, 0))  # the part's longest vector stands for all
+    norm = np.sqrt((vectors ** 2).sum(axis=1))
+    rest = np.sqrt(np.maximum(norm.max() ** 2 - bar ** 2 / length, 0))  # what is not along the query, at most this and the norm
     seen, dense = np.zeros(len(q)), np.zeros((len(q), len(x)))
     row = column = partial = None
     alive = [dense.size]
@@ -149,11 +159,11 @@ def scan(queries: np.ndarray, bars: np.ndarray, ids: np.ndarray, vectors: np.nda
         block = slice(at, min(at + COLUMNS, d))
         seen += (q[:, block] ** 2).sum(axis=1)
         share = np.minimum(seen / length, 1)
-        cut = bar * share - EPSILON * rest * np.sqrt(seen * (1 - share) / max(1, d - 1)) - 1e-9 * np.abs(bar)
-        cut = np.where(np.isfinite(bars), cut, -np.inf)
+        cut = np.where(np.isfinite(bars), bar * share - 1e-9 * np.abs(bar), -np.inf)
+        deviation = EPSILON * np.sqrt(seen * (1 - share) / max(1, d - 1))
         if row is None:
             dense += q[:, block] @ x[:, block].T
-            living = dense >= cut[:, None]
+            living = dense + deviation[:, None] * np.minimum(norm[None, :], rest[:, None]) >= cut[:, None]
             alive.append(int(np.count_nonzero(living)))
             if alive[-1] <= DENSE * dense.size or block.stop >= d:
                 row, column = np.nonzero(living)
@@ -162,7 +172,7 @@ def scan(queries: np.ndarray, bars: np.ndarray, ids: np.ndarray, vectors: np.nda
         for a in range(0, len(row), 100_000):  # only what is alive is read
             r, c = row[a:a + 100_000], column[a:a + 100_000]
             partial[a:a + 100_000] += np.einsum("ij,ij->i", q[r, block], x[c, block])
-        keep = partial >= cut[row]
+        keep = partial + deviation[row] * np.minimum(norm[column], rest[row]) >= cut[row]
         row, column, partial = row[keep], column[keep], partial[keep]
         alive.append(len(row))
     score = np.concatenate([(vectors[column[a:a + 100_000]] * queries[row[a:a + 100_000]]).sum(axis=1) for a in range(0, max(1, len(row)), 100_000)])  # row by row: equal vectors get equal scores
@@ -201,14 +211,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
             if batch.num_rows:
                 q = _matrix(batch.column(1))
                 for a in range(0, len(q), 256):
-                    lists = shared.value.probed(q[a:a + 256]).astype(np.int32)
-                    at = np.repeat(np.arange(len(lists)), lists.shape[1])
-                    own = batch.slice(a, 256).append_column("bar", pa.array(shared.value.bars(q[a:a + 256], k)))
-                    yield own.take(pa.array(at)).append_column("list", pa.array(lists.ravel()))
+                    lists, bars = shared.value.probed(q[a:a + 256], k)
+                    own = batch.slice(a, 256).take(pa.array(np.repeat(np.arange(len(lists)), lists.shape[1])))
+                    yield own.append_column("bar", pa.array(bars.ravel())).append_column("list", pa.array(lists.ravel().astype(np.int32)))
 
     kind = copies.schema["v"].dataType.simpleString()
     listed = stored(copies.select("rep", "v").mapInArrow(assign, f"rep long, v {kind}, list int"), "lists")
     index.calibrate(sample[:held], *_neighbours(listed, reps[:held], sample[:held], k))
+    sizes = np.zeros(len(index.centroids), dtype=np.int64)
+    for place, many in listed.groupBy("list").count().collect():  # a row a list
+        sizes[place] = many
+    index.hold(sizes, k)
     shared = spark.sparkContext.broadcast(index)
     wanted = asked.select("rep").distinct().join(copies.select("rep", "v"), "rep")
     probes = stored(wanted.mapInArrow(probe, f"rep long, v {kind}, bar double, list int"), "probes")

@@ -11,10 +11,11 @@ either end of a word; only letters (and non-ASCII bytes) count, the rest reads a
 contains an n-gram if that is at least `RATE` of the language's n-grams in the sample, and there twice,
 whatever the other languages hold: an n-gram of several languages has the bits of all of them.
 
-Fit: at most `PER_LANGUAGE` labelled documents of each language (fewer where there are many languages:
+Fit: at most `PER_LANGUAGE` different labelled documents of each language (fewer where there are many languages:
 `SAMPLE` over all, but `FEWEST` each), the smallest by hash, whole texts; that is the documented bound,
-and a hot source or language doesn't crowd out the others. More than 64 languages take further bitmask
-words; more than `LANGUAGES` are refused, which bounds what is broadcast.
+and a hot source or language doesn't crowd out the others. Equal rows are sent once, with their number.
+More than 64 languages take further bitmask words; more than `LANGUAGES` are refused, which bounds what is
+broadcast.
 
 Edge cases: null text, or one without a letter, is `und` with score 0; a text that no language claims
 is the language most frequent in the sample, with score 1 / languages; without any labelled document
@@ -51,7 +52,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     b = _TABLE[np.frombuffer(b"".join(raw), dtype=np.uint8)]
     owner = np.repeat(np.arange(len(raw), dtype=np.int32), size)
     keep = np.ones(len(b), dtype=bool)
-    keep[1:] = (b[1:] != 32) | (b[:-1] != 32)  # runs of blanks count as one
+    keep[1:] = (b[1:] != 32) | (b[:-1] != 32) | (owner[1:] != owner[:-1])  # runs of blanks in a text count as one
     b, owner = b[keep], owner[keep]
     out, who = [], []
     for n in LENGTHS:
@@ -80,14 +81,18 @@ class Filters:
         self.languages, self.prior, self.slots, self.rates = languages, prior, slots, rates
 
     @classmethod
-    def fit(cls, rows: list[tuple[str, str]]) -> Filters:
-        languages = sorted({lang for _, lang in rows})
-        size = np.array([sum(lang == x for _, lang in rows) for x in languages])
-        codes, counts = [], []
-        for x in languages:
-            c, n = np.unique(grams([t for t, lang in rows if lang == x])[0], return_counts=True)
+    def fit(cls, rows: list[tuple]) -> Filters:
+        """Of (text, language) or (text, language, how often it is there)."""
+        languages = sorted({r[1] for r in rows})
+        size, codes, counts = np.zeros(len(languages), dtype=np.int64), [], []
+        for i, x in enumerate(languages):
+            own = [r for r in rows if r[1] == x]
+            many = np.array([r[2] if len(r) > 2 else 1 for r in own], dtype=np.int64)
+            c, owner = grams([r[0] for r in own])
+            c, place = np.unique(c, return_inverse=True)
             codes.append(c)
-            counts.append(n)
+            counts.append(np.bincount(place, weights=many[owner], minlength=len(c)).astype(np.int64))
+            size[i] = many.sum()
         seen = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.uint32)
         rates = np.zeros((len(languages), len(seen)))
         many = np.zeros((len(languages), len(seen)), dtype=np.int64)
@@ -139,16 +144,19 @@ def fit(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> Fil
     if languages > LANGUAGES:
         raise ValueError(f"{languages} languages, more than {LANGUAGES}")
     per_language = max(FEWEST, min(per_language, SAMPLE // max(1, languages)))
-    # a hash threshold leaves about twice the wanted rows of each language before any ranking
-    spread = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    near = (known.select("doc_id", "lang").join(F.broadcast(sizes), "lang")
-            .withColumn("h", spread).filter(F.col("h") * F.col("n") <= 2.0 * per_language + 50))
+    known = known.withColumn("__mark", F.xxhash64("text"))
+    # a hash threshold leaves about twice the wanted texts of each language before any ranking
+    spread = F.pmod(F.xxhash64("doc_id", "__mark", F.lit(7)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    near = (known.select("doc_id", "lang", "__mark").join(F.broadcast(sizes), "lang")
+            .withColumn("h", spread).filter(F.col("h") * F.col("n") <= 2.0 * per_language + 50)
+            .groupBy("lang", "h", "doc_id", "__mark").agg(F.count(F.lit(1)).alias("times")))
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
-    ids = ranked.filter(F.col("rank") <= per_language).select("doc_id", "lang").distinct()
-    rows = known.join(F.broadcast(ids), ["doc_id", "lang"]).select("text", "lang")
+    chosen = ranked.filter(F.col("rank") <= per_language).select("doc_id", "lang", "__mark", "times")
+    rows = (known.join(F.broadcast(chosen), ["doc_id", "lang", "__mark"]).groupBy("doc_id", "lang", "__mark")
+            .agg(F.min("text").alias("text"), F.first("times").alias("times")).select("text", "lang", "times"))
 
     def train(batches):
-        data = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        data = [r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)))]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Filters.fit(data))], pa.binary())], ["model"])
 
     model = rows.coalesce(1).mapInArrow(train, "model binary").first()

@@ -5,7 +5,8 @@ others, and as stems (beginnings that many different such words share). Each ter
 of that ratio as its weight. All terms form one trie. The Levenshtein automaton of a word's possible
 misspellings is intersected with the trie by running the word through sets of (trie node, edits so far);
 these sets are the states of a deterministic automaton that is built as words ask for it and kept. Whole
-words and stems of `FUZZY` letters or more admit one edit, shorter ones none; a stem with an edit is a
+words and stems of `FUZZY` letters or more admit one edit (a letter more, less or other, or two neighbours
+swapped), shorter ones none; a stem with an edit is a
 beginning of the word at that distance, and counts as a misspelled hit. Whole words under a stem keep
 their own edit.
 
@@ -49,7 +50,7 @@ STEM_LETTERS, STEM_WORDS = 4, 5
 #: Weights of direct, quoted, misspelled and misspelled quoted hits, addressed ones, expected hits, bias.
 PRIOR = np.array([1.0, 0.1, 0.6, 0.05, 0.3, -1.0, -4.0])
 PRECISION = 1.0
-#: Evidence of a kind counts up to here.
+#: Where any evidence exceeds this, all of it is scaled down alike, so that a long text keeps its density of hits.
 MOST = 40.0
 REPORTING = frozenset("said says say called calls wrote writes quote quoted quotes quoting word term phrase insult slur meaning means".split())
 SECOND = frozenset("you your you're youre yourself u ur".split())
@@ -94,8 +95,9 @@ class Automaton:
         self.ends: list[tuple[str, float] | None] = []  # what a word that ends in the state is
         self.start = self._state({0: 0})
 
-    def _state(self, nodes: dict[int, int]) -> int:
-        """The number of a set, closed under letters that the word leaves out; 0 edits win over 1."""
+    def _state(self, nodes: dict[int, int], swaps: frozenset = frozenset()) -> int:
+        """The number of a set, closed under letters that the word leaves out; 0 edits win over 1. `swaps` are
+        (node, letter): two letters stand swapped if that letter comes next, which leads to the node."""
         todo = [x for x in nodes.items() if x[0] >= 0]
         while todo:
             node, e = todo.pop()
@@ -105,25 +107,27 @@ class Automaton:
                 if e + 1 <= self.budget[child] and nodes.get(child, 9) > e + 1:
                     nodes[child] = e + 1
                     todo.append((child, e + 1))
-        key = tuple(sorted(nodes.items()))
+        key = tuple(sorted(nodes.items())), tuple(sorted(swaps))
         if key not in self.numbers:
             self.numbers[key] = len(self.sets)
             self.sets.append(key)
             self.steps.append({})
-            ends = [(e, -self.weight[node]) for node, e in key if node >= 0 and self.word[node] is not None and (e == 0 or len(self.word[node]) >= FUZZY)]
-            ends += [(e, -self.stem[~node]) for node, e in key if node < 0]
+            ends = [(e, -self.weight[node]) for node, e in key[0] if node >= 0 and self.word[node] is not None and (e == 0 or len(self.word[node]) >= FUZZY)]
+            ends += [(e, -self.stem[~node]) for node, e in key[0] if node < 0]
             self.ends.append((("exact", "fuzzy")[min(ends)[0]], -min(ends)[1]) if ends else None)
         return self.numbers[key]
 
     def _step(self, state: int, c: str) -> int:
         """The next state, -1 if no term is left, less once a stem has been read."""
         after: dict[int, int] = {}
+        swaps = set()
 
         def add(node: int, e: int) -> None:
             if e <= self.budget[node] or e == 0:
                 after[node] = min(e, after.get(node, 9))
 
-        for node, e in self.sets[state]:
+        nodes, swapped = self.sets[state]
+        for node, e in nodes:
             if node < 0:
                 after[node] = e
                 continue
@@ -137,7 +141,12 @@ class Automaton:
                 add(node, e + 1)
                 for other in kids.values():
                     add(other, e + 1)
-        return self._state(after) if after else -1
+            if e == 0:
+                swaps |= {(k[c], first) for first, kid in kids.items() if first != c and c in (k := self.children[kid]) and self.budget[k[c]]}
+        for node, letter in swapped:
+            if letter == c:
+                add(node, 1)
+        return self._state(after, frozenset(swaps)) if after or swaps else -1
 
     def find(self, word: str) -> tuple[str, float] | None:
         """("exact", "stem" or "fuzzy", weight) of a lower-case word, None if it is no term."""
@@ -242,7 +251,8 @@ class Model:
         return np.array([[*(none if found.isdisjoint(s) else hits(s, kinds)), len(s)] for s in split]).reshape(-1, 7)
 
     def features(self, counts: np.ndarray) -> np.ndarray:
-        return np.c_[np.minimum(counts[:, :5], MOST), np.minimum(counts[:, 6] * self.rate, MOST), np.ones(len(counts))]
+        found = np.c_[counts[:, :5], counts[:, 6] * self.rate]
+        return np.c_[found * (MOST / np.maximum(found.max(axis=1, initial=MOST), MOST))[:, None], np.ones(len(counts))]
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
         return _logistic(self.features(counts) @ self.weights)

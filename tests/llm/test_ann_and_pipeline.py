@@ -2,8 +2,10 @@
 
 import importlib
 import os
+import random
 import subprocess
 import sys
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -11,8 +13,10 @@ import numpy as np
 from pyspark.sql import functions as F
 from tests.llm import helpers as h
 from tests.llm.test_native import plain_spans
-from tests.llm.test_text_operators import contaminated, plain_components, plain_fingerprint
+from tests.llm.test_models import plain_quality
+from tests.llm.test_text_operators import assert_gapless, contaminated, plain_components, plain_fingerprint, plain_pieces
 from triplespark.llm import ann, stages
+from triplespark.llm.encoding import tokenizer_path
 from triplespark.llm.queries import QUERIES
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -153,6 +157,72 @@ def test_pipeline(spark):
     assert pipeline.run(spark, h.SF).select("doc_id").distinct().count() == len(expected)
 
 
+def redacted(text):
+    out, at = "", 0
+    for start, back, kind in sorted((a, -b, k) for k, a, b in plain_spans(text)):
+        if start >= at:
+            out += text[at:start] + f"[{kind.upper()}]"
+        at = max(at, -back)
+    return None if text is None else out + text[at:]
+
+
+def written(spark, folder, docs, labels, benchmark):
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", benchmark)):
+        df.write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_pipeline_end_to_end_on_awkward_rows(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    sys.path.insert(0, ROOT)
+    pipeline = importlib.import_module("corpus_pipeline")
+    rng = random.Random(12)
+    good, bad = ["sea", "ship", "harbour", "wind", "sails", "captain", "night", "stars", "island", "été"], ["BUY", "NOW", "click", "click", "!!", "offer", "$$"]
+    say = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    item = " ".join(f"question{i}" for i in range(20))
+    rows = [(i, say(good if i % 3 else bad, rng.randint(20, 60))) for i in range(100, 160)]
+    base = say(good, 400)
+    rows += [(200 + i, base.replace("captain", "master", i)) for i in range(4)] + [(210, base), (210, base), (None, base)]  # one class
+    rows += [(220, say(good, 30) + " " + item), (221, say(good, 30) + " " + " ".join(item.split()[:5]))]
+    rows += [(230, say(good, 30) + " a.b@example.com and card 4111 1111 1111 1111 " + say(good, 30)), (231, say(good, 6_000))]
+    rows += [(None, say(good, 50)), (240, say(good, 50)), (240, say(good, 50))]  # one id, two texts, both stay
+    rows += [r[:2] for r in h.AWKWARD]
+    marks = [(k, int(bool(k % 3)), 0) for k in range(100, 150)] + [(5, 0, 0), (999, 1, 0)]
+    folder = written(spark, tmp_path / "in", h.docs(spark, rows), h.labels(spark, marks), spark.createDataFrame([(1, item, "x"), (2, None, "x"), (3, "", "x")], "item_id long, text string, doc_id string"))
+    texts = {k: t for k, t in rows if k is not None}
+    learn = sorted((texts[k] or "", y) for k, y, _ in marks if k in texts and zlib.crc32(str(k).encode()) % 4 != 2)
+    score = plain_quality(learn)
+    now = [(r[0], r[1]) for r in rows if score(r[1] or "") >= 0.7]
+    assert 30 < len(now) < len(rows) and (210, base) in now
+    prints = [plain_fingerprint(t) for _, t in now]
+    places = plain_components(list(range(len(now))), prints)
+    chosen = {}
+    for i, c in enumerate(places):
+        chosen[c] = min(chosen.get(c, i), i, key=lambda j: (now[j][0] is None, now[j][0] or 0))
+    now = [now[i] for i in chosen.values()]
+    hit = {i for i, (_, _, n, _) in enumerate(contaminated(now, [(1, item)])) if n}
+    now = [(k, redacted(t)) for i, (k, t) in enumerate(now) if i not in hit]
+    assert sum(k in (200, 210) for k, _ in now) == 1 and sum(k == 240 for k, _ in now) == 2 and 220 not in dict(now) and 221 in dict(now)
+    tokenizer = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    out = h.rows(pipeline.run(spark, folder))
+    assert sorted((r[:5] for r in out), key=repr) == sorted((p for k, t in now for p in plain_pieces(tokenizer, k, t)), key=repr)
+    assert_gapless(out)
+    nothing = h.docs(spark, [])
+    empty = written(spark, tmp_path / "empty", nothing, h.labels(spark, marks), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert pipeline.run(spark, empty).count() == 0
+    unlabelled = written(spark, tmp_path / "unlabelled", h.docs(spark, rows), h.labels(spark, []), spark.createDataFrame([], "item_id long, text string"))
+    assert pipeline.run(spark, unlabelled).count() == 0  # every score is 0.5, below the threshold
+
+
+def test_representatives_of_repeated_and_missing_ids(spark):
+    text = "The quick brown fox jumps over the lazy dog and runs away from here now"
+    rows = [(7, text), (7, text), (None, text), (None, "something else that stands here alone"), (None, "something else that stands here alone"),
+            (8, "one id two texts this is the first of them"), (8, "and here we have quite another text under it"), (9, "and here we have quite another text under it")]
+    kept = sorted(h.rows(stages.keep_one_of_each(h.docs(spark, rows)).select("doc_id", "text")), key=repr)
+    assert kept == sorted([(7, text), (None, "something else that stands here alone"), (8, rows[5][1]), (8, rows[6][1])], key=repr)
+
+
 def test_entry_without_the_subpackage(tmp_path):
     """The driver deletes these folders; the rest has to import."""
     import shutil

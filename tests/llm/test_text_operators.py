@@ -309,3 +309,53 @@ def test_queries_on_the_tables(spark):
     prints = [plain_fingerprint(t) for _, t in texts]
     classes = plain_components([k for k, _ in texts], prints)
     assert sorted(h.rows(QUERIES["op9_simhash"](spark, h.SF))) == sorted((k, f"{p:016x}", c) for (k, _), p, c in zip(texts, prints, classes))
+
+
+def test_token_queries_on_the_tables(spark):
+    """The registered packing and counting against the tokenizers' own ids, text by text."""
+    from tokenizers import Tokenizer
+    from triplespark.llm.queries import QUERIES
+
+    texts = h.rows(spark.read.parquet(f"{h.SF}/documents.parquet").select("doc_id", "text"))
+    count, pack = (Tokenizer.from_file(tokenizer_path(n)) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+    expected = [(k, len((t or "").encode()), n := len(count.encode(t or "", add_special_tokens=False).ids), n > 1024) for k, t in texts]
+    assert sorted(tuple(r)[:4] for r in QUERIES["op8_token_counts"](spark, h.SF).collect()) == sorted(expected)
+    pieces = [p for k, t in texts for p in plain_pieces(pack, k, t)]
+    out = h.rows(QUERIES["op4_best_fit_packing"](spark, h.SF))
+    assert sorted(r[:5] for r in out) == sorted(pieces)
+    assert_gapless(out)
+    gaps = []  # sequential best-fit, longest first
+    for n in sorted((p[3] for p in pieces), reverse=True):
+        fit = [g for g in gaps if g >= n]
+        if fit:
+            gaps.remove(min(fit))
+        gaps.append((min(fit) if fit else 4096) - n)
+    assert len({r[5] for r in out}) == len(gaps)
+
+
+def plain_pieces(tokenizer, key, text):
+    ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+    return [(key, i, at, len(ids[at:at + 4096]), zlib.crc32(np.array(ids[at:at + 4096], "<u4").tobytes())) for i, at in enumerate(range(0, len(ids), 4096))]
+
+
+def assert_gapless(rows):
+    by = defaultdict(list)
+    for r in rows:
+        by[r[5]].append((r[6], r[3]))
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 4096
+
+
+def test_plans_of_many_runs_are_applied_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_RUNS", 3)
+    rng = random.Random(1)
+    rows = [(i, " ".join(["word"] * rng.randint(0, 3_000))) for i in range(60)]
+    out = h.rows(packing.pack(h.docs(spark, rows)))
+    assert_gapless(out)
+    monkeypatch.setattr(packing, "BLOCK_RUNS", 1_000_000)
+    whole = h.rows(packing.pack(h.docs(spark, rows)))
+    assert sorted(r[:5] for r in out) == sorted(r[:5] for r in whole) and len({r[5] for r in out}) == len({r[5] for r in whole})

@@ -188,7 +188,7 @@ STATISTICS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
                     SELECT round((SELECT coalesce(sum((SELECT count(*) FROM orders WHERE o_orderpriority IN (p, q) AND o_custkey BETWEEN lo AND hi) / 2), 0) FROM pairs) / (SELECT count(*) FROM r), 6) AS compactness"""),
     "largest_gap": (lambda s, d: statistics.largest_gap(_orders(s, d), "o_custkey"),
                     "SELECT lower, upper, upper - lower AS gap FROM (SELECT lag(o_custkey) OVER (ORDER BY o_custkey) AS lower, o_custkey AS upper FROM orders) WHERE lower IS NOT NULL ORDER BY gap DESC, lower LIMIT 1"),
-    "degree_rank": (lambda s, d: statistics.degree_rank(Mapped(s, d).table()),
+    "degree_rank": (lambda s, d: statistics.degree_rank(Mapped(s, d).degrees()),
                     f"SELECT node, degree, row_number() OVER (ORDER BY degree DESC, node) AS new_id FROM (SELECT node, count(*) AS degree FROM (SELECT s AS node FROM ({_EDGES}) UNION ALL SELECT o FROM ({_EDGES})) GROUP BY node)"),
     "clean_ntriples": (_cleaned, """SELECT '<http://ex/customer/' || c_custkey || '> <http://ex/c_name> "' || c_name || '" .' AS line FROM customer WHERE c_custkey % 3 <> 0"""),
     "graph_nodes": (lambda s, d: ntriples.graph(Mapped(s, d).table())[0],

@@ -153,6 +153,6 @@ def degrees(triples: DataFrame) -> DataFrame:
     return triples.select(F.explode(F.array("s", "o")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def degree_rank(triples: DataFrame) -> DataFrame:
-    """node, degree, new_id: numbers from 1 by falling degree, then by term."""
-    return ranked(degrees(triples), F.desc("degree"), F.col("node"))
+def degree_rank(found: DataFrame) -> DataFrame:
+    """node, degree, new_id: numbers from 1 by falling degree, then by term, of what `degrees` gives."""
+    return ranked(found, F.desc("degree"), F.col("node"))

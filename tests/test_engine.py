@@ -3,6 +3,7 @@
 import itertools
 import os
 import random
+import re
 
 import duckdb
 import pytest
@@ -149,6 +150,22 @@ def test_joins_compare_keys_not_terms(spark, name):
     assert "concat(<http" not in below  # terms are written above all joins only
 
 
+def test_runtime_filters_reach_key_columns(spark):
+    """Where a table is large, Spark filters its scan by the keys that the other side of a join has."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, x in settings.items():
+            spark.conf.set(k, x)
+        found = Dataset(Mapped(spark, SF)).sparql(catalog.PREFIX + 'SELECT ?o ?c { ?o :o_cust ?c . ?c :c_mktsegment "BUILDING" }')
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert re.search(r"might_contain\([^\n]*xxhash64\(o_custkey", plan), plan
+        assert found.count() > 0
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+
+
 def test_unlike_keys_never_meet(spark):
     """Forms differ: compared as terms, whatever the keys are."""
     data = Dataset(Mapped(spark, SF))

@@ -1,11 +1,18 @@
-"""From raw documents to packed training sequences: filter, deduplicate, decontaminate, redact, pack."""
+"""From raw documents to packed training sequences: filter, deduplicate, decontaminate, redact, pack.
+
+Each stage works on all rows that the one before it kept. Edge cases: a document with null text is scored,
+compared and packed as an empty one; of rows without a doc_id, as of any others, near-duplicates go and the
+rest stays; repeated rows leave one; an empty documents table gives an empty result; without labels no
+document passes the classifier (all score 0.5), without benchmark items none is contaminated; other columns
+pass through the stages up to packing, whatever their names.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from triplespark.llm import stages
-from triplespark.llm.common import stored
+from triplespark.llm.common import discard, stored
 from triplespark.llm.packing import pack
 
 
@@ -49,6 +56,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder, each written as Parquet and read again for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, stored(stage(spark, docs, sf_dir), name)
+        if i:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -15,8 +15,9 @@ the shard or the other documents; the window's other terms may be missing, and a
 terms has no proximity match. In a shard the least frequent of the three is the centre, each of whose
 positions is tried with the nearest of the other two on either side, `CENTRES` positions at a time,
 however many there are. Nothing is shuffled for a test set that fits one broadcast
-block; larger test sets are searched block by block (each of at most `BLOCK_WINDOWS` windows, the
-stated bound of a broadcast) and the matches of a document are joined over the blocks.
+block; larger test sets are searched block by block (each ends with the item with which it reaches
+`BLOCK_WINDOWS` windows, the stated bound of a broadcast), one broadcast at a time, and the matches of a
+document are joined over the blocks.
 
 Words: text lower-cased in A-Z, runs of digits, letters a-z and non-ASCII characters. A window is
 `width` (10) consecutive words of an item; an item of fewer, but not none, is one window.
@@ -40,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triplespark.llm.common import stored, text_or_empty
+from triplespark.llm.common import discard, stored, text_or_empty
 from triplespark.llm.encoding import release, slices
 
 SHARD_BYTES = 8_000_000
@@ -106,15 +107,15 @@ def build_index(docs: DataFrame) -> DataFrame:
 
 
 def windows_of(items: Iterable[tuple], width: int) -> Iterator[list[tuple]]:
-    """(item, words) of all windows, in blocks of BLOCK_WINDOWS windows; at least one block."""
+    """(item, words) of all windows, in blocks that end with the item with which they reach BLOCK_WINDOWS
+    windows; at least one block."""
     now, any_block = [], False
     for item, text in items:
         found = words(text)
-        for i in range(max(1, len(found) - width + 1) if found else 0):
-            now.append((item, found[i:i + width]))
-            if len(now) >= BLOCK_WINDOWS:
-                yield now
-                now, any_block = [], True
+        now += [(item, found[i:i + width]) for i in range(max(1, len(found) - width + 1) if found else 0)]
+        if len(now) >= BLOCK_WINDOWS:
+            yield now
+            now, any_block = [], True
     if now or not any_block:
         yield now
 
@@ -266,23 +267,34 @@ def _cover(spans) -> F.Column:
     return F.flatten(F.transform(merged, lambda x: F.array(x["a"], x["b"])))
 
 
-def _blocks(spark, benchmark: DataFrame, width: int, slop: int) -> list:
-    """The test set's windows, broadcast block by block: the stated query side, which passes the driver
-    item by item, for proximity twice, as its words are counted before."""
+def _blocks(benchmark: DataFrame, width: int, slop: int) -> Iterator[tuple[dict, bool]]:
+    """The test set's windows block by block, and whether a block is the only one. This is the stated query
+    side: it passes the driver item by item, for proximity twice, as its words are counted before."""
     items = lambda: ((r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator())
     rarity = Counter(w for _, t in items() for w in words(t)) if slop else None
-    return [spark.sparkContext.broadcast(_encode_block(b, width, rarity)) for b in windows_of(items(), width)]
+    found = windows_of(items(), width)
+    now, ahead = next(found), next(found, None)
+    only = ahead is None
+    while now is not None:
+        yield _encode_block(now, width, rarity), only
+        now, ahead = ahead, next(found, None)
 
 
 def matches(index: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 20) -> DataFrame:
     """doc_id, n_words, spans, items, near: for each document of the index its hit spans, word positions
-    [start, end) laid flat, the items with phrase matches, and those with proximity matches only."""
+    [start, end) laid flat, the items with phrase matches, and those with proximity matches only.
+
+    Of several blocks one is broadcast at a time, and its hits are stored before the next."""
     if slop >= GAP:
         raise ValueError(f"slop must be below {GAP}")
-    spark = index.sparkSession
-    found = [index.mapInArrow(_search(b, slop, i == 0), HITS) for i, b in enumerate(_blocks(spark, benchmark, width, slop))]
-    if len(found) == 1:
-        return found[0].drop("task", "shard", "place")
+    found = []
+    for block, only in _blocks(benchmark, width, slop):
+        shared = index.sparkSession.sparkContext.broadcast(block)
+        hits = index.mapInArrow(_search(shared, slop, not found), HITS)
+        if only:
+            return hits.drop("task", "shard", "place")
+        found.append(stored(hits, "hits"))
+        shared.destroy()
     kept = lambda c: F.filter(F.collect_list(c), lambda s: F.size(s) > 0)
     one = reduce(DataFrame.unionAll, found).groupBy("task", "shard", "place").agg(
         F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), kept("spans").alias("spans"),
@@ -300,33 +312,44 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 20, cover: float = COVER) -> DataFrame:
     """The rows without a phrase match and without a covered item, with all their columns. An item is covered
-    if a document has proximity matches of `cover` of its different triples of rare terms (in all blocks).
+    if a document has proximity matches of `cover` of its different triples of rare terms.
 
     Each shard's index is built and searched where its rows are, as `matches` does, and not stored: the rows
-    need no join with a list of hits, which would shuffle all texts once the hits outgrow a broadcast.
+    need no join with a list of hits, which would shuffle all texts once the hits outgrow a broadcast. Of
+    several blocks one is broadcast at a time, and what it leaves is stored for the next.
     """
-    blocks = _blocks(docs.sparkSession, benchmark, width, slop)
-    triples = Counter(i for b in blocks for items in b.value["triple_items"] for i in items)
-    whole = docs.sparkSession.sparkContext.broadcast(triples)
     at = docs.columns.index("text")
 
-    def run(batches):
-        release()
-        for batch in batches:
-            texts = batch.column(at).cast(pa.binary())
-            for a, b in slices([n or 0 for n in pc.binary_length(texts).to_pylist()], SHARD_BYTES):
-                row = _index_of(texts.slice(a, b - a).to_pylist())
-                starts, keep, close = np.array(row["starts"]), np.ones(b - a, dtype=bool), Counter()
-                for block in blocks:
-                    (_, low, _), (near, doc) = search_shard(row, block.value, slop)
-                    keep[np.searchsorted(starts, low, "right") - 1] = False
-                    close.update((d, i) for d, w in zip(doc.tolist(), near.tolist()) for i in block.value["triple_items"][w])
-                for (d, item), n in close.items():
-                    if n >= cover * whole.value[item]:
-                        keep[d] = False
-                yield batch.slice(a, b - a).filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+    def left(shared):
+        def run(batches):
+            release()
+            block = shared.value
+            whole = Counter(i for items in block["triple_items"] for i in items)
+            for batch in batches:
+                texts = batch.column(at).cast(pa.binary())
+                for a, b in slices([n or 0 for n in pc.binary_length(texts).to_pylist()], SHARD_BYTES):
+                    row = _index_of(texts.slice(a, b - a).to_pylist())
+                    keep = np.ones(b - a, dtype=bool)
+                    (_, low, _), (near, doc) = search_shard(row, block, slop)
+                    keep[np.searchsorted(np.array(row["starts"]), low, "right") - 1] = False
+                    close = Counter((d, i) for d, w in zip(doc.tolist(), near.tolist()) for i in block["triple_items"][w])
+                    keep[[d for (d, item), n in close.items() if n >= cover * whole[item]]] = False
+                    yield batch.slice(a, b - a).filter(pa.array(keep))
+
+        return run
+
+    before = None
+    for block, only in _blocks(benchmark, width, slop):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        after = docs.mapInArrow(left(shared), docs.schema)
+        if only:
+            return after
+        docs = stored(after, "uncontaminated")
+        shared.destroy()
+        if before is not None:
+            discard(before)
+        before = docs
+    return docs
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -53,17 +53,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, v: what takes part, each vec_id once; v as it is, in single or double precision."""
+    """vec_id, v: what takes part, each vec_id once, stored; v as it is, in single or double precision."""
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     kind = vectors.schema["embedding"].dataType.elementType.typeName()
     v = F.col("embedding").cast("array<float>" if kind == "float" else "array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(
         F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", fine) & F.exists("v", lambda x: x != 0))
-    size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).first()
-    rows = rows.filter(F.size("v") == (size["n"] if size else 0))
+    rows = stored(rows.withColumn("n", F.size("v")), "vectors")
+    size = rows.groupBy("n").count().orderBy(F.desc("count"), F.desc("n")).limit(1).first()
+    rows = rows.filter(F.col("n") == (size["n"] if size else 0)).drop("n")
     if rows.groupBy("vec_id").count().filter("count > 1").isEmpty():
         return rows
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return stored(rows.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
 
 
 class Index:
@@ -186,8 +187,7 @@ def scan(queries: np.ndarray, bars: np.ndarray, ids: np.ndarray, vectors: np.nda
 def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found for each query row of `vectors`."""
     spark = vectors.sparkSession
-    rows = stored(usable(vectors), "vectors")
-    marked = rows.withColumn("mark", F.xxhash64("v"))  # sorts by the mark rarely compare the vectors themselves
+    marked = usable(vectors).withColumn("mark", F.xxhash64("v"))  # sorts by the mark rarely compare the vectors themselves
     ids = marked.withColumn("place", F.row_number().over(Window.partitionBy("mark", "v").orderBy("vec_id"))).filter(F.col("place") <= k + 1)
     copies = stored(ids.groupBy("mark", "v").agg(F.min("vec_id").alias("rep"), F.array_sort(F.collect_list("vec_id")).alias("ids")), "copies")
     asked = marked.filter(is_query).join(copies.select("mark", "v", "rep"), ["mark", "v"]).select("vec_id", "rep")
@@ -225,13 +225,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     shared = spark.sparkContext.broadcast(index)
     wanted = asked.select("rep").distinct().join(copies.select("rep", "v"), "rep")
     probes = stored(wanted.mapInArrow(probe, f"rep long, v {kind}, bar double, list int"), "probes")
-    # the parts of each list, and of its queries: one row a list, few lists
-    parts = F.broadcast(
-        listed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("x_parts"))
-        .join(probes.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("q_parts")), "list"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = listed.join(parts, "list").select("list", F.pmod(F.xxhash64("rep"), "x_parts").cast("int").alias("x"), every("q_parts").alias("q"), "rep", "v")
-    right = probes.join(parts, "list").select("list", F.pmod(F.xxhash64("rep"), "q_parts").cast("int").alias("q"), every("x_parts").alias("x"), "rep", "v", "bar")
+    # the parts of each list, and of its queries: a number a list, few lists
+    asking = np.zeros(len(sizes), dtype=np.int64)
+    for place, many in probes.groupBy("list").count().collect():
+        asking[place] = many
+    parts = lambda counts, most: F.get(F.array(*[F.lit(int(-(-n // most))) for n in counts]), F.col("list"))
+    x_parts, q_parts = parts(sizes, PART), parts(asking, QUERIES)
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = listed.filter(q_parts > 0).select("list", F.pmod(F.xxhash64("rep"), x_parts).cast("int").alias("x"), every(q_parts).alias("q"), "rep", "v")
+    right = probes.filter(x_parts > 0).select("list", F.pmod(F.xxhash64("rep"), q_parts).cast("int").alias("q"), every(x_parts).alias("x"), "rep", "v", "bar")
 
     def meet(key, a: pa.Table, b: pa.Table):
         if not a.num_rows or not b.num_rows:

@@ -132,6 +132,7 @@ def test_context_raises_the_score(spark):
     rows = [(1, "my card 4111111111111111 ok"), (2, "see 4111111111111111 ok"), (3, "card " + "x" * 60 + " 4111111111111111")]
     out = {r["doc_id"]: r["pii"][0]["score"] for r in pii.find(h.docs(spark, rows), "doc_id").collect()}
     assert out == {1: 80, 2: 60, 3: 60}
+    assert sorted(r["text"] for r in pii.redact(h.docs(spark, rows[:2]), least=70).collect()) == ["my card [CARD] ok", "see 4111111111111111 ok"]
 
 
 def test_personal_data_on_awkward_rows(spark):

@@ -117,8 +117,8 @@ def _valid(kind: str, found: Column) -> Column:
 
 def _of_kind(kind: str, text: Column) -> Column:
     guard = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(PATTERNS["card"]),
-             "phone": F.contains(text, F.lit("+")), "iban": text.rlike("[A-Z]{2}[0-9]{2}"), "key": text.rlike("A[KS]IA"),
-             "secret": text.rlike("(?i:d|t|n|y) ?[=:]")}[kind]
+             "phone": F.contains(text, F.lit("+")), "iban": text.rlike("[A-Z]{2}[0-9]{2}"), "key": F.contains(text, F.lit("AKIA")) | F.contains(text, F.lit("ASIA")),
+             "secret": (F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))) & text.rlike(r"[A-Za-z] ?[=:] ?[\x22']?[A-Za-z0-9+/_-]{12}")}[kind]
     source = F.regexp_replace(text, "[ -](?=[ -])|(?<=[ -])[ -]", "x") if kind == "card" else text
     near = lambda x: F.substr(text, F.greatest(F.lit(1), x["start"] - NEAR + 1), x["end"] - x["start"] + 2 * NEAR)
 
@@ -138,14 +138,16 @@ def find(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(*keep, F.concat(*[_of_kind(k, text) for k in KINDS]).alias("pii"))
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """The same columns with each span in `text` written as its kind in brackets; n_chars follows the text.
+def redact(docs: DataFrame, least: int = 0) -> DataFrame:
+    """The same columns with each span in `text` of a score of at least `least` written as its kind in brackets;
+    n_chars follows the text.
 
     Of overlapping spans the one that starts first (the longer, at a tie) names the whole stretch.
     Null texts stay null.
     """
     text = text_or_empty()
-    found = docs.withColumn("__pii", F.concat(*[_of_kind(k, text) for k in KINDS]))
+    spans = F.concat(*[_of_kind(k, text) for k in KINDS])
+    found = docs.withColumn("__pii", F.filter(spans, lambda x: x["score"] >= least) if least else spans)
     order = F.array_sort(F.transform("__pii", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["kind"].alias("kind"))))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 

@@ -55,6 +55,7 @@ def evaluate(query: Query, relation: Relation) -> DataFrame:
     parts: list[DataFrame] = []
     guards: list[DataFrame] = []
     forms: dict[str, Form] = {}
+    relation.prepare(query.patterns)
     for steps in plan(query, relation.sizes()):
         found = _steps(relation, steps, guards)
         if found is not None:

@@ -9,6 +9,8 @@ reach the Parquet scan.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -56,6 +58,9 @@ class Relation:
         """Statements by predicate as far as they are known without a job."""
         return {}
 
+    def prepare(self, patterns: Iterable[Pattern]) -> None:
+        """Open what the patterns need."""
+
 
 class Triples(Relation):
     """A table of triples; `copies` has the same rows in other sort orders, by name such as pso; `bounds`
@@ -193,6 +198,17 @@ class Mapped(Relation):
             self._read[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self._read[name]
 
+    def open(self, names: Iterable[str]) -> None:
+        """Open tables at once: finding a table's schema is a job that waits more than it works."""
+        new = [n for n in dict.fromkeys(names) if n not in self._read]
+        if len(new) > 1:
+            with ThreadPoolExecutor(len(new)) as pool:
+                list(pool.map(self.frame, new))
+
+    def prepare(self, patterns: Iterable[Pattern]) -> None:
+        every = [x.table for x in self.sources.values()]
+        self.open(n for t in patterns for n in ([self.sources[t.p].table] if t.p in self.sources else every if isinstance(t.p, Var) else []))
+
     def match(self, s, p, o) -> DataFrame:
         if s is None and p is None and o is None:
             return self.table()
@@ -236,6 +252,7 @@ class Mapped(Relation):
 
     def predicate_counts(self) -> DataFrame:
         """p, n: statements by predicate, each table scanned once for what is null in it, no term written."""
+        self.open(self.names)
         parts = []
         for t in self.names:
             own = {n: x for n, x in self.sources.items() if x.table == t}
@@ -246,6 +263,7 @@ class Mapped(Relation):
 
     def degrees(self) -> DataFrame:
         """node, degree: how often each term is a subject or an object, counted by key; a term is written once."""
+        self.open(self.names)
         iris, literals = [], []
         for t in self.names:
             df, own = self.frame(t), [x for x in self.sources.values() if x.table == t]
@@ -274,6 +292,7 @@ class Mapped(Relation):
 
     def table(self) -> DataFrame:
         """All triples, each table read once: its predicates are exploded together."""
+        self.open(self.names)
         parts = []
         for t in self.names:
             own = {n: x for n, x in self.sources.items() if x.table == t}

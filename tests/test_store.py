@@ -252,6 +252,8 @@ def test_histograms(spark):
     assert rows(statistics.equal_depth(df, "x", 4)) == [(1, 3, 5), (10, 10, 2), (25, 26, 3)] or sum(r[2] for r in rows(statistics.equal_depth(df, "x", 4))) == 10
     assert statistics.range_cardinality(wide, 3, 8).first()[0] == pytest.approx(5 * 3 / 5 + 2 * 3 / 5)
     assert statistics.cut_point(wide, 1, 26).first()[0] == 13
+    assert rows(statistics.range_min(wide, 1, 26)) == [(11, 15, 0, 6)] and rows(statistics.range_min(wide, 22, 25)) == [(21, 25, 2, 1)]
+    assert rows(statistics.range_min(wide, 40, 50)) == [(None, None, None, 0)]
     assert statistics.cut_point(wide, 2, 4).first()[0] == 3
     spread = statistics.predicate_spread(df, "p", "x").first()
     parts = [(26 - 2) / 4, (25 - 1) / 6]
@@ -283,6 +285,8 @@ def test_command_line(spark, nt, tmp_path, capsys, monkeypatch):
     cli.main(["query", db, "--sparql", str(q)])
     out = capsys.readouterr().out
     assert "Total : 15 rows" in out and "...." in out and len(out.splitlines()) == 9
+    cli.main(["query", db, "--sparql", str(q), "--no-prescan"])
+    assert "Total : 15 rows" in capsys.readouterr().out
     cli.main(["query", db, "--sparql", str(q), "--explain"])
     cli.main(["query", db, "--sparql", str(q), "--dot"])
     capsys.readouterr()

@@ -98,6 +98,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("store")
     p.add_argument("--sparql")
     p.add_argument("--preload", action="store_true")
+    p.add_argument("--no-prescan", action="store_true", help="neither count selective patterns first nor bound variables by them")
     p.add_argument("--explain", action="store_true")
     p.add_argument("--profile", action="store_true", help="seconds by phase, rows and steps")
     p.add_argument("--dot", action="store_true")
@@ -134,6 +135,7 @@ def main(args: list[str] | None = None) -> int:
         ntriples.clean(spark, a.source, a.target)
     else:
         store = Store.open(spark, a.store, getattr(a, "preload", False))
+        store.prescan = not getattr(a, "no_prescan", False)
         if a.command == "bench":
             for x in bench(store, a.folder, a.warm_up, a.timed, a.log, a.show_stat):
                 print(json.dumps(x))

@@ -90,13 +90,19 @@ def range_cardinality(histogram: DataFrame, start: int, end: int) -> DataFrame:
     return histogram.agg(F.coalesce(F.sum(F.col("freq") * overlap / (F.col("upper") - F.col("lower") + 1)), F.lit(0.0)).alias("estimate"))
 
 
-def cut_point(histogram: DataFrame, start: int, end: int) -> DataFrame:
-    """cut: the middle of the least frequent bucket between the two ends (ties: the lowest bucket);
-    the middle of the ends if one bucket holds both."""
+def range_min(histogram: DataFrame, start: int, end: int) -> DataFrame:
+    """lower, upper, freq, buckets: the least frequent bucket that touches [start, end] (ties: the lowest; null
+    if there is none), and how many do."""
     inside = histogram.filter((F.col("upper") >= start) & (F.col("lower") <= end))
-    best = inside.agg(F.min(F.struct("freq", "lower", "upper")).alias("b"), F.count(F.lit(1)).alias("n"))
-    middle = F.floor((F.col("b.lower") + F.col("b.upper")) / 2)
-    return best.select(F.when(F.col("n") <= 1, F.lit((start + end) // 2)).otherwise(middle).cast("long").alias("cut"))
+    best = inside.agg(F.min(F.struct("freq", "lower", "upper")).alias("b"), F.count(F.lit(1)).alias("buckets"))
+    return best.select("b.lower", "b.upper", "b.freq", "buckets")
+
+
+def cut_point(histogram: DataFrame, start: int, end: int) -> DataFrame:
+    """cut: the middle of the least frequent bucket between the two ends; the middle of the ends if one bucket
+    holds both."""
+    middle = F.floor((F.col("lower") + F.col("upper")) / 2)
+    return range_min(histogram, start, end).select(F.when(F.col("buckets") <= 1, F.lit((start + end) // 2)).otherwise(middle).cast("long").alias("cut"))
 
 
 def _ranges(df: DataFrame, predicate: str, column: str) -> DataFrame:

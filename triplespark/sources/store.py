@@ -152,6 +152,7 @@ class Store(Dataset):
             self.dictionary = self.dictionary.cache()
             self.copies = {n: t.cache() for n, t in self.copies.items()}
         self.stats = spark.read.parquet(f"{path}/stats")
+        self.prescan = True
         super().__init__(Triples(self.copies["pso"], self.copies))
 
     @classmethod
@@ -220,15 +221,15 @@ class Store(Dataset):
                 bounds[v] = (max(low, before[0]), min(high, before[1]))
         return counts, bounds
 
-    def sparql(self, text: str | Query, prescan: bool = True) -> DataFrame:
-        """As the dataset's; with `prescan` selective patterns are counted first, and their variables' bounds
-        filter every other scan, so that sorted copies skip row groups."""
+    def sparql(self, text: str | Query) -> DataFrame:
+        """As the dataset's; with `prescan`, the default, selective patterns are counted first, and their
+        variables' bounds filter every other scan, so that sorted copies skip row groups."""
         query = parse(text) if isinstance(text, str) else text
         ids = self.ids_of(planner.constants(query))
         sizes = {ids[p] if p else -1: x for p, x in self.sizes(query).items() if not p or p in ids}
         place = lambda x: x if isinstance(x, Var) else ids.get(x, -1)
         encoded = Query(query.select, tuple(Pattern(*map(place, t.places)) for t in query.patterns))
-        counts, bounds = self._prescan(encoded.patterns) if prescan else ({}, {})
+        counts, bounds = self._prescan(encoded.patterns) if self.prescan else ({}, {})
         return decode(evaluate(encoded, Triples(self.copies["pso"], self.copies, sizes | counts, bounds)), self.dictionary)
 
     def predicates(self) -> DataFrame:

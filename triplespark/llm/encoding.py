@@ -10,9 +10,14 @@ import os
 import re
 from array import array
 from functools import lru_cache
+from itertools import islice
 
 #: Bytes that the cache of one Python worker may hold, roughly.
 CACHE_BYTES = 160_000_000
+#: Words learnt first that stay when the cache is emptied.
+FIRST_KEPT = 100_000
+#: Bytes of text to encode at a time: few enough that their words stay in the processor's cache.
+SLICE = 30_000
 #: White space other than single blanks and newlines, or what may start a special token.
 _WHOLE = re.compile(r"[^\S \n]|\s\s|<\|")
 #: Letters and the marks after them: two pieces to either pre-tokenizer, none changed by normalisation but for case.
@@ -103,11 +108,12 @@ class Encoder:
         self.size += sum(map(len, new)) + 200 * len(new)
 
     def _make_room(self, wanted: set[str]) -> None:
-        """Beyond its bound the cache keeps what the texts at hand need, hence the frequent words."""
+        """Beyond its bound the cache keeps the words that it met first, hence many frequent ones, and what the
+        texts at hand need."""
         if self.size > CACHE_BYTES:
             self.first.clear()
             self.marks.clear()
-            self.known = {x: self.known[x] for x in wanted.intersection(self.known)}
+            self.known = dict(islice(self.known.items(), FIRST_KEPT)) | {x: self.known[x] for x in wanted.intersection(self.known)}
             self.size = sum(map(len, self.known)) + 200 * len(self.known)
 
     def __call__(self, texts: list[str]) -> list:

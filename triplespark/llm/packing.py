@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from triplespark.llm.common import stored, text_or_empty
-from triplespark.llm.encoding import encoder, release, slices, tokenizer_path
+from triplespark.llm.encoding import SLICE, encoder, release, slices, tokenizer_path
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, local_rank long"
 #: Runs of a plan that are broadcast at a time (40 bytes each).
@@ -50,7 +50,7 @@ def _pieces(path: str, end: bytes, capacity: int):
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
             out = [[] for _ in range(6)]
-            for a, b in slices(pc.binary_length(texts).to_pylist(), 2_000_000):
+            for a, b in slices(pc.binary_length(texts).to_pylist(), SLICE):
                 for key, ids in zip(keys[a:b], encode(texts.slice(a, b - a).to_pylist())):
                     ids += end
                     for piece, at in enumerate(range(0, len(ids), width)):

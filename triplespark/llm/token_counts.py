@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triplespark.llm.common import new_path, stored, text_or_empty
-from triplespark.llm.encoding import encoder, slices, tokenizer_path
+from triplespark.llm.encoding import SLICE, encoder, slices, tokenizer_path
 
 CACHE = "version string, digest binary, n_tokens long"
 #: Contents that a task remembers while it drops local repeats.
@@ -66,7 +66,7 @@ def _encoded(path: str):
             new = [i for i, d in enumerate(digests) if d != (digests[i - 1] if i else last)]
             last = digests[-1] if digests else last
             counts, picked = [], texts.take(pa.array(new, pa.int64()))
-            for a, b in slices(pc.binary_length(picked).to_pylist(), 2_000_000):
+            for a, b in slices(pc.binary_length(picked).to_pylist(), SLICE):
                 counts += encode(picked.slice(a, b - a).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([digests[i] for i in new], pa.binary()), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
 

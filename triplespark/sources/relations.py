@@ -264,30 +264,29 @@ class Mapped(Relation):
     def degrees(self) -> DataFrame:
         """node, degree: how often each term is a subject or an object, counted by key; a term is written once."""
         self.open(self.names)
-        iris, literals = [], []
+        frames: dict[tuple[bool, str], list[DataFrame]] = {}
         for t in self.names:
             df, own = self.frame(t), [x for x in self.sources.values() if x.table == t]
-            types, by_type, subjects = dict(df.dtypes), {}, {}
+            types, by_type, subjects, uses = dict(df.dtypes), {}, {}, []
             for x in own:
                 there = (x.subject.present() & x.object.present()).cast("bigint")
                 subjects[x.subject] = subjects[x.subject] + there if x.subject in subjects else there
-                value, form = x.object.raw(types)
-                by_type.setdefault((form.kind is None, form.type), []).append((form.kind or "", value, there))
-            for place, many in subjects.items():
-                value, form = place.raw(types)
-                kind = (False, form.type, place.kind) if form else (False, "string", None)
-                by_type.setdefault(kind[:2], []).append((kind[2], value, many))
-            for (literal, _), parts in by_type.items():
-                each = F.array(*[F.struct(F.lit(kind).alias("kind"), value.alias("value"), many.alias("n")) for kind, value, many in parts])
-                (literals if literal else iris).append(df.select(F.inline(each)).filter("n > 0"))
-        counted = lambda parts: [
-            reduce(DataFrame.unionAll, same).groupBy("kind", "value").agg(F.sum("n").alias("degree"))
-            for same in ([p for p in parts if p.schema["value"].dataType == k] for k in {p.schema["value"].dataType for p in parts})]
-        term = F.when(F.col("kind").isNull(), F.col("value").cast("string")).otherwise(F.concat(F.lit(f"<{EX}"), "kind", F.lit("/"), F.col("value").cast("string"), F.lit(">")))
-        found = [p.select(term.alias("node"), "degree") for p in counted(iris)]
+                uses.append((x.object, there))
+            for place, many in [*subjects.items(), *uses]:
+                value, form = place.raw(types)  # without a form it is a term, under no kind
+                kind = (form.kind is None, form.type) if form else (False, "string")
+                by_type.setdefault(kind, []).append((form.kind or "" if form else None, value, many))
+            for kind, parts in by_type.items():
+                each = F.array(*[F.struct(F.lit(name).alias("kind"), value.alias("value"), many.alias("n")) for name, value, many in parts])
+                frames.setdefault(kind, []).append(df.select(F.inline(each)).filter("n > 0"))
+        found, literals = [], []
+        for (literal, _), same in frames.items():
+            counted = reduce(DataFrame.unionAll, same).groupBy("kind", "value").agg(F.sum("n").alias("degree"))
+            iri = F.concat(F.lit(f"<{EX}"), "kind", F.lit("/"), F.col("value").cast("string"), F.lit(">"))
+            term = literal_column(F.col("value")) if literal else F.when(F.col("kind").isNull(), F.col("value").cast("string")).otherwise(iri)
+            (literals if literal else found).append(counted.select(term.alias("node"), "degree"))
         if literals:  # numbers and strings may be the same literal
-            written = [p.select(literal_column(F.col("value")).alias("node"), "degree") for p in counted(literals)]
-            found.append(reduce(DataFrame.unionAll, written).groupBy("node").agg(F.sum("degree").alias("degree")))
+            found.append(reduce(DataFrame.unionAll, literals).groupBy("node").agg(F.sum("degree").alias("degree")))
         return reduce(DataFrame.unionAll, found)
 
     def table(self) -> DataFrame:

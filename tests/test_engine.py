@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 
 from tests.fixtures import GRAPH
 from triplespark import catalog
+from triplespark.operators import bgp
 from triplespark.operators.bgp import evaluate
 from triplespark.plans import planner
 from triplespark.plans.ast import Pattern, Query, Var
@@ -166,6 +167,26 @@ def test_runtime_filters_reach_key_columns(spark):
             spark.conf.set(k, x)
 
 
+def test_many_rows_of_two_patterns_are_made_once(spark, monkeypatch):
+    """Values that many rows share: dealt out in blocks, and compared only where both sides have several values."""
+    rng = random.Random(5)
+    triples = [(f"a{i}", "p", f"n{x}") for i in range(60) for x in ([0] if i % 3 else rng.sample(range(4), 2))]
+    triples += [(f"b{i}", "q", f"n{x}") for i in range(40) for x in ([1] if i % 4 == 1 else [0] if i % 4 == 2 else rng.sample(range(5), 3))]
+    relation = Triples(spark.createDataFrame(triples + triples[:7], "s string, p string, o string").cache())
+    q = query("?x p ?n . ?y q ?n", "y x")
+    monkeypatch.setattr(bgp, "BLOCK", 7)
+    for least in (1, 10**9):
+        monkeypatch.setattr(bgp, "MANY", least)
+        assert run(relation, q) == naive(triples, q) != []
+        assert run(relation, query("?x p ?n . ?y nothing ?n", "y x")) == []
+    monkeypatch.setattr(bgp, "MANY", 1)
+    out = catalog.QUERIES["object_object"](spark, SF)
+    assert out._jdf.queryExecution().optimizedPlan().toString().startswith("Union")  # no distinct above all rows
+    single = Triples(spark.createDataFrame([(f"{p}{i}", p, "hub") for p in "pq" for i in range(200)], "s string, p string, o string").cache())
+    by_task = evaluate(q, single).rdd.glom().map(len).collect()
+    assert sum(by_task) == 200 * 200 and max(by_task) < 200 * 200 / 2  # one value, several tasks
+
+
 def test_unlike_keys_never_meet(spark):
     """Forms differ: compared as terms, whatever the keys are."""
     data = Dataset(Mapped(spark, SF))

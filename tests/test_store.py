@@ -244,6 +244,32 @@ def test_breadth_first_says_when_levels_run_out(spark):
         breadth_first(triples, ids, stage, 3).count()
 
 
+@pytest.mark.parametrize("setting", [{}, {"MOST_BITS": 10}, {"SWEPT_LEVELS": 2}, {"SWEPT_COMPONENTS": 1}])
+def test_breadth_first_by_bits_and_by_joins(spark, monkeypatch, setting):
+    """Several components, a loop, ids without edges and a hub: by hand, whichever way a component is found."""
+    for name, x in setting.items():
+        monkeypatch.setattr(renumber, name, x)
+    pairs = [(1, 64), (64, 3), (3, 1), (2, 70), (70, 5), (5, 128), (128, 6), (6, 7), (9, 9)] + [(i, 100) for i in range(80, 99)]
+    ids = sorted({x for p in pairs for x in p} | {4, 127})
+    near = {i: {a for a, b in pairs if b == i} | {b for a, b in pairs if a == i} for i in ids}
+    place = {}
+    for root in ids:
+        front, level = {root} - set(place), 0
+        while front:
+            place.update({i: (root, level, i) for i in front})
+            front, level = {b for i in front for b in near[i]} - set(place), level + 1
+    expected = sorted((i, n + 1) for n, i in enumerate(sorted(ids, key=place.get)))
+    triples = spark.createDataFrame([(a, 8, b) for a, b in pairs + pairs[:3]], "s long, p long, o long")
+    seen = []
+
+    def stage(df):
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stored(df)
+
+    assert rows(renumber.breadth_first(triples, spark.createDataFrame([(i,) for i in ids], "id long"), stage)) == expected
+    assert any("Join" in plan for plan in seen) == bool(setting)  # by bits alone, edges are never shuffled
+
+
 def test_histograms(spark):
     values = [1, 1, 1, 2, 3, 10, 10, 25, 25, 26]
     df = spark.createDataFrame([(x, "ab"[x % 2]) for x in values] + [(None, "a")], "x long, p string")

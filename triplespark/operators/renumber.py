@@ -6,6 +6,11 @@ of the dictionary, a permutation of 1..n within it (spread: an injection into la
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,14 +28,104 @@ def by_degree(triples: DataFrame, dictionary: DataFrame) -> DataFrame:
     return ranked(found, F.desc(F.coalesce("degree", F.lit(0))), F.col("id")).select("id", "new_id")
 
 
+#: Ids up to here are also kept as a bit each: 32 MB. Levels, and components with edges, that are found that way at most.
+MOST_BITS, SWEPT_LEVELS, SWEPT_COMPONENTS = 1 << 28, 64, 8
+
+
+def _bits(packed: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return (packed[ids >> 3] >> (ids & 7).astype(np.uint8)) & 1 == 1
+
+
+def _without(rows: DataFrame, column: str, seen: Broadcast) -> DataFrame:
+    """The rows whose id is not among the bits."""
+    def kept(batches):
+        for x in batches:
+            yield x.filter(pa.array(~_bits(seen.value, x.column(column).to_numpy())))
+
+    return rows.mapInArrow(kept, rows.schema)
+
+
+def _next_level(edges: DataFrame, size: int, frontier: Broadcast, seen: Broadcast) -> DataFrame:
+    """word, bits: the ids beside the frontier that have not been seen, 64 to a word."""
+    def found(batches):
+        new = np.zeros(size * 8, dtype=bool)
+        for x in batches:
+            a, b = x.column("a").to_numpy(), x.column("b").to_numpy()
+            near_a, near_b = _bits(frontier.value, a), _bits(frontier.value, b)
+            new[b[near_a & ~near_b]] = True
+            new[a[near_b & ~near_a]] = True
+        words = (np.packbits(new, bitorder="little") & ~seen.value).view(np.int64)
+        at = np.flatnonzero(words)
+        for i in range(0, len(at), 100_000):
+            own = at[i:i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(words[own], pa.int64())], ["word", "bits"])
+
+    return edges.mapInArrow(found, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+
+
+def _swept(edges: DataFrame, ids: DataFrame, checkpoint, max_levels: int) -> tuple[DataFrame | None, DataFrame, DataFrame]:
+    """id, root, level of the components that bits find, and the edges and ids of the others.
+
+    The least id that has an edge is the root of its component. From there each level is one scan of the
+    edges, stored once for each statement, without a shuffle of them: frontier and ids seen are sent as bits.
+    """
+    sc = edges.sparkSession.sparkContext
+    low, high = ids.agg(F.min("id"), F.max("id")).first()
+    if low is None or low < 0 or high >= MOST_BITS:
+        return None, edges, ids
+    size = (high // 64 + 1) * 8
+    seen, parts, budget = np.zeros(size, np.uint8), [], SWEPT_LEVELS
+    for _ in range(SWEPT_COMPONENTS):
+        root = edges.agg(F.min(F.least("a", "b"))).first()[0]
+        if root is None:
+            break
+        frontier = np.zeros(size, np.uint8)
+        frontier[root >> 3] = 1 << (root & 7)
+        now, own, ended = seen | frontier, [edges.sparkSession.range(root, root + 1).select("id", F.lit(root).alias("root"), F.lit(0).alias("level"))], False
+        for level in range(1, max_levels):
+            if level > budget:
+                break
+            sent = [sc.broadcast(x) for x in (frontier, now)]
+            words = checkpoint(_next_level(edges, size, *sent))
+            for x in sent:
+                x.destroy()
+            got = words.toArrow()
+            if not got.num_rows:
+                ended = True
+                break
+            frontier = np.zeros(size, np.uint8)
+            frontier.view(np.int64)[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+            now |= frontier
+            bit = words.select("word", "bits", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i")).filter(F.expr("(shiftrightunsigned(bits, i) & 1) = 1"))
+            own.append(bit.select((F.col("word") * 64 + F.col("i")).alias("id"), F.lit(root).cast("long").alias("root"), F.lit(level).alias("level")))
+        else:
+            raise RuntimeError(f"terms are left after {max_levels} levels")
+        if not ended:  # so deep a component is left to the joins
+            break
+        seen, budget = now, budget - len(own) + 1
+        parts += own
+        edges = checkpoint(_without(edges, "a", sc.broadcast(seen)))
+    return reduce(DataFrame.unionAll, parts) if parts else None, edges, _without(ids, "id", sc.broadcast(seen))
+
+
 def breadth_first(triples: DataFrame, dictionary: DataFrame, checkpoint, max_levels: int = 100_000) -> DataFrame:
-    """By (component, level, id): levels count from each component's smallest id, found by frontier joins.
+    """By (component, level, id): levels count from each component's smallest id.
 
+    Large and shallow components are found by bits, level by level (`_swept`); what they leave, by frontier joins.
     `checkpoint` stores a table and reads it again; every round's is needed by the next two only.
     """
-    edges = triples.select(F.col("s").alias("a"), F.col("o").alias("b")).filter("a != b")
+    edges = checkpoint(triples.select(F.col("s").alias("a"), F.col("o").alias("b")).filter("a != b"))
+    found, edges, ids = _swept(edges, dictionary.select("id"), checkpoint, max_levels)
+    if edges.isEmpty():
+        placed = ids.select("id", F.col("id").alias("root"), F.lit(0).alias("level"))
+    else:
+        placed = _by_joins(edges, checkpoint(ids), checkpoint, max_levels)
+    return ranked(found.unionAll(placed) if found else placed, F.col("root"), F.col("level"), F.col("id")).select("id", "new_id")
+
+
+def _by_joins(edges: DataFrame, ids: DataFrame, checkpoint, max_levels: int) -> DataFrame:
+    """id, root, level by joins of the edges with labels, then with frontiers."""
     edges = checkpoint(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    ids = dictionary.select("id")
     # labels spread until each node knows the smallest id of its component
     labels = checkpoint(ids.withColumn("root", F.col("id")))
     while True:
@@ -52,27 +147,30 @@ def breadth_first(triples: DataFrame, dictionary: DataFrame, checkpoint, max_lev
         reached = checkpoint(reached.unionAll(frontier))
     else:
         raise RuntimeError(f"terms are left after {max_levels} levels")
-    return ranked(labels.join(reached, "id"), F.col("root"), F.col("level"), F.col("id")).select("id", "new_id")
+    return labels.join(reached, "id").select("id", "root", "level")
 
 
-def by_component(triples: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """By the first principal component of the 0/1 matrix of terms by the predicates they occur with."""
+def by_component(triples: DataFrame, dictionary: DataFrame, checkpoint) -> DataFrame:
+    """By the first principal component of the 0/1 matrix of terms by the predicates they occur with.
+
+    Terms with the same predicates have the same score, which is computed once for each set of predicates.
+    """
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     literals = dictionary.filter("kind = 'literal'").select("id")
-    subject = triples.select(F.col("s").alias("id"), "p")
-    obj = triples.select(F.col("o").alias("id"), "p").join(literals, "id", "left_anti")
-    incidence = subject.unionAll(obj).distinct()
-    columns = ranked(incidence.select("p").distinct(), F.col("p"), name="k")
+    subject = triples.select(F.col("s").alias("id"), "p").distinct()
+    obj = triples.select(F.col("o").alias("id"), "p").distinct().join(literals, "id", "left_anti")
+    columns = checkpoint(ranked(triples.select("p").distinct(), F.col("p"), name="k"))
     n = columns.count()  # PCA itself takes 65,535 columns at most, and works on a matrix of predicates by predicates
     if not n:
         return ranked(dictionary.select("id"), F.col("id")).select("id", "new_id")
-    rows = incidence.join(columns, "p").groupBy("id").agg(F.collect_set("k").alias("ks"))
+    rows = checkpoint(subject.unionAll(obj).join(columns, "p").groupBy("id").agg(F.array_sort(F.collect_set("k")).alias("ks")))
     dense = F.transform(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long")), lambda i: F.array_contains("ks", i).cast("double"))
-    made = rows.select("id", array_to_vector(dense).alias("x"))
-    scored = PCA(k=1, inputCol="x", outputCol="y").fit(made).transform(made).select("id", vector_to_array("y")[0].alias("score"))
-    found = dictionary.select("id").join(scored, "id", "left")
+    sets = rows.select("ks").distinct().select("ks", array_to_vector(dense).alias("x"))
+    model = PCA(k=1, inputCol="x", outputCol="y").fit(rows.select(array_to_vector(dense).alias("x")))
+    scores = checkpoint(model.transform(sets).select("ks", vector_to_array("y")[0].alias("score")))
+    found = dictionary.select("id").join(rows.join(scores, "ks").select("id", "score"), "id", "left")
     return ranked(found, F.asc_nulls_last("score"), F.col("id")).select("id", "new_id")
 
 
@@ -91,7 +189,7 @@ def renumber(method: str, triples: DataFrame, dictionary: DataFrame, checkpoint)
     if method == "bfs":
         return breadth_first(triples, dictionary, checkpoint)
     if method == "pca":
-        return by_component(triples, dictionary)
+        return by_component(triples, dictionary, checkpoint)
     if method == "degree":
         return by_degree(triples, dictionary)
     if method == "spread":

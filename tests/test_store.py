@@ -270,6 +270,27 @@ def test_breadth_first_by_bits_and_by_joins(spark, monkeypatch, setting):
     assert any("Join" in plan for plan in seen) == bool(setting)  # by bits alone, edges are never shuffled
 
 
+def test_component_orders_like_a_dense_decomposition(spark):
+    import numpy as np
+
+    triples = [(int(a), int(p) + 100, int(b)) for a, p, b in GRAPH]
+    ids = sorted({x for a, _, b in triples for x in (a, b)})
+    columns = sorted({p for _, p, _ in triples})
+    x = np.array([[float(any(p == q and i in (a, b) for a, q, b in triples)) for p in columns] for i in ids])
+    score = dict(zip(ids, x @ np.linalg.svd(x - x.mean(0))[2][0]))
+    seen = []
+
+    def stage(df):
+        seen.append(df.columns)
+        return stored(df)
+
+    dictionary = spark.createDataFrame([(i, str(i), "iri") for i in ids], "id long, term string, kind string")
+    found = rows(renumber.by_component(spark.createDataFrame(triples, "s long, p long, o long"), dictionary, stage))
+    order = [round(score[i], 6) for i, _ in sorted(found, key=lambda r: r[1])]
+    assert order in (sorted(order), sorted(order, reverse=True)) and len(set(order)) > 3
+    assert ["ks", "m"] in seen and ["ks", "score"] in seen  # sets of predicates are counted and scored, not terms
+
+
 def test_histograms(spark):
     values = [1, 1, 1, 2, 3, 10, 10, 25, 25, 26]
     df = spark.createDataFrame([(x, "ab"[x % 2]) for x in values] + [(None, "a")], "x long, p string")

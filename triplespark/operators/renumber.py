@@ -153,23 +153,26 @@ def _by_joins(edges: DataFrame, ids: DataFrame, checkpoint, max_levels: int) ->
 def by_component(triples: DataFrame, dictionary: DataFrame, checkpoint) -> DataFrame:
     """By the first principal component of the 0/1 matrix of terms by the predicates they occur with.
 
-    Terms with the same predicates have the same score, which is computed once for each set of predicates.
+    Terms with the same predicates have the same score: sets of predicates are counted, how often two
+    predicates stand together comes from these counts, and each set is scored once.
     """
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
     literals = dictionary.filter("kind = 'literal'").select("id")
     subject = triples.select(F.col("s").alias("id"), "p").distinct()
     obj = triples.select(F.col("o").alias("id"), "p").distinct().join(literals, "id", "left_anti")
     columns = checkpoint(ranked(triples.select("p").distinct(), F.col("p"), name="k"))
-    n = columns.count()  # PCA itself takes 65,535 columns at most, and works on a matrix of predicates by predicates
+    n = columns.count()  # the driver holds a matrix of predicates by predicates
     if not n:
         return ranked(dictionary.select("id"), F.col("id")).select("id", "new_id")
     rows = checkpoint(subject.unionAll(obj).join(columns, "p").groupBy("id").agg(F.array_sort(F.collect_set("k")).alias("ks")))
-    dense = F.transform(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long")), lambda i: F.array_contains("ks", i).cast("double"))
-    sets = rows.select("ks").distinct().select("ks", array_to_vector(dense).alias("x"))
-    model = PCA(k=1, inputCol="x", outputCol="y").fit(rows.select(array_to_vector(dense).alias("x")))
-    scores = checkpoint(model.transform(sets).select("ks", vector_to_array("y")[0].alias("score")))
+    sets = checkpoint(rows.groupBy("ks").agg(F.count(F.lit(1)).alias("m")))
+    both = sets.select("m", "ks", F.explode("ks").alias("i")).select("m", "i", F.explode("ks").alias("j")).groupBy("i", "j").agg(F.sum("m").alias("m")).toArrow()
+    together = np.zeros((n, n))
+    together[both.column("i").to_numpy() - 1, both.column("j").to_numpy() - 1] = both.column("m").to_numpy()
+    total = sets.agg(F.sum("m")).first()[0]
+    mean = together.diagonal() / total
+    axis = np.linalg.eigh(together / total - np.outer(mean, mean))[1][:, -1]
+    weights = triples.sparkSession.createDataFrame([(k + 1, float(x)) for k, x in enumerate(axis)], "k long, w double")
+    scores = checkpoint(sets.select("ks", F.explode("ks").alias("k")).join(weights, "k").groupBy("ks").agg(F.sum("w").alias("score")))
     found = dictionary.select("id").join(rows.join(scores, "ks").select("id", "score"), "id", "left")
     return ranked(found, F.asc_nulls_last("score"), F.col("id")).select("id", "new_id")
 
